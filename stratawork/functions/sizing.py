@@ -1,0 +1,29 @@
+"""Size checks made before a plan is chosen."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df``; None where the session has no JVM
+    handle (Spark Connect). Nothing is run."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; -1 when disabled."""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    text = text.strip().lower().removesuffix("b")
+    units = {"k": 2**10, "m": 2**20, "g": 2**30}
+    if text and text[-1] in units:
+        return int(float(text[:-1]) * units[text[-1]])
+    return int(text)
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    size = estimated_bytes(df)
+    return size is not None and size <= broadcast_limit(df)
