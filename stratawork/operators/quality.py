@@ -271,13 +271,17 @@ def run_suite(expectations: list[Expectation], datasets: Mapping[str, DataFrame]
     return reduce(DataFrame.unionByName, parts)
 
 
-def summarize(results: DataFrame) -> DataFrame:
-    """Suite totals: score is passed / total, success means all passed."""
+def summarize(results: DataFrame, details: bool = False) -> DataFrame:
+    """Suite totals: score is passed / total, success means all passed. With
+    ``details`` also the single results as JSON text (one entry per rule)."""
     passed = F.count_if("success")
     total = F.count(F.lit(1))
+    entries = F.sort_array(F.collect_list(
+        F.struct("position", "rule_id", "success", "score", "error")))
     return results.agg(
         total.alias("total"), passed.alias("passed"), (total - passed).alias("failed"),
-        F.round(passed / total, 4).alias("score"), (passed == total).alias("success"))
+        F.round(passed / total, 4).alias("score"), (passed == total).alias("success"),
+        *([F.to_json(entries).alias("details")] if details else []))
 
 
 def failed_rows(use: Expectation, datasets: Mapping[str, DataFrame],

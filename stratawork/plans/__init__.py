@@ -1,0 +1,4 @@
+from . import checks, relational, series
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "checks", "relational", "series"]

@@ -3,6 +3,8 @@ Hadoop configuration)."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,3 +47,18 @@ def sink(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexi
         writer.option("ignoreNullFields", "false").json(path)
     else:
         writer.csv(path, header=True, sep="\t" if fmt == "tsv" else ",")
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a directory through Hadoop's file system; False if absent."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.delete(target, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name all executors can reach: under ``spark.checkpoint.dir``
+    where the cluster names one, else (local runs) a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    root = shared or tempfile.mkdtemp(prefix="stratawork-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

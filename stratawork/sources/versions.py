@@ -160,7 +160,7 @@ class Store:
             dq = self._note_quality(dataset, version, written, list(expectations))
         except Exception:
             self._state(dataset, version, "failed", fmt, location)
-            self._remove(location)
+            files.remove(self.spark, location)
             raise
         full = metadata | {SYSTEM + k: str(v) for k, v in (system or {}).items()}
         self._state(dataset, version, "committed", fmt, location, n_rows, full)
@@ -186,12 +186,7 @@ class Store:
         row = self._get(dataset, version)
         self._state(dataset, version, "deleted", row["format"], row["location"])
         if row["format"] != QUERY:
-            self._remove(row["location"])
-
-    def _remove(self, location: str) -> None:
-        jvm, context = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(location)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            files.remove(self.spark, row["location"])
 
     # -- lineage ------------------------------------------------------------
 
@@ -266,9 +261,7 @@ class Store:
             return None
         try:
             results = run_suite(expectations, {"this": df})
-            row = summarize(results).crossJoin(results.agg(F.to_json(F.sort_array(
-                F.collect_list(F.struct("position", "rule_id", "success", "score", "error"))))
-                .alias("details"))).first()
+            row = summarize(results, details=True).first()
             out = (version, time.time_ns(), row["score"], row["passed"], row["total"],
                    row["success"], row["details"], None)
         except Exception as e:

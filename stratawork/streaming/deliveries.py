@@ -16,9 +16,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ordering import require
-from ..operators.incremental import upsert
+from ..operators.incremental import accumulate, upsert
 from ..operators.project import add_constant
+from ..sources import files
 from ..sources.versions import Commit, Store
 
 BATCH = "__batch"
@@ -71,19 +71,35 @@ def stream_upsert(store: Store, dataset: str, stream: DataFrame, key: str | list
                        {"delivery": delivery}, inputs)
 
 
-def replace_dates(df: DataFrame, table: str, date_column: str) -> None:
-    """Overwrite only the date partitions that occur in ``df``."""
-    require(df, [date_column])
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-        .partitionBy(date_column).parquet(table)
+def stream_accumulate(store: Store, dataset: str, stream: DataFrame, date_column: str,
+                      date_value: Any, staging: str, checkpoint: str, delivery: str) -> Commit:
+    """Accumulate the chunks as the delivery of ``date_value`` into the latest
+    version. Works for any delivery, and writes the whole table anew."""
+    landed = land(stream, staging, checkpoint)
+    last = store.latest(dataset)
+    inputs = [(dataset, last["version"])] if last is not None else []
+    table = accumulate(store.read_or_none(dataset), landed, date_column, date_value)
+    return store.write(dataset, table, {"delivery": delivery}, inputs)
 
 
-def stream_accumulate(stream: DataFrame, table: str, date_column: str, date_value: Any,
-                      staging: str, checkpoint: str) -> DataFrame:
-    """Accumulate the chunks into ``table``, partitioned by date: the delivered
-    dates are replaced whole, others are not touched. Returns the table."""
+def stream_accumulate_in_place(stream: DataFrame, table: str, date_column: str, date_value: Any,
+                               staging: str, checkpoint: str) -> DataFrame:
+    """The same for a table partitioned by date of which one partition is
+    replaced and the others stay untouched, so the cost is that of one day.
+    Every delivered row must be of ``date_value``; rows of other dates would
+    have to be added to partitions that a rerun cannot tell apart, and are an
+    error here. Returns the table."""
     if date_value is None:
         raise ValueError("the date of the delivery is required")
-    landed = land(add_constant(stream, date_column, str(date_value)), staging, checkpoint)
-    replace_dates(landed.where(F.col(date_column).isNotNull()), table, date_column)
-    return stream.sparkSession.read.parquet(table)
+    spark, value = stream.sparkSession, str(date_value)
+    landed = land(add_constant(stream, date_column, value), staging, checkpoint)
+    same = F.col(date_column).cast("string").eqNullSafe(F.lit(value))
+    counts = landed.agg(F.count(F.lit(1)).alias("all"), F.count_if(~same).alias("other")).first()
+    if counts["other"]:
+        raise ValueError(f"{counts['other']} delivered rows are not of {value}")
+    if counts["all"]:
+        landed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy(date_column).parquet(table)
+    else:
+        files.remove(spark, f"{table}/{date_column}={value}")
+    return spark.read.schema(landed.schema).parquet(table)
