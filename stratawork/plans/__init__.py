@@ -1,4 +1,4 @@
-from . import checks, relational, series
+from . import checks, relational, series, storage
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "checks", "relational", "series"]
+__all__ = ["ORACLES", "QUERIES", "checks", "relational", "series", "storage"]
