@@ -113,12 +113,13 @@ def chart_histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
     ends = ends.select(
         F.when(flat, F.col("lo") - pad).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + pad).otherwise(F.col("hi")).alias("hi"), flat.alias("flat"))
-    low, high = ends.select("lo").scalar(), ends.select("hi").scalar()
+    span = ends.select(F.struct("lo", "hi", "flat")).scalar()
+    low, high = span.getField("lo"), span.getField("hi")
     counts = values.groupBy(histogram_bin(F.col("v"), low, high, bins).alias("bin")) \
         .agg(F.count(F.lit(1)).alias("n"))
     width = (high - low) / bins
     i = F.col("bin")
-    first = F.when(ends.select("flat").scalar(), low).otherwise(low - (high - low) * 0.001)
+    first = F.when(span.getField("flat"), low).otherwise(low - (high - low) * 0.001)
     edges = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")) \
         .where(low.isNotNull())
     return edges.join(counts, "bin", "left").select(
@@ -151,15 +152,14 @@ def chart_radar(df: DataFrame, axes: list[str], group_by: str | None = None,
     else:
         wide = df.agg(*measures).select(F.lit("Total").alias("name"), *axes)
     size = F.col if group_by else F.abs
-    ends = wide.agg(*[F.max(size(a)).alias(a) for a in axes])
+    ends = wide.agg(F.struct(*[F.max(size(a)).alias(a) for a in axes])).scalar()
 
     def end(a: str) -> Column:
-        top = chart_number(F.col(a)) * 1.2
-        return F.when(F.col(a) != 0, top).otherwise(1.0)
-    tops = {a: ends.select(end(a)).scalar() for a in axes}
+        top = ends.getField(a)
+        return F.when(top != 0, chart_number(top) * 1.2).otherwise(1.0)
     return wide.select("name", F.inline(F.array(*[
         F.struct(F.lit(a).alias("axis"), chart_number(F.col(a)).alias("value"),
-                 tops[a].alias("axis_max")) for a in axes])))
+                 end(a).alias("axis_max")) for a in axes])))
 
 
 def chart_combo(df: DataFrame, x: str, series: list[tuple[str, str]], sort: str | None = None,

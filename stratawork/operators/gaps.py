@@ -2,14 +2,15 @@
 
 Plan for ``reindex_series``:
 
-* the calendar is generated per group with ``explode(sequence(...))``; there is
-  no cross join, and the default bounds come from a scalar subquery;
-* rows already on the calendar are not joined to it. They pass through, and the
-  missing (group, period) pairs are added by a union;
-* values are carried over a summary with one row per (group, period). It is
-  built with partial aggregates and a group holds at most one row per calendar
-  period, so neither a hot group nor a hot day reaches one task whole;
-* only rows that have a missing cell in a carried column are joined with it.
+* rows already on the calendar pass through; they are neither joined with a
+  calendar nor sorted;
+* a summary holds one row per (group, period) that occurs, built with partial
+  aggregates. A group has at most as many of them as the calendar has periods,
+  so a window over the summary is bounded whatever the size of a group or day;
+* in that window every period sees its neighbours. The gap that follows it is
+  generated with ``explode(sequence(...))``, already filled;
+* only rows that have a missing cell in a carried column are joined with the
+  summary.
 
 Rows that share a group and a period have no order among themselves unless
 ``tie_break`` gives one: a missing cell first takes a value known in its own
@@ -39,6 +40,21 @@ STRATEGIES = ("null", "zero", "ffill", "bfill", "interpolate")
 PERIOD = "__period"
 
 
+def _shift(period: Column, frequency: str, by: int) -> Column:
+    if frequency in ("day", "week"):
+        return F.date_add(period, by * (7 if frequency == "week" else 1))
+    return F.add_months(period, by * (12 if frequency == "year" else 1))
+
+
+def _ordinal(period: Column, frequency: str) -> Column:
+    """Number of a period on the calendar; neighbours differ by one."""
+    if frequency in ("day", "week"):
+        days = F.unix_date(period)
+        return days if frequency == "day" else F.floor(days / 7)
+    year = F.year(period)
+    return year if frequency == "year" else year * 12 + F.month(period)
+
+
 def _first_on_grid(start: Column, frequency: str) -> Column:
     """First grid point not before ``start``: any day, Monday, first of month,
     first of January."""
@@ -51,11 +67,23 @@ def _first_on_grid(start: Column, frequency: str) -> Column:
     return F.when(at == start, at).otherwise(F.add_months(at, step))
 
 
+def _last_on_grid(end: Column, frequency: str) -> Column:
+    """Last grid point not after ``end``."""
+    if frequency == "day":
+        return end
+    if frequency == "week":
+        return F.date_sub(F.next_day(end, "Mon"), 7)
+    return F.trunc(end, frequency)
+
+
+def _steps(first: Column, last: Column, frequency: str) -> Column:
+    """All grid points from one to another; null when there is none."""
+    return F.when(first <= last, F.sequence(first, last, F.expr(FREQUENCIES[frequency][1])))
+
+
 def period_sequence(start: Column, end: Column, frequency: str) -> Column:
     """Array of all grid points in [start, end]; null when there is none."""
-    first = _first_on_grid(start, frequency)
-    steps = F.sequence(first, end, F.expr(FREQUENCIES[frequency][1]))
-    return F.when(first <= end, steps)
+    return _steps(_first_on_grid(start, frequency), end, frequency)
 
 
 def calendar_grid(groups: DataFrame, start: Column, end: Column, frequency: str,
@@ -106,27 +134,6 @@ def _known_in_period(c: str, strategy: str, tie_break: list[str]) -> Column:
     return (F.max_by if last else F.min_by)(F.col(c), at)
 
 
-def _carried(c: str, strategy: str, groups: list[str]) -> Column:
-    """Value for the missing cells of one period, from the period summary."""
-    ordered = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(PERIOD)
-    before = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    after = ordered.rowsBetween(0, Window.unboundedFollowing)
-    v = F.col(c)
-    if strategy == "ffill":
-        return F.last(v, ignorenulls=True).over(before)
-    if strategy == "bfill":
-        return F.first(v, ignorenulls=True).over(after)
-    v = v.cast("double")
-    here = F.row_number().over(ordered)
-    # the known neighbours and their places, as (place, value)
-    point = F.when(v.isNotNull(), F.struct(F.col("__place").alias("p"), v.alias("v")))
-    low = F.last(point, ignorenulls=True).over(before)
-    high = F.first(point, ignorenulls=True).over(after)
-    slope = F.try_divide(high.v - low.v, high.p - low.p)
-    line = low.v + slope * (here - low.p)
-    return F.when(v.isNotNull(), v).otherwise(F.coalesce(line, low.v, high.v))
-
-
 def _match(keys: list[str], other: list[str]) -> Column:
     return reduce(lambda a, b: a & b,
                   [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, other)])
@@ -155,17 +162,13 @@ def reindex_series(df: DataFrame, date_column: str = "date",
     values = [c for c in df.columns if c not in [*groups, date_column]]
     strategy = _plan(df, values, fill)
     carried = [c for c in values if strategy[c] in ("ffill", "bfill", "interpolate")]
-    keys = [*groups, PERIOD]
-
     dated = df.withColumn(PERIOD, period_of(df, date_column, frequency))
-    low = F.lit(start).cast("date") if start else dated.agg(F.min(PERIOD)).scalar()
-    high = F.lit(end).cast("date") if end else dated.agg(F.max(PERIOD)).scalar()
+    found = dated.agg(F.struct(F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi"))).scalar()
+    low = F.lit(start).cast("date") if start else found.getField("lo")
+    high = F.lit(end).cast("date") if end else found.getField("hi")
     aligned = F.col(PERIOD) == _first_on_grid(F.col(PERIOD), frequency)
-    rows = dated.where(F.col(PERIOD).between(low, high) & aligned)
-
-    distinct_groups = dated.select(*groups).distinct() if groups \
-        else df.sparkSession.range(1).select()
-    grid = calendar_grid(distinct_groups, low, high, frequency)
+    on_grid = F.col(PERIOD).between(low, high) & aligned
+    rows = dated.where(on_grid)
 
     def finish(part: DataFrame, cells: dict[str, Column]) -> DataFrame:
         """Put zero fills in and restore names and column order."""
@@ -180,35 +183,78 @@ def reindex_series(df: DataFrame, date_column: str = "date",
         date = F.date_format(PERIOD, FREQUENCIES[frequency][2]).alias(date_column)
         return part.select(*groups, date, *out)
 
+    # One row per period that occurs; rows off the calendar make a row without
+    # period, which keeps their group and stands before the first period.
+    places = dated.withColumn(PERIOD, F.when(on_grid, F.col(PERIOD)))
+    known = [F.when(F.col(PERIOD).isNotNull(), _known_in_period(c, strategy[c], ties)).alias(c)
+             for c in carried]
+    if known:
+        summary = places.groupBy(*groups, PERIOD).agg(*known)
+    else:
+        summary = places.select(*groups, PERIOD).distinct()
+    if not groups:
+        start_row = df.sparkSession.range(1).select(F.lit(None).cast("date").alias(PERIOD))
+        summary = summary.unionByName(start_row, allowMissingColumns=True)
+
+    ordered = Window.partitionBy(*(groups or [F.lit(0)])).orderBy(F.col(PERIOD).asc_nulls_first())
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    from_here = ordered.rowsBetween(0, Window.unboundedFollowing)
+    later = ordered.rowsBetween(1, Window.unboundedFollowing)
+    neighbours: list[Column] = []
+    for i, c in enumerate(carried):
+        point = F.when(F.col(c).isNotNull(), F.struct(
+            _ordinal(F.col(PERIOD), frequency).alias("p"), F.col(c).alias("v")))
+        neighbours += [F.last(point, ignorenulls=True).over(so_far).alias(f"__low{i}"),
+                       F.first(point, ignorenulls=True).over(from_here).alias(f"__here{i}"),
+                       F.first(point, ignorenulls=True).over(later).alias(f"__high{i}")]
+    linked = summary.select(*groups, PERIOD, F.lead(PERIOD).over(ordered).alias("__next"),
+                            F.row_number().over(ordered).alias("__place"), *neighbours)
+
+    def fills(before: Column | None) -> dict[str, Column]:
+        """Fill values at PERIOD, given whether it lies before or after the
+        summary row it comes from (None: on it)."""
+        out = {}
+        for i, c in enumerate(carried):
+            lo, here, hi = (F.col(f"__{n}{i}") for n in ("low", "here", "high"))
+            if before is not None:
+                lo, hi = F.when(~before, lo), F.when(before, here).otherwise(hi)
+            else:
+                hi = here
+            if strategy[c] == "ffill":
+                out[c] = lo.getField("v")
+            elif strategy[c] == "bfill":
+                out[c] = hi.getField("v")
+            else:
+                v0, v1 = lo.getField("v").cast("double"), hi.getField("v").cast("double")
+                p0, p1 = lo.getField("p"), hi.getField("p")
+                along = F.try_divide(v1 - v0, p1 - p0) \
+                    * (_ordinal(F.col(PERIOD), frequency) - p0)
+                out[c] = F.coalesce(v0 + along, v0, v1)
+        return out
+
+    first, last = _first_on_grid(low, frequency), _last_on_grid(high, frequency)
+    here, none = F.col(PERIOD), F.array().cast("array<date>")
+    gap_after = _steps(F.when(here.isNull(), first).otherwise(_shift(here, frequency, 1)),
+                       F.coalesce(_shift(F.col("__next"), frequency, -1), last), frequency)
+    gap_before = F.when((F.col("__place") == 1) & here.isNotNull(),
+                        _steps(first, _shift(here, frequency, -1), frequency))
+    links = [f"__{n}{i}" for i in range(len(carried)) for n in ("low", "here", "high")]
+    gaps = F.concat(F.coalesce(gap_before, none), F.coalesce(gap_after, none))
+    missing = linked.select(*groups, *links, here.alias("__from"), F.explode(gaps).alias(PERIOD))
     empty = {c: F.lit(None).cast(df.schema[c].dataType) for c in values}
-    mirror = [f"__s{i}" for i in range(len(keys))]
+    before = F.coalesce(F.col(PERIOD) < F.col("__from"), F.lit(False))
+    added = finish(missing, {**empty, **fills(before)})
     if not carried:
-        seen = rows.select(*[F.col(k).alias(m) for k, m in zip(keys, mirror)]).distinct()
-        missing = grid.join(seen, _match(keys, mirror), "left_anti")
-        return finish(rows, {}).unionByName(finish(missing, empty))
-
-    summary = rows.groupBy(*[F.col(k).alias(m) for k, m in zip(keys, mirror)]).agg(
-        F.count(F.lit(1)).alias("__n"),
-        *[_known_in_period(c, strategy[c], ties).alias(c) for c in carried])
-    place = F.row_number().over(Window.partitionBy(*(groups or [F.lit(0)])).orderBy(PERIOD))
-    filled = (
-        grid.join(summary, _match(keys, mirror), "left").withColumn("__place", place)
-        .select(*keys, "__n",
-                *[_carried(c, strategy[c], groups).alias(f"__f{i}")
-                  for i, c in enumerate(carried)]))
-    fills = {c: F.col(f"__f{i}") for i, c in enumerate(carried)}
-    missing = filled.where(F.col("__n").isNull())
+        return finish(rows, {}).unionByName(added)
 
     complete = all_known(carried)
-    holes = rows.where(~complete)
-    looked_up = filled.where(F.col("__n").isNotNull()).select(
+    keys = [*groups, PERIOD]
+    mirror = [f"__s{i}" for i in range(len(keys))]
+    at_period = fills(None)
+    lookup = linked.where(here.isNotNull()).select(
         *[F.col(k).alias(m) for k, m in zip(keys, mirror)],
-        *[f"__f{i}" for i in range(len(carried))])
-    patched = holes.join(looked_up, _match(keys, mirror), "left")
-    return (
-        finish(rows.where(complete), {})
-        .unionByName(finish(missing, {**empty, **fills}))
-        .unionByName(finish(patched, {c: F.coalesce(F.col(c).cast("double")
-                                                    if strategy[c] == "interpolate"
-                                                    else F.col(c), f)
-                                      for c, f in fills.items()})))
+        *[at_period[c].alias(f"__f{i}") for i, c in enumerate(carried)])
+    patched = rows.where(~complete).join(lookup, _match(keys, mirror), "left")
+    cells = {c: F.coalesce(F.col(c).cast("double") if strategy[c] == "interpolate" else F.col(c),
+                           F.col(f"__f{i}")) for i, c in enumerate(carried)}
+    return finish(rows.where(complete), {}).unionByName(added).unionByName(finish(patched, cells))

@@ -61,10 +61,10 @@ def upsert(previous: DataFrame | None, today: DataFrame, key: str | list[str],
     require(today, keys)
     rest = [c for c in today.columns if c not in keys]
     if rest:
-        today = deduplicate(today, keys, keep="last", order_by=as_list(order_by) or rest)
+        newest = deduplicate(today, keys, keep="last", order_by=as_list(order_by) or rest)
     else:
-        today = today.distinct()
+        newest = today.distinct()
     if previous is None:
-        return today
+        return newest
     require(previous, keys)
-    return stack([anti_join(previous, today, keys), today])
+    return stack([anti_join(previous, today, keys), newest])

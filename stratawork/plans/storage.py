@@ -289,18 +289,17 @@ def lineage_downstream(t: Tables) -> DataFrame:
 # -- streamed deliveries ----------------------------------------------------
 
 
-def _chunks(t: Tables, rows: DataFrame, parts: int = 4) -> DataFrame:
-    """``rows`` as a stream of files, one per micro-batch."""
-    path = files.scratch(t.spark)
-    rows.repartition(parts).write.parquet(path)
-    return deliveries.chunks(t.spark, path, rows.schema, files_per_batch=1)
+def _stream(t: Tables, name: str) -> DataFrame:
+    """A table of the test data as a delivery of chunks. The braces make a glob
+    of the path: a file stream takes no single file otherwise."""
+    return deliveries.chunks(t.spark, f"{t.folder}/{{{name}}}.parquet", getattr(t, name).schema)
 
 
 @query("SELECT event_id, user_id, value FROM events")
 def stream_append(t: Tables) -> DataFrame:
     root = files.scratch(t.spark)
     store = Store(t.spark, f"{root}/store")
-    stream = _chunks(t, t.events.select("event_id", "user_id", "value"))
+    stream = _stream(t, "events").select("event_id", "user_id", "value")
     deliveries.stream_append(store, "web/raw/events", stream, f"{root}/staging", f"{root}/state")
     return store.read("web/raw/events")
 
@@ -316,11 +315,12 @@ def stream_accumulate(t: Tables) -> DataFrame:
     """History in a table partitioned by date, one day delivered again."""
     root = files.scratch(t.spark)
     history = t.events.select("event_id", "value", day_text("ts").alias("date"))
-    files.sink(history.repartition("date"), f"{root}/table", partition_by=["date"])
-    today = history.where("date = '2024-01-20'").withColumn("value", F.col("value") + 1)
+    files.sink(history, f"{root}/table", partition_by=["date"])
+    today = _stream(t, "events").where("ts >= TIMESTAMP_NTZ '2024-01-20' "
+                                       "AND ts < TIMESTAMP_NTZ '2024-01-21'")
     return deliveries.stream_accumulate_in_place(
-        _chunks(t, today.drop("date"), 2), f"{root}/table", "date", "2024-01-20",
-        f"{root}/staging", f"{root}/state")
+        today.select("event_id", (F.col("value") + 1).alias("value")), f"{root}/table", "date",
+        "2024-01-20", f"{root}/staging", f"{root}/state")
 
 
 @query("""
@@ -341,8 +341,8 @@ def stream_upsert(t: Tables) -> DataFrame:
     users = t.events.select("user_id").distinct()
     store.write("web/clean/last", users.select(
         "user_id", F.lit(0.0).alias("value"), F.lit("never").alias("seen")))
-    bought = t.events.where("event_type = 'purchase'") \
+    bought = _stream(t, "events").where("event_type = 'purchase'") \
         .select("user_id", "value", time_text("ts").alias("seen"))
-    deliveries.stream_upsert(store, "web/clean/last", _chunks(t, bought), "user_id",
+    deliveries.stream_upsert(store, "web/clean/last", bought, "user_id",
                              f"{root}/staging", f"{root}/state", "day 1", order_by="seen")
     return store.read("web/clean/last")

@@ -36,8 +36,13 @@ def scan(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
 
 def sink(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
          partition_by: list[str] | None = None, **options: Any) -> None:
-    """Write files: CSV and TSV with header, JSON one record per line."""
+    """Write files: CSV and TSV with header, JSON one record per line. With
+    ``partition_by`` the rows of a directory are brought together first, or each
+    task would write a file into each directory; adaptive execution splits
+    directories that are large."""
     _check(fmt)
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
