@@ -1,0 +1,124 @@
+import pytest
+
+from stratawork.operators import incremental as inc
+
+
+@pytest.fixture
+def orders(spark):
+    def make(date, *ids):
+        return spark.createDataFrame([(date, i) for i in ids], "date string, order bigint")
+    return make
+
+
+def test_first_day(orders, rows):
+    out = inc.accumulate(None, orders("2026-06-18", 1, 2), "date", "2026-06-18")
+    assert rows(out) == [("2026-06-18", 1), ("2026-06-18", 2)]
+
+
+def test_two_days(orders, rows):
+    one = inc.accumulate(None, orders("2026-06-18", 1), "date", "2026-06-18")
+    two = inc.accumulate(one, orders("2026-06-19", 2, 3), "date", "2026-06-19")
+    assert [r[1] for r in rows(two)] == [1, 2, 3]
+
+
+def test_a_day_again_replaces_it(orders, rows):
+    one = inc.accumulate(None, orders("2026-06-18", 1), "date", "2026-06-18")
+    again = inc.accumulate(one, orders("2026-06-18", 1, 9), "date", "2026-06-18")
+    assert rows(again, "order") == [(1,), (9,)]
+    twice = inc.accumulate(again, orders("2026-06-18", 1, 9), "date", "2026-06-18")
+    assert rows(twice) == rows(again)
+
+
+def test_empty_delivery_clears_its_day(orders, rows):
+    one = inc.accumulate(None, orders("2026-06-18", 1), "date", "2026-06-18")
+    assert inc.accumulate(one, orders("x").limit(0), "date", "2026-06-18").count() == 0
+
+
+def test_missing_dates_stay(spark, orders, rows):
+    old = spark.createDataFrame([(None, 5), ("2026-06-18", 1)], "date string, order bigint")
+    out = inc.accumulate(old, orders("2026-06-18", 2), "date", "2026-06-18")
+    assert rows(out, "order") == [(2,), (5,)]
+
+
+def test_date_column_added(spark, rows):
+    today = spark.createDataFrame([(1,), (2,)], "order bigint")
+    out = inc.accumulate(None, today, "date", "2026-06-18")
+    assert rows(out, "date", "order") == [("2026-06-18", 1), ("2026-06-18", 2)]
+    with pytest.raises(ValueError):
+        inc.accumulate(None, today, "date", None)
+
+
+@pytest.mark.parametrize("kind", ["DATE", "TIMESTAMP", "TIMESTAMP_NTZ"])
+def test_typed_dates(spark, kind):
+    old = spark.sql(f"SELECT CAST(d AS {kind}) AS date, n FROM VALUES ('2026-06-18', 1), "
+                    "('2026-06-19', 2) t(d, n)")
+    new = spark.sql(f"SELECT CAST('2026-06-18' AS {kind}) AS date, 7 AS n")
+    out = inc.accumulate(old, new, "date", "2026-06-18")
+    assert sorted(r.n for r in out.collect()) == [2, 7]
+
+
+@pytest.fixture
+def states(spark):
+    def make(date, *pairs):
+        return spark.createDataFrame([(date, i, s) for i, s in pairs],
+                                     "date string, id bigint, state string")
+    return make
+
+
+def test_states(states, rows):
+    one = inc.accumulate_dedup(None, states("06-18", (1, "new"), (2, "new")), "date", "06-18")
+    assert one.count() == 2
+    two = inc.accumulate_dedup(one, states("06-19", (1, "new"), (2, "screening")), "date", "06-19")
+    assert rows(two, "id", "state", "date") == [
+        (1, "new", "06-18"), (2, "new", "06-18"), (2, "screening", "06-19")]
+    again = inc.accumulate_dedup(two, states("06-19", (2, "screening")), "date", "06-19")
+    assert rows(again) == rows(two)
+
+
+def test_states_missing_values_are_equal(spark, rows):
+    df = spark.createDataFrame([("06-18", 1, None), ("06-17", 1, None), (None, 2, "x")],
+                               "date string, id bigint, state string")
+    assert rows(inc.accumulate_dedup(None, df, "date", "06-18"), "id", "state", "date") == [
+        (1, None, "06-17"), (2, "x", None)]
+
+
+def test_states_without_date(spark, rows):
+    df = spark.createDataFrame([(1, "new")], "id bigint, state string")
+    assert rows(inc.accumulate_dedup(None, df, "date", "06-18"), "date") == [("06-18",)]
+
+
+@pytest.fixture
+def dim(spark):
+    def make(*data):
+        return spark.createDataFrame([(*d, n) for n, d in enumerate(data)],
+                                     "id bigint, name string, n int")
+    return make
+
+
+def test_upsert_own_duplicates(dim, rows):
+    out = inc.upsert(None, dim((1, "A"), (1, "A2"), (2, "B")), "id", "n")
+    assert rows(out, "id", "name") == [(1, "A2"), (2, "B")]
+
+
+def test_upsert_updates_adds_keeps(dim, rows):
+    first = inc.upsert(None, dim((1, "A"), (3, "C")), "id", "n")
+    out = inc.upsert(first, dim((1, "A-updated"), (2, "B")), "id", "n")
+    assert rows(out, "id", "name") == [(1, "A-updated"), (2, "B"), (3, "C")]
+    assert rows(inc.upsert(out, dim((1, "A-updated"), (2, "B")), "id", "n")) == rows(out)
+
+
+def test_upsert_composite_and_missing_key(spark, rows):
+    def make(*data):
+        return spark.createDataFrame(data, "region string, id bigint, v string")
+    old = make(("EU", 1, "old"), ("US", 1, "us"), (None, 1, "none"))
+    out = inc.upsert(old, make(("EU", 1, "new"), (None, 1, "some")), ["region", "id"])
+    assert rows(out) == [("EU", 1, "new"), ("US", 1, "us"), (None, 1, "some")]
+    with pytest.raises(KeyError):
+        inc.upsert(None, old, "nope")
+
+
+def test_upsert_empty_delivery_and_key_only(dim, spark, rows):
+    first = inc.upsert(None, dim((1, "A")), "id", "n")
+    assert rows(inc.upsert(first, dim((1, "A")).limit(0), "id", "n"), "id") == [(1,)]
+    keys = spark.createDataFrame([(1,), (1,), (2,)], "id bigint")
+    assert rows(inc.upsert(None, keys, "id")) == [(1,), (2,)]
