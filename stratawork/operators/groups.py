@@ -66,11 +66,9 @@ def deduplicate(df: DataFrame, subset: str | list[str] | None = None,
         raise ValueError(f"keep must be 'first', 'last' or False, got {keep!r}")
     if keep is False:
         keys = keys or df.columns
-        rest = [c for c in df.columns if c not in keys]
-        held = F.first(F.struct(*rest)) if rest else F.lit(None)
-        once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), held.alias("__row"))
-        return once.where("__n = 1").select(
-            *[F.col(c) if c in keys else F.col("__row").getField(c).alias(c) for c in df.columns])
+        held = [F.first(c).alias(c) for c in df.columns if c not in keys]
+        once = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *held)
+        return once.where("__n = 1").select(*df.columns)
     if not keys or set(keys) == set(df.columns):
         return df.dropDuplicates()
     if not order:

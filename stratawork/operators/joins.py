@@ -6,9 +6,10 @@ here is the shape of *outer* joins. Adaptive execution can split a hot key on
 both sides of an inner join, but only on the preserved side of an outer join.
 A left join whose right side may repeat keys is therefore built as
 
-    inner join  UNION ALL  left rows without a partner (anti join on distinct keys)
+    inner join  UNION ALL  left rows without a partner (left join with distinct keys)
 
-which gives the same rows while each part can be split.
+which gives the same rows while each part can be split. Both parts read the same
+shuffle of the left side.
 """
 
 from __future__ import annotations
@@ -75,47 +76,57 @@ def join(df: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner
     shared = {c for c in df.columns if c in other.columns} - set(keys)
     if shared and suffixes[0] == suffixes[1]:
         raise ValueError(f"columns overlap and the suffixes are equal: {sorted(shared)}")
-
-    left = df.select(*[F.col(c).alias(c + suffixes[0]) if c in shared else F.col(c)
-                       for c in df.columns])
+    left_names = [c + suffixes[0] if c in shared else c for c in df.columns]
     extra = [c for c in other.columns if c not in keys]
     right_names = [c + suffixes[1] if c in shared else c for c in extra]
-    clash = set(right_names) & set(left.columns)
-    if clash:
-        raise ValueError(f"suffixes {suffixes} produce duplicate columns: {sorted(clash)}")
+    if len({*left_names, *right_names}) < len(left_names) + len(right_names):
+        raise ValueError(f"suffixes {suffixes} produce duplicate columns")
+
+    # The right side gets names of its own; result names are given after the
+    # joins, so that the parts of an outer join read the same two shuffles.
     hidden = _hidden(keys)
+    cells = [f"__cell_{i}" for i in range(len(extra))]
     right = other.select(*[F.col(k).alias(h) for k, h in zip(keys, hidden)],
-                         *[F.col(c).alias(n) for c, n in zip(extra, right_names)])
-    out_columns = [*left.columns, *right_names]
+                         *[F.col(c).alias(n) for c, n in zip(extra, cells)])
     condition = _on(keys, hidden)
 
+    def named(part: DataFrame, from_right: bool = False, alone: bool = False) -> DataFrame:
+        """The result columns of a part; ``alone`` rows lack the other side."""
+        out = []
+        for c, n in zip(df.columns, left_names):
+            if c in keys:
+                cell = F.col(hidden[keys.index(c)] if from_right else c)
+            else:
+                cell = F.lit(None).cast(df.schema[c].dataType) if alone and from_right else F.col(c)
+            out.append(cell.alias(n))
+        for c, n, cell in zip(extra, right_names, cells):
+            missing = alone and not from_right
+            out.append((F.lit(None).cast(other.schema[c].dataType) if missing else F.col(cell))
+                       .alias(n))
+        return part.select(*out)
+
     if how == "inner":
-        return left.join(right, condition, "inner").select(*out_columns)
-
-    def left_part() -> DataFrame:
-        if unique_right or fits_broadcast(right):
-            return left.join(right, condition, "left").select(*out_columns)
-        matched = left.join(right, condition, "inner").select(*out_columns)
-        alone = left.join(_distinct_keys(other, keys), condition, "left_anti")
-        return matched.unionByName(alone, allowMissingColumns=True)
-
-    def right_alone() -> DataFrame:
-        keyed = _distinct_keys(left, keys)
-        names = [h + "_l" for h in hidden]
-        alone = right.join(keyed.toDF(*names), _on(hidden, names), "left_anti")
-        return alone.select(*[F.col(h).alias(k) for k, h in zip(keys, hidden)], *right_names)
-
-    if how == "left":
-        return left_part()
-    if how == "right":
-        if fits_broadcast(left):
-            kept = [F.col(h).alias(k) for k, h in zip(keys, hidden)]
-            rest = [c for c in out_columns if c not in keys]
-            out = left.join(right, condition, "right").select(*kept, *rest)
-            return out.select(*out_columns)
-        matched = left.join(right, condition, "inner").select(*out_columns)
-        return matched.unionByName(right_alone(), allowMissingColumns=True)
-    return left_part().unionByName(right_alone(), allowMissingColumns=True)
+        return named(df.join(right, condition, "inner"))
+    if how in ("left", "outer") and (unique_right or fits_broadcast(right)):
+        parts = [named(df.join(right, condition, "left"))]
+    elif how == "right" and fits_broadcast(df):
+        return named(df.join(right, condition, "right"), from_right=True)
+    else:
+        parts = [named(df.join(right, condition, "inner"))]
+        if how in ("left", "outer"):
+            parts.append(named(_without(df, keys, other.select(*keys)), alone=True))
+    if how in ("right", "outer"):
+        parts.append(named(_without(right, hidden, df.select(*keys)), from_right=True, alone=True))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _without(df: DataFrame, keys: list[str], others: DataFrame) -> DataFrame:
+    """Rows whose key is not among ``others``. An anti join would be moved below
+    the projections of ``df`` and could no longer share the shuffle of the inner
+    join; a left join with the distinct keys and a marker stays in place."""
+    names = [f"__other_{i}" for i in range(len(keys))]
+    known = others.toDF(*names).distinct().withColumn("__known", F.lit(True))
+    return df.join(known, _on(keys, names), "left").where(F.col("__known").isNull())
 
 
 def star_join(fact: DataFrame, dims: list[tuple[DataFrame, str | list[str]]]) -> DataFrame:

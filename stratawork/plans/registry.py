@@ -39,8 +39,9 @@ def query(sql: str | None = None) -> Callable:
 
 
 def exact(df: DataFrame, *columns: str) -> DataFrame:
-    """Money as decimals: sums of doubles depend on the order of the rows."""
-    return df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in columns})
+    """Money as decimals: sums of doubles depend on the order of the rows. Up to
+    18 digits, products included, Spark computes them as long integers."""
+    return df.withColumns({c: F.col(c).cast("decimal(12,2)") for c in columns})
 
 
 def in_cents(df: DataFrame, *columns: str) -> DataFrame:
@@ -53,7 +54,7 @@ def as_double(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def day_text(c: str) -> Column:
-    return F.date_format(c, "yyyy-MM-dd")
+    return F.col(c).cast("date").cast("string")
 
 
 def time_text(c: str) -> Column:

@@ -233,8 +233,9 @@ _STAR_SQL = """
 def sales(t: Tables) -> DataFrame:
     """Line items with their order, customer, nation and region."""
     lines = project.derive(
-        exact(t.lineitem, "l_extendedprice", "l_discount"),
-        [{"name": "revenue", "expr": "l_extendedprice * (1 - l_discount)"}])
+        exact(t.lineitem, "l_extendedprice"),
+        [{"name": "l_discount", "expr": "CAST(l_discount AS DECIMAL(4,2))"},
+         {"name": "revenue", "expr": "l_extendedprice * (1 - l_discount)"}])
     return joins.star_join(lines, [
         (t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"),
         (t.customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey"),

@@ -20,24 +20,28 @@ _LIST = "array<variant>"
 
 def _as_list(v: Column) -> Column:
     """A variant as an array of variants; null when it is not a list."""
-    return F.try_variant_get(v, "$", _LIST)
-
-
-def record_list(body: Column, data_key: str | None = None) -> Column:
-    """The records of a JSON body as an array of variants: the body itself when
-    it is a list; else the value of ``data_key`` if that key is present; else
-    the first well-known key holding a list; else the only list among the
-    values; else nothing."""
-    doc = F.try_parse_json(body)
-    fields = F.try_variant_get(doc, "$", "map<string,variant>")
-    lists = F.filter(F.transform(F.map_values(fields), _as_list), lambda v: v.isNotNull())
-    only = F.when(F.size(lists) == 1, F.get(lists, F.lit(0)))
-    named = F.coalesce(*[_as_list(F.try_element_at(fields, F.lit(k))) for k in RECORD_KEYS])
-    found = F.coalesce(named, only)
+    return F.try_variant_get(v, F.lit("$"), _LIST)
+
+
+def record_list(df: DataFrame, body: str, name: str, data_key: str | None = None) -> DataFrame:
+    """Add the records of a JSON body as an array of variants: the body itself
+    when it is a list; else the value of ``data_key`` if that key is present;
+    else the first well-known key holding a list; else the only list among the
+    values; else null. Done in steps, so that a body is parsed once."""
+    steps = (
+        df.withColumn("__doc", F.try_parse_json(F.col(body)))
+        .withColumn("__fields", F.try_variant_get("__doc", F.lit("$"), "map<string,variant>"))
+        .withColumn("__lists", F.map_filter(
+            F.transform_values("__fields", lambda _, v: _as_list(v)), lambda _, v: v.isNotNull())))
+    lists = F.col("__lists")
+    named = [F.try_element_at(lists, F.lit(k)) for k in RECORD_KEYS]
+    only = F.when(F.size(lists) == 1, F.get(F.map_values(lists), F.lit(0)))
+    found = F.coalesce(*named, only)
     if data_key:
-        found = F.when(F.map_contains_key(fields, F.lit(data_key)),
-                       _as_list(F.try_element_at(fields, F.lit(data_key)))).otherwise(found)
-    return F.coalesce(_as_list(doc), found)
+        found = F.when(F.map_contains_key("__fields", data_key),
+                       F.try_element_at(lists, F.lit(data_key))).otherwise(found)
+    out = steps.withColumn(name, F.coalesce(_as_list(F.col("__doc")), found))
+    return out.drop("__doc", "__fields", "__lists")
 
 
 def pages_to_rows(df: DataFrame, body: str, data_key: str | None = None,
@@ -46,9 +50,14 @@ def pages_to_rows(df: DataFrame, body: str, data_key: str | None = None,
     JSON text, or structs when a ``schema`` is given."""
     require(df, [body])
     rest = [c for c in df.columns if c != body]
-    items = df.select(*rest, F.explode(record_list(F.col(body), data_key)).alias(name))
-    text = F.to_json(F.col(name))
-    return items.select(*rest, (F.from_json(text, schema) if schema else text).alias(name))
+    listed = record_list(df, body, "__records", data_key)
+    items = listed.select(*rest, F.explode("__records").alias(name))
+    if schema is None:
+        return items.withColumn(name, F.to_json(name))
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    if not kind.lower().startswith("struct<"):
+        kind = T.StructType.fromDDL(kind).simpleString()
+    return items.withColumn(name, F.try_variant_get(name, F.lit("$"), kind))
 
 
 def infer_json_schema(df: DataFrame, column: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +31,7 @@ def column_records(df: DataFrame) -> list[tuple[str, str, str]]:
 
 def infer_schema(df: DataFrame) -> DataFrame:
     """Name, physical and logical type per column. No data is read."""
-    return df.sparkSession.createDataFrame(column_records(df), COLUMN_RECORD)
+    return records_frame(df.sparkSession, column_records(df), COLUMN_RECORD)
 
 
 def schema_diff(published: DataFrame, df: DataFrame) -> DataFrame:
@@ -80,5 +80,16 @@ def schema_summary(records: DataFrame) -> DataFrame:
 
 
 def records_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A few bookkeeping rows as a one-partition DataFrame."""
-    return spark.createDataFrame(rows, schema).coalesce(1)
+    """A few bookkeeping rows as a one-partition DataFrame of literals: needs no
+    Python worker."""
+    kinds = T.StructType.fromDDL(schema)
+
+    def cell(value: Any, f: T.StructField) -> Column:
+        if isinstance(value, Mapping):
+            keys, held = [F.lit(k) for k in value], [F.lit(v) for v in value.values()]
+            value = F.map_from_arrays(F.array(*keys), F.array(*held)) if value else F.create_map()
+        return F.lit(value).cast(f.dataType).alias(f.name)
+    if not rows:
+        return spark.range(0, 0, 1, 1).select(*[cell(None, f) for f in kinds])
+    structs = [F.struct(*[cell(v, f) for v, f in zip(row, kinds)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))

@@ -67,7 +67,7 @@ class Store:
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return schemas.records_frame(self.spark, [], schema)
 
     def _append(self, path: str, rows: list[tuple], schema: str) -> None:
         schemas.records_frame(self.spark, rows, schema).write.mode("append").parquet(path)
