@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 from .project import add_constant
 
+logger = logging.getLogger(__name__)
+
 
 def coerce_mixed(frames: list[DataFrame]) -> list[DataFrame]:
     """Cast columns that hold different kinds of data in different inputs to
@@ -29,6 +32,7 @@ def coerce_mixed(frames: list[DataFrame]) -> list[DataFrame]:
     to_text = {name for name, types in kinds.items() if mixed(types)}
     if not to_text:
         return frames
+    logger.warning("columns of mixed type become text: %s", sorted(to_text))
     return [df.select(*[F.col(c).cast("string").alias(c) if c in to_text else F.col(c)
                         for c in df.columns]) for df in frames]
 

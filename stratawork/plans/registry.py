@@ -46,7 +46,7 @@ def exact(df: DataFrame, *columns: str) -> DataFrame:
 
 def in_cents(df: DataFrame, *columns: str) -> DataFrame:
     """Money as whole cents: their mean is one division of exact numbers."""
-    return df.withColumns({c: F.round(F.col(c) * 100).cast("bigint") for c in columns})
+    return df.withColumns({c: F.rint(F.col(c) * 100).cast("bigint") for c in columns})
 
 
 def as_double(df: DataFrame, *columns: str) -> DataFrame:

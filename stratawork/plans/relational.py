@@ -231,11 +231,12 @@ _STAR_SQL = """
 
 
 def sales(t: Tables) -> DataFrame:
-    """Line items with their order, customer, nation and region."""
-    lines = project.derive(
-        exact(t.lineitem, "l_extendedprice"),
-        [{"name": "l_discount", "expr": "CAST(l_discount AS DECIMAL(4,2))"},
-         {"name": "revenue", "expr": "l_extendedprice * (1 - l_discount)"}])
+    """Line items with their order, customer, nation and region. Revenue is in
+    ten-thousandths: whole numbers add up exactly in any order of rows."""
+    lines = project.derive(t.lineitem, [
+        {"name": "cents", "expr": "CAST(rint(l_extendedprice * 100) AS BIGINT)"},
+        {"name": "percent", "expr": "CAST(rint(l_discount * 100) AS BIGINT)"},
+        {"name": "revenue", "expr": "CAST(cents * (100 - percent) AS DECIMAL(18,0))"}])
     return joins.star_join(lines, [
         (t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey"),
         (t.customer.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey"),
@@ -243,6 +244,10 @@ def sales(t: Tables) -> DataFrame:
         (t.region.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")])
 
 
+def _in_units(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") / 10000 for c in columns})
+
+
 @query(f"""
     SELECT r_name, c_mktsegment, CAST(sum(revenue) AS DOUBLE) AS revenue,
            CAST(sum(l_quantity) AS DOUBLE) AS l_quantity, count(*) AS l_orderkey
@@ -252,7 +257,7 @@ def sales(t: Tables) -> DataFrame:
 def star_join(t: Tables) -> DataFrame:
     out = aggregates.aggregate(sales(t), ["r_name", "c_mktsegment"],
                                {"revenue": "sum", "l_quantity": "sum", "l_orderkey": "count"})
-    return as_double(out, "revenue")
+    return _in_units(out, "revenue")
 
 
 @query(f"""
@@ -280,7 +285,7 @@ def executive_report(t: Tables) -> DataFrame:
                           column_values=["A", "N", "R"])
     out = sets.merge_union_all([(by_region, "by_region"), (by_segment, "by_segment"),
                                 (matrix, "matrix")])
-    return as_double(out, "revenue", "l_quantity", "A", "N", "R")
+    return _in_units(out, "revenue", "A", "N", "R")
 
 
 # -- aggregates -------------------------------------------------------------

@@ -61,18 +61,18 @@ def read_slice(t: Tables) -> DataFrame:
     return slices.read_slice(rows, ["c_acctbal", "c_custkey"], 20, 40).select("c_custkey", "c_name")
 
 
-_RATIO = "CASE WHEN p_size % 10 = 0 THEN CAST('Infinity' AS DOUBLE) " \
-         "WHEN p_size % 10 = 1 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice / p_size END"
+_RATIO = "CASE WHEN p_size < 10 THEN CAST('Infinity' AS DOUBLE) " \
+         "WHEN p_size > 40 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice / p_size END"
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 10 > 1 THEN p_retailprice / p_size END AS ratio "
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 40 THEN p_retailprice / p_size END AS ratio "
        "FROM part ORDER BY p_partkey LIMIT 10 OFFSET 5")
 def preview(t: Tables) -> DataFrame:
     rows = t.part.select("p_partkey", F.expr(_RATIO).alias("ratio"))
     return slices.preview(rows, "p_partkey", 10, 5)
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 10 > 1 THEN p_retailprice / p_size END AS ratio "
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 40 THEN p_retailprice / p_size END AS ratio "
        "FROM part")
 def finite_values(t: Tables) -> DataFrame:
     return finite_columns(t.part.select("p_partkey", F.expr(_RATIO).alias("ratio")))
@@ -185,6 +185,37 @@ def skip_if_same_metadata(t: Tables) -> DataFrame:
         F.col("metadata").getItem("run").cast("int").alias("run"), "n_rows")
 
 
+@query("""
+    SELECT 1 AS run, 'deprecated' AS status, count(*) AS n_rows FROM customer
+    UNION ALL SELECT 3, 'committed', count(*) FILTER (c_acctbal > 0) FROM customer
+""")
+def deprecate_version(t: Tables) -> DataFrame:
+    """Three versions: the first hidden, the second deleted."""
+    store, name = Store(t.spark, files.scratch(t.spark)), "crm/clean/customer"
+    first = store.write(name, t.customer, {"run": 1})
+    second = store.write(name, t.customer.where("c_acctbal <= 0"), {"run": 2})
+    store.write(name, t.customer.where("c_acctbal > 0"), {"run": 3})
+    store.deprecate(name, first.version)
+    store.delete_version(name, second.version)
+    return store.versions(name).select(
+        F.col("metadata").getItem("run").cast("int").alias("run"), "status", "n_rows")
+
+
+@query("""
+    SELECT count(*) AS n_rows, 'direct' AS pii_type, 'full name' AS description FROM customer
+""")
+def annotate_columns(t: Tables) -> DataFrame:
+    """Notes on a column, written with the table and read back from it."""
+    path = files.scratch(t.spark)
+    noted = schemas.annotate_columns(
+        t.customer, {"c_name": {"pii_type": "direct", "description": "full name"}})
+    files.sink(noted, path)
+    back = files.scan(t.spark, path)
+    notes = schemas.column_notes(back)["c_name"]
+    return back.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", *[F.lit(notes[k]).alias(k) for k in ("pii_type", "description")])
+
+
 @query("""
     SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'
 """)
@@ -254,19 +285,20 @@ def dq_on_commit(t: Tables) -> DataFrame:
 
 
 def _edges(t: Tables) -> DataFrame:
-    """Customers as outputs made from their orders, one edge per order, those of
-    open orders reported twice."""
+    """Priorities as outputs made from the orders of a status, one edge per
+    order, those of open orders reported twice."""
     edges = t.orders.select(
-        F.concat(F.lit("customer/"), "o_custkey").alias("output_dataset"),
-        F.col("o_orderpriority").alias("output_version"),
+        F.concat(F.lit("priority/"), "o_orderpriority").alias("output_dataset"),
+        F.year("o_orderdate").cast("string").alias("output_version"),
         F.concat(F.lit("status/"), "o_orderstatus").alias("input_dataset"),
-        F.year("o_orderdate").cast("string").alias("input_version"))
+        F.concat(F.lit("customer "), "o_custkey").alias("input_version"))
     return lineage.record(edges, edges.where("input_dataset = 'status/O'"))
 
 
-_EDGES = """(SELECT DISTINCT 'customer/' || o_custkey AS output_dataset,
-    o_orderpriority AS output_version, 'status/' || o_orderstatus AS input_dataset,
-    CAST(year(o_orderdate) AS VARCHAR) AS input_version FROM orders)"""
+_EDGES = """(SELECT DISTINCT 'priority/' || o_orderpriority AS output_dataset,
+    CAST(year(o_orderdate) AS VARCHAR) AS output_version,
+    'status/' || o_orderstatus AS input_dataset, 'customer ' || o_custkey AS input_version
+    FROM orders)"""
 
 
 @query(f"SELECT * FROM {_EDGES}")
@@ -275,15 +307,15 @@ def lineage_record(t: Tables) -> DataFrame:
 
 
 @query(f"SELECT DISTINCT input_dataset, input_version FROM {_EDGES} "
-       "WHERE output_dataset = 'customer/7'")
+       "WHERE output_dataset = 'priority/1-URGENT'")
 def lineage_upstream(t: Tables) -> DataFrame:
-    return lineage.upstream(_edges(t), "customer/7")
+    return lineage.upstream(_edges(t), "priority/1-URGENT")
 
 
 @query(f"SELECT DISTINCT output_dataset, output_version FROM {_EDGES} "
-       "WHERE input_dataset = 'status/P' AND input_version = '1998'")
+       "WHERE input_dataset = 'status/P'")
 def lineage_downstream(t: Tables) -> DataFrame:
-    return lineage.downstream(_edges(t), "status/P", "1998")
+    return lineage.downstream(_edges(t), "status/P")
 
 
 # -- streamed deliveries ----------------------------------------------------

@@ -61,9 +61,10 @@ class Store:
 
     def _read_log(self, path: str, schema: str) -> DataFrame:
         """A log table, empty when nothing was written yet. Any other failure
-        is an error: it must not look like a fresh start."""
+        is an error: it must not look like a fresh start. A log is small, and in
+        one partition it needs no shuffle."""
         try:
-            return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(schema).parquet(path).coalesce(1)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise

@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, shuffle_partitions=4, app="tests")
+    session = local_session(4, shuffle_partitions=2, app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
