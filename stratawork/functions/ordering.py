@@ -50,3 +50,25 @@ def position(order_by: list[str], ascending: bool, ties: list[str] = ()) -> Colu
         fields += [flag, F.col(name)]
     fields += [F.xxhash64(*ties)] if ties else []
     return F.struct(*[f.alias(f"o{i}") for i, f in enumerate(fields)])
+
+
+AT = "__at"
+
+
+def with_position(df: DataFrame, order_by: list[str], columns: list[str],
+                  ascending: bool = True) -> DataFrame:
+    """Add the row's place (``position``). Ties are settled by a hash of the
+    ``columns`` that are picked from, so that one row wins for all of them and no
+    other column has to be read."""
+    return df.withColumn(AT, position(order_by, ascending, sortable(df.select(*columns))))
+
+
+def edge_value(df: DataFrame, column: str, highest: bool) -> Column:
+    """The known value of a column at the highest or lowest place: an aggregate
+    with a partial step. One struct compared as a whole is cheaper than a value
+    kept next to its place."""
+    c, at = F.col(column), F.col(AT)
+    if not sortable(df.select(column)):
+        return (F.max_by if highest else F.min_by)(c, F.when(c.isNotNull(), at))
+    known = F.when(c.isNotNull(), F.struct(at, c.alias("v")))
+    return (F.max if highest else F.min)(known).getField("v")

@@ -9,16 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import all_known
-from ..functions.ordering import as_list, position, require, sortable
+from ..functions.ordering import as_list, edge_value, require, with_position
 from ..functions.scalars import day_span, ratio
 
 FUNCTIONS = ("sum", "mean", "count", "min", "max", "std", "first", "last")
 
 
-def measure(column: str, func: str, at: Column | None = None) -> Column:
-    """One aggregate. Missing values are skipped; the sum of none is 0 and the
-    deviation of one value is null. ``first``/``last`` need ``at``, the row's
-    place in the order."""
+def measure(column: str, func: str) -> Column:
+    """One aggregate that needs no order. Missing values are skipped; the sum of
+    none is 0 and the deviation of one value is null."""
     c = F.col(column)
     simple = {"mean": F.avg, "count": F.count, "min": F.min, "max": F.max,
               "std": F.stddev_samp}
@@ -27,22 +26,23 @@ def measure(column: str, func: str, at: Column | None = None) -> Column:
     if func in simple:
         return simple[func](c)
     if func in ("first", "last"):
-        if at is None:
-            raise ValueError(f"'{func}' needs order_by: rows have no order of their own")
-        pick = F.min_by if func == "first" else F.max_by
-        return pick(c, F.when(c.isNotNull(), at))
+        raise ValueError(f"'{func}' needs order_by: rows have no order of their own")
     raise ValueError(f"unknown function '{func}' (one of {FUNCTIONS})")
 
 
 def aggregate(df: DataFrame, group_by: str | list[str] | None, agg: Mapping[str, str],
               order_by: str | list[str] | None = None) -> DataFrame:
     """Group by keys, one function per column; results keep the column names.
-    Rows with a missing key are left out."""
+    Rows with a missing key are left out. ``first`` and ``last`` are the known
+    values at the two ends of ``order_by``."""
     keys, order = as_list(group_by), as_list(order_by)
     require(df, [*keys, *agg, *order])
-    at = position(order, True, sortable(df)) if order else None
-    measures = [measure(c, f, at).alias(c) for c, f in agg.items()]
-    return df.where(all_known(keys)).groupBy(*keys).agg(*measures)
+    ordered = bool(order) and not {"first", "last"}.isdisjoint(agg.values())
+    rows = df.where(all_known(keys))
+    rows = with_position(rows, order, list(agg)) if ordered else rows
+    measures = [(edge_value(df, c, f == "last") if ordered and f in ("first", "last")
+                 else measure(c, f)).alias(c) for c, f in agg.items()]
+    return rows.groupBy(*keys).agg(*measures)
 
 
 def agg_multi(df: DataFrame, fields: list[str], func: str,

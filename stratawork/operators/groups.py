@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import all_known
-from ..functions.ordering import as_list, position, require, sort_keys, sortable, total_order
+from ..functions.ordering import (as_list, edge_value, require, sortable, total_order,
+                                  with_position)
 
 
 def _backwards(df: DataFrame, order: list[str], ascending: bool, keys: list[str]) -> list[Column]:
@@ -29,11 +30,10 @@ def _per_column(df: DataFrame, group_by: str | list[str], order_by: str | list[s
                 ascending: bool, last: bool) -> DataFrame:
     keys, order = as_list(group_by), as_list(order_by)
     require(df, [*keys, *order])
-    at = position(order, ascending, sortable(df, keys))
-    pick = F.max_by if last == ascending else F.min_by
     values = [c for c in df.columns if c not in keys]
-    picked = [pick(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(c) for c in values]
-    return df.where(all_known(keys)).groupBy(*keys).agg(*picked)
+    picked = [edge_value(df, c, highest=last == ascending).alias(c) for c in values]
+    placed = with_position(df.where(all_known(keys)), order, values, ascending)
+    return placed.groupBy(*keys).agg(*picked)
 
 
 def last_per_group(df: DataFrame, group_by: str | list[str], order_by: str | list[str],

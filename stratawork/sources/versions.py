@@ -59,12 +59,13 @@ class Store:
     def _path(self, dataset: str, part: str) -> str:
         return f"{self.base}/{dataset}/{part}"
 
-    def _read_log(self, path: str, schema: str) -> DataFrame:
+    def _read_log(self, path: str, schema: str, small: bool = True) -> DataFrame:
         """A log table, empty when nothing was written yet. Any other failure
-        is an error: it must not look like a fresh start. A log is small, and in
-        one partition it needs no shuffle."""
+        is an error: it must not look like a fresh start. The log of one dataset
+        is small, and in one partition it needs no shuffle."""
         try:
-            return self.spark.read.schema(schema).parquet(path).coalesce(1)
+            log = self.spark.read.schema(schema).parquet(path)
+            return log.coalesce(1) if small else log
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -192,7 +193,8 @@ class Store:
     # -- lineage ------------------------------------------------------------
 
     def edges(self) -> DataFrame:
-        return self._read_log(f"{self.base}/lineage", lineage.EDGE).dropDuplicates()
+        return self._read_log(f"{self.base}/lineage", lineage.EDGE, small=False) \
+            .dropDuplicates()
 
     def upstream(self, dataset: str, version: str | None = None) -> DataFrame:
         return lineage.upstream(self.edges(), dataset, version)

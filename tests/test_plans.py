@@ -69,6 +69,15 @@ def test_aggregates_have_a_partial_step(t):
         assert "partial_" in text[text.index("Exchange"):]
 
 
+def test_first_and_last_read_only_their_columns(t):
+    out = aggregates.aggregate(t.orders, "o_custkey", {"o_totalprice": "last"},
+                               order_by="o_orderdate")
+    schema = plan(out)
+    schema = schema[schema.index("ReadSchema"):].splitlines()[0]
+    assert schema == "ReadSchema: struct<o_custkey:bigint,o_totalprice:double," \
+        "o_orderdate:timestamp_ntz>"
+
+
 @pytest.fixture
 def hot(spark, tmp_path):
     """A third of 60 000 rows share one key."""
