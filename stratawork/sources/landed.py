@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.nulls import col
 from ..functions.ordering import require
 from ..operators.sets import stack
 
@@ -18,30 +17,38 @@ RECORD_KEYS = ("data", "results", "items", "records", "content", "entries", "row
 _LIST = "array<variant>"
 
 
-def _as_list(v: Column) -> Column:
-    """A variant as an array of variants; null when it is not a list."""
-    return F.try_variant_get(v, F.lit("$"), _LIST)
+def _list_at(doc: str, key: str | None = None) -> Column:
+    """The list in a variant column, or under one of its keys; null when there
+    is none."""
+    return F.try_variant_get(doc, F.lit(_path(key)), _LIST)
+
+
+def _path(key: str | None) -> str:
+    if key is None:
+        return "$"
+    if '"' in key and "'" in key:
+        raise ValueError(f"key cannot be quoted in a path: {key}")
+    return f'$["{key}"]' if "'" in key else f"$['{key}']"
 
 
 def record_list(df: DataFrame, body: str, name: str, data_key: str | None = None) -> DataFrame:
     """Add the records of a JSON body as an array of variants: the body itself
     when it is a list; else the value of ``data_key`` if that key is present;
     else the first well-known key holding a list; else the only list among the
-    values; else null. Done in steps, so that a body is parsed once."""
-    steps = (
-        df.withColumn("__doc", F.try_parse_json(F.col(body)))
-        .withColumn("__fields", F.try_variant_get("__doc", F.lit("$"), "map<string,variant>"))
-        .withColumn("__lists", F.map_filter(
-            F.transform_values("__fields", lambda _, v: _as_list(v)), lambda _, v: v.isNotNull())))
-    lists = F.col("__lists")
-    named = [F.try_element_at(lists, F.lit(k)) for k in RECORD_KEYS]
-    only = F.when(F.size(lists) == 1, F.get(F.map_values(lists), F.lit(0)))
-    found = F.coalesce(*named, only)
+    values; else null. The body is parsed once, and only bodies without a named
+    list are taken apart for the last step."""
+    doc = "__doc"
+    parsed = df.withColumn(doc, F.try_parse_json(F.col(body)))
+    fields = F.try_variant_get(doc, F.lit("$"), "map<string,variant>")
+    lists = F.filter(
+        F.transform(F.map_values(fields), lambda v: F.try_variant_get(v, F.lit("$"), _LIST)),
+        lambda v: v.isNotNull())
+    only = F.when(F.size(lists) == 1, F.get(lists, F.lit(0)))
+    found = F.coalesce(*[_list_at(doc, k) for k in RECORD_KEYS], only)
     if data_key:
-        found = F.when(F.map_contains_key("__fields", data_key),
-                       F.try_element_at(lists, F.lit(data_key))).otherwise(found)
-    out = steps.withColumn(name, F.coalesce(_as_list(F.col("__doc")), found))
-    return out.drop("__doc", "__fields", "__lists")
+        present = F.try_variant_get(doc, F.lit(_path(data_key)), "variant").isNotNull()
+        found = F.when(present, _list_at(doc, data_key)).otherwise(found)
+    return parsed.withColumn(name, F.coalesce(_list_at(doc), found)).drop(doc)
 
 
 def pages_to_rows(df: DataFrame, body: str, data_key: str | None = None,
@@ -115,6 +122,11 @@ def flatten_json(df: DataFrame, column: str | None = None, schema: str | T.DataT
     return df.select(*out)
 
 
+def _number(c: str) -> Column:
+    """Text as a number, null when it is none (the text NaN included)."""
+    return F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
+
+
 def numeric_text_columns(df: DataFrame, exclude: list[str] = ()) -> list[str]:
     """Text columns with at least one value that reads as a number: one
     aggregate over all of them."""
@@ -122,7 +134,7 @@ def numeric_text_columns(df: DataFrame, exclude: list[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in exclude]
     if not text:
         return []
-    seen = df.agg(*[F.count(col(c).try_cast("double")).alias(c) for c in text]).first()
+    seen = df.agg(*[F.count(_number(c)).alias(c) for c in text]).first()
     return [c for c in text if seen[c] > 0]
 
 
@@ -147,5 +159,5 @@ def clean_sheet(sheets: Mapping[str, DataFrame], key_column: str | int | None =
         return merged
     skip = [*coerce_exclude, *(["sheet"] if named else [])]
     numbers = set(numeric_text_columns(merged, skip))
-    return merged.select(*[F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c)
+    return merged.select(*[_number(c).alias(c) if c in numbers else F.col(c)
                            for c in merged.columns])

@@ -64,7 +64,7 @@ def test_checksum(spark):
     ('{"mine": [1, 2, 3], "data": [4]}', "mine", 3), ('{"mine": null, "data": [4]}', "mine", 0),
     ('{"data": [4]}', "mine", 1), ('{"n": 1, "things": [1, 2]}', None, 2),
     ('{"a": [1], "b": [2]}', None, 0), ('{"text": "[1, 2]"}', None, 0), ('5', None, 0),
-    ('not json', None, 0), (None, None, 0), ('{"data": []}', None, 0)])
+    ('{"it\'s": [1, 2]}', "it's", 2), ('{"a.b": [1], "c": [2]}', "a.b", 1), ('not json', None, 0), (None, None, 0), ('{"data": []}', None, 0)])
 def test_records_of_a_body(spark, body, key, n):
     df = spark.createDataFrame([(7, body)], "page int, body string")
     out = landed.pages_to_rows(df, "body", key)
@@ -91,12 +91,12 @@ def test_flatten(spark):
 
 
 def test_clean_sheet(spark, rows):
-    one = spark.createDataFrame([("a", "1", "x"), (None, "2", "y"), ("b", "?", "z")],
+    one = spark.createDataFrame([("a", "1", "x"), (None, "2", "y"), ("b", "?", "NaN")],
                                 "name string, n string, note string")
     two = spark.createDataFrame([("c", "3.5")], "name string, n string")
     out = landed.clean_sheet({"one": one, "two": two}, key_column="name")
     assert rows(out, "sheet", "name", "n", "note") == [
-        ("one", "a", 1.0, "x"), ("one", "b", None, "z"), ("two", "c", 3.5, None)]
+        ("one", "a", 1.0, "x"), ("one", "b", None, "NaN"), ("two", "c", 3.5, None)]
     single = landed.clean_sheet({"one": one}, key_column=0, coerce_exclude=["n"])
     assert single.columns == ["name", "n", "note"] and single.schema["n"].dataType.typeName() \
         == "string"
