@@ -63,7 +63,13 @@ def remove(spark: SparkSession, path: str) -> bool:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name all executors can reach: under ``spark.checkpoint.dir``
-    where the cluster names one, else (local runs) a temporary folder."""
+    where the cluster names one. Without it only a local master may go on, in a
+    temporary folder of this machine; on a cluster that is an error, because each
+    executor would write to its own disk."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="stratawork-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if not shared:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="stratawork-")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
