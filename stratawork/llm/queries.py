@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing
+from . import byte_bpe, language, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,15 @@ def op10_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(table(spark, folder, "documents"),
                             public_tokenizers.path("byte_bpe_50k.tiktoken"),
                             public_tokenizers.PATTERN)
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from two of three labelled folds."""
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four of five folds."""
+    return language.predict(table(spark, folder, "documents"))
