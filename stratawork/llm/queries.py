@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, packing, quality
+from . import byte_bpe, language, minhash, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,9 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from four of five folds."""
     return language.predict(table(spark, folder, "documents"))
+
+
+@query
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicates of two-word shingles at 0.8 among all documents."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), words=2)
