@@ -17,6 +17,10 @@ Batch = pa.RecordBatch
 Maker = Callable[[], Callable[[Batch], list]]
 
 
+#: Rows whose texts are Python objects at a time.
+SLICE = 1000
+
+
 def with_arrow(df: DataFrame, added: str | T.StructType, maker: Maker) -> DataFrame:
     """``df`` with the columns of ``added``, computed per Arrow batch. A column
     of the same name is replaced; all others pass unchanged."""
@@ -28,14 +32,14 @@ def with_arrow(df: DataFrame, added: str | T.StructType, maker: Maker) -> DataFr
 
     def run(batches: Iterator[Batch]) -> Iterator[Batch]:
         compute = maker()
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            made = [v if isinstance(v, pa.Array) else pa.array(v, type=t)
-                    for v, t in zip(compute(batch), types)]
-            yield pa.RecordBatch.from_arrays([*arrays, *made],
-                                             names=[*names, *new.fieldNames()])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                arrays = [column(batch, n) for n in names]
+                made = [v if isinstance(v, pa.Array) else pa.array(v, type=t)
+                        for v, t in zip(compute(batch), types)]
+                yield pa.RecordBatch.from_arrays([*arrays, *made],
+                                                 names=[*names, *new.fieldNames()])
 
     return df.mapInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, minhash, packing, quality
+from . import byte_bpe, language, minhash, packing, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,9 @@ def op9_language(spark: SparkSession, folder: str) -> DataFrame:
 def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicates of two-word shingles at 0.8 among all documents."""
     return minhash.near_duplicates(table(spark, folder, "documents"), words=2)
+
+
+@query
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.counts(table(spark, folder, "documents"))
