@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, language, minhash, packing, pii, quality
+from . import byte_bpe, language, minhash, packing, pii, quality, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +60,20 @@ def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
 def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every text."""
     return pii.counts(table(spark, folder, "documents"))
+
+
+#: The host and path rules that the query applies.
+URL_RULES = [url_rules.Rule("allow", "org/"), url_rules.Rule("block", "example.org/es/"),
+             url_rules.Rule("block", "example.org/en/1"), url_rules.Rule("allow", "com/fr/"),
+             url_rules.Rule("block", "com/de/")]
+
+
+@query
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's url by rules, and by what FP-growth mines from the labels of
+    the documents with the pages' ids: of low quality or toxic is to block."""
+    pages = table(spark, folder, "pages")
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    labelled = pages.select("page_id", "url").join(labels, "page_id")
+    return url_rules.judge(pages, url_rules.mine(labelled), URL_RULES)
