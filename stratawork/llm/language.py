@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import column, fold, sampled, with_arrow
 
 UNKNOWN = "und"
+#: Languages up to which their shares are broadcast.
+BROADCAST_LANGUAGES = 5_000
 POINT = np.uint64(21)  # bits of a code point
 #: Code points counted at a time; a longer text is counted in pieces.
 PIECE = 1_000_000
@@ -114,6 +116,8 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
     share = rows.groupBy(lang).agg(
         F.least(F.lit(1.0), max_rows / F.count("*")).alias("__share"))
+    if share.count() <= BROADCAST_LANGUAGES:  # else the join shuffles
+        share = F.broadcast(share)
     rows = rows.join(share, lang).where(
         sampled(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__share")))
 
