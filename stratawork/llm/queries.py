@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, minhash, packing, pii, quality, url_rules
+from . import byte_bpe, language, minhash, packing, pii, quality, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,9 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
     labelled = pages.select("page_id", "url").join(labels, "page_id")
     return url_rules.judge(pages, url_rules.mine(labelled), URL_RULES)
+
+
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages to seekable bundles and back."""
+    return warc.round_trip(table(spark, folder, "pages"))
