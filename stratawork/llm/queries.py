@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, minhash, packing, pii, quality, url_rules, warc
+from . import byte_bpe, language, minhash, near_vectors, packing, pii, quality, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages to seekable bundles and back."""
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@query
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
