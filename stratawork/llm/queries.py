@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, minhash, near_vectors, packing, pii, quality, url_rules, warc
+from . import byte_bpe, language, minhash, near_vectors, packing, pii, quality, topk, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,10 @@ def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9."""
     return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best of all documents for every document whose id 50 divides."""
+    docs = table(spark, folder, "documents")
+    return topk.search(docs, docs.where("doc_id % 50 = 0"))
