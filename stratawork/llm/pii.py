@@ -102,7 +102,9 @@ LETTERS, DIGITS = re.compile(r"x+|X+"), re.compile(r"d{5,}")
 
 
 def features(shape: str) -> list[str]:
-    """What a token's shape says."""
+    """What a token's shape says; nothing for an empty one."""
+    if not shape:
+        return []
     short = DIGITS.sub("D", LETTERS.sub(lambda m: m[0][0], shape[:60]))[:20]
     n = shape.count("d")
     return ["any", "is " + short, "head " + short[0], "tail " + short[-1],
@@ -182,13 +184,13 @@ class Field:
             while order and (not group or (len(group) + 1) * longest <= 150_000):
                 group.append(order.pop())
             sizes = [len(documents[i]) for i in group]
-            flat = self.emissions([s for i in group for s in documents[i]])
-            # The tokens at borders see no neighbour of another document.
+            # An empty shape between documents: none sees a neighbour's token.
+            flat = self.emissions([s for i in group for s in (*documents[i], "")])
             e = np.zeros((longest, len(group), STATES), np.float32)
             at = 0
             for j, n in enumerate(sizes):
                 e[:n, j] = flat[at:at + n]
-                at += n
+                at += n + 1
             for j, tags in enumerate(self._viterbi(e, sizes)):
                 out[group[j]] = tags
         return out

@@ -1,0 +1,181 @@
+"""Byte-level BPE and packing."""
+
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from stratawork.llm import byte_bpe, packing
+from stratawork.llm.queries import op1_packing, op10_byte_bpe
+from tests.conftest import DATA
+
+RANKS, FILE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+LONG = "word " * 40_000 + "x" * 100_000
+TEXTS = [None, "", " ", "\n\n  a\t b\x1c!\x85c", "it's 'tis we'll", "naïve ñandú 你好 😀😀", "a", "a", LONG]
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN,
+                             mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n\t'stre.,1")),
+               max_size=40))
+def test_encoder_equals_whole_text_encoding(text):
+    made = byte_bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    whole = made.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(made.ids(text), "<u4").tolist() == whole
+    assert np.frombuffer(byte_bpe.encoder(FILE).ids(text), "<u4").tolist() == whole
+    table = byte_bpe.token_bytes(RANKS)
+    assert b"".join(table[i] for i in whole) == text.encode()
+
+
+def test_small_cache_gives_the_same_ids(oracle):
+    tight = byte_bpe.Encoder(byte_bpe.from_file(FILE), limit=3)
+    for text in TEXTS[2:8]:
+        assert np.frombuffer(tight.ids(text), "<u4").tolist() == oracle.encode_ordinary(text)
+
+
+def frame(spark):
+    rows = [(i, t, "kept", b"old") for i, t in enumerate(TEXTS)] + [(None, "a b", None, None), (3, "again", "", b"")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, length string, ids binary")
+
+
+def test_encode_decode_offsets(spark, oracle):
+    made = byte_bpe.encode(frame(spark), RANKS, public_tokenizers.PATTERN)
+    rows = byte_bpe.offsets(byte_bpe.decode(made, RANKS), RANKS).collect()
+    assert len(rows) == len(TEXTS) + 2 and "length" in rows[0].asDict()
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert ids == oracle.encode_ordinary(r["text"] or "")
+        assert r["decoded"] == (r["text"] or "").encode()
+        assert len(r["token_start"]) == len(ids)
+        if ids and len(ids) < 100:
+            for i, a, b in zip(ids, r["token_start"], r["token_end"]):
+                assert byte_bpe.token_bytes(RANKS)[i] in r["text"][a:b].encode()
+    assert byte_bpe.digests(frame(spark).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_text_of_cut_characters():
+    raw = "é😀x".encode()
+    assert byte_bpe.as_text(raw) == ("é😀x", 0, 0)
+    assert byte_bpe.as_text(raw[1:4]) == ("", 1, 2)
+    assert byte_bpe.as_text(raw[3:]) == ("x", 3, 0)
+    assert byte_bpe.as_text(b"") == ("", 0, 0)
+
+
+def test_query_bpe(spark, oracle):
+    import hashlib
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in op10_byte_bpe(spark, DATA).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        ids = oracle.encode_ordinary(d["text"] or "")
+        r = got[d["doc_id"]]
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
+
+
+def test_best_filling_is_closest():
+    random.seed(5)
+    for _ in range(150):
+        counts = {random.randint(1, 30): random.randint(1, 4) for _ in range(random.randint(0, 6))}
+        capacity = random.randint(0, 60)
+        sums = {0}
+        for n, c in counts.items():
+            sums = {s + n * j for s in sums for j in range(c + 1) if s + n * j <= capacity}
+        used = packing.best_filling(counts, capacity)
+        assert sum(n * c for n, c in used.items()) == max(sums)
+        assert all(c <= counts[n] for n, c in used.items())
+
+
+def windows_of(plan):
+    out = defaultdict(list)
+    for of, low, high, cut, size, first, copies, window, place in plan:
+        for rank in range(low, high):
+            k = first + rank - low
+            out[window + k // copies].append((place + k % copies * size, size, of, rank, cut))
+    return out
+
+
+@pytest.mark.parametrize("histogram", [
+    {}, {8: 3}, {5: 1}, {5: 100}, {3: 7, 5: 9, 8: 2}, {7: 50, 6: 49}, {n: n for n in range(1, 9)}])
+def test_plan_holds_every_token_once(histogram):
+    windows = windows_of(packing.plan_windows(histogram, 8))
+    seen = defaultdict(list)
+    for parts in windows.values():
+        at = 0
+        for place, size, of, rank, cut in sorted(parts):
+            assert place == at
+            at += size
+            seen[of, rank].append((cut, size))
+        assert at <= 8
+    assert len(seen) == sum(histogram.values())
+    for (of, _), parts in seen.items():
+        at = 0
+        for cut, size in sorted(parts):
+            assert cut == at
+            at += size
+        assert at == of
+    tokens = sum(n * c for n, c in histogram.items())
+    assert len(windows) <= -(-tokens // 8) + 1
+
+
+def check_packed(rows, ids_of, capacity):
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append((r["offset"], r["length"]))
+    for doc, pieces in by_doc.items():
+        total = sum(len(i) for i in ids_of[doc])
+        assert sum(p["length"] for p in pieces) == total
+        if len(ids_of[doc]) == 1:
+            at = 0
+            for p in sorted(pieces, key=lambda p: p["start"]):
+                part = np.array(ids_of[doc][0][at:at + p["length"]], "<u4").tobytes()
+                assert p["start"] == at and p["doc_tokens"] == total and p["ids_crc32"] == zlib.crc32(part)
+                if "ids" in p.asDict():
+                    assert p["ids"] == part
+                at += p["length"]
+    assert set(by_doc) == set(ids_of)
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return sum(capacity - sum(n for _, n in p) for p in by_sequence.values())
+
+
+@pytest.mark.parametrize("capacity", [16, 1024])
+def test_pack_edge_cases(spark, oracle, capacity):
+    df = frame(spark).repartition(3)
+    ids_of = defaultdict(list)
+    for r in df.collect():
+        ids_of[r["doc_id"]].append([*oracle.encode_ordinary(r["text"] or ""), 0])
+    rows = packing.pack(df, FILE, capacity=capacity).collect()
+    assert check_packed(rows, ids_of, capacity) <= 2 * capacity
+    assert packing.pack(df.limit(0), FILE).count() == 0
+
+
+def test_pack_cuts_what_fits_badly(spark, oracle):
+    df = spark.createDataFrame([(i, "a b c d e f g h i j") for i in range(50)], "doc_id bigint, text string")
+    ids = [*oracle.encode_ordinary("a b c d e f g h i j"), 0]
+    rows = packing.pack(df, FILE, capacity=16).collect()
+    assert check_packed(rows, {i: [ids] for i in range(50)}, 16) < 16
+
+
+def test_query_packing(spark, oracle):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    rows = op1_packing(spark, DATA).collect()
+    ids_of = {d["doc_id"]: [[*oracle.encode_ordinary(d["text"] or ""), 0]] for d in docs}
+    assert check_packed(rows, ids_of, 1024) < 1024
