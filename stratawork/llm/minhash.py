@@ -188,9 +188,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     A pair of similarity s shares no bucket with probability
     (1 - s ** rows) ** bands, 7e-5 at 0.8 as set; a batch drops a pair that
     belongs together with probability of about ``miss``. No other pair is lost.
-    Keys are whole numbers; rows with the same key are one node. A row without key
-    is linked with nothing: its component is null and it is kept. An empty table
-    gives no rows; other columns are not kept."""
+    Keys are whole numbers. Rows that repeat a key are each judged by their own
+    text. A row without key is linked with nothing: its component is null and it is
+    kept. An empty table gives no rows; other columns are not kept."""
     size = bands * rows
     work = Workspace(docs.sparkSession)
     steps = least_matches(size, batch, percent / 100, miss)
@@ -245,8 +245,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
         other = open_.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"),
                              F.col("comp").alias("cb"), F.col("w").alias("wb"))
         if not each:
-            other = other.groupBy("bucket").agg(F.max(F.struct("wb", (-F.col("b")).alias("h"), "nb", "cb")).alias("m"))
-            other = other.select("bucket", (-F.col("m.h")).alias("b"), "m.nb", "m.cb")
+            hub = F.max(F.struct("wb", (-F.col("b")).alias("h"), "nb", "cb")).alias("m")
+            other = other.groupBy("bucket").agg(hub).select(
+                "bucket", (-F.col("m.h")).alias("b"), "m.nb", "m.cb")
         pairs = open_.join(other, "bucket").where(
             (F.col("comp") != F.col("cb") if not each else F.col("comp") < F.col("cb"))
             & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")))
@@ -264,9 +265,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
             "node", F.coalesce("joined", "component").alias("component")))
         tried = tried.union(new)
 
-    at = signed.join(classes, "digest", "left").select(key, F.col("n").alias("n_shingles"), F.col("id").alias("__rep"))
-    out = at.join(groups.withColumnRenamed("node", "__rep"), "__rep", "left").select(
-        key, "n_shingles", F.coalesce("component", "__rep", F.col(key).cast("bigint")).alias("component_id"))
+    named = signed.withColumn("digest", F.when(F.col(key).isNotNull(), F.col("digest")))
+    named = named.join(classes, "digest", "left").select(
+        key, F.col("n").alias("n_shingles"), F.col("id").alias("node"))
+    out = named.join(groups, "node", "left").select(
+        key, "n_shingles",
+        F.coalesce("component", "node", F.col(key).cast("bigint")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
 
 

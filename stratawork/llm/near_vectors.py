@@ -170,9 +170,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     Vectors are linked if they have the same length, meet in a bucket, and their
     cosine is at least ``threshold``. Null, empty and zero vectors and those with a
-    null or a value that is not finite have no links. Keys are whole numbers; rows
-    of the same key are one node. A row without key has no links, a null component,
-    and is kept. An empty table gives no rows; other columns are not kept."""
+    null or a value that is not finite have no links. Keys are whole numbers. Rows
+    that repeat a key are each judged by their own vector, and are not linked with
+    each other unless equal. A row without key has no links, a null component, and
+    is kept. An empty table gives no rows; other columns are not kept."""
     work = Workspace(vectors.sparkSession)
     rows = work.table(_comparable(vectors, key, vector))
     usable = rows.where(F.col("id").isNotNull() & F.col("digest").isNotNull())

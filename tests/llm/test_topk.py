@@ -1,0 +1,70 @@
+"""Exact top-k search."""
+
+import random
+
+import pytest
+
+from stratawork.llm import topk
+from stratawork.llm.queries import op2_topk
+from tests.conftest import DATA
+from tests.llm.reference import bm25
+
+
+def best(docs, query, k):
+    scores = bm25([t for _, t in docs], query)
+    order = sorted(((-round(s, 8), d is None, d) for (d, _), s in zip(docs, scores) if s > 0))
+    return [(d, -s) for s, _, d in order[:k]]
+
+
+def check(rows, docs, queries, k):
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], round(r["score"], 8)))
+    for q, text in queries:
+        mine = sorted(got.pop(q, []))
+        want = best(docs, text, k)
+        assert [r[0] for r in mine] == list(range(1, len(want) + 1))
+        assert [round(r[2], 5) for r in mine] == [round(s, 5) for _, s in want]
+        firm = [d for d, s in want if abs(s - want[-1][1]) > 1e-6]
+        assert set(firm) <= {r[1] for r in mine}
+    assert not got
+
+
+@pytest.mark.parametrize("block, shard", [(3, 17), (64, 20_000)])
+def test_equals_scoring_all(spark, monkeypatch, block, shard):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "SHARD_DOCS", shard)
+    rng = random.Random(8)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 60)))) for i in range(120)]
+    docs += [(200, None), (201, ""), (202, "?!"), (203, "W1 " * 30_000), (204, docs[5][1]), (205, docs[5][1]),
+             (None, "w1 w2 w3"), (206, "einzig")]
+    queries = [(1, "w1"), (2, "w1 w1 w2 w9 unknown"), (3, None), (4, ""), (5, "absent"), (6, docs[5][1]),
+               (7, " ".join(words)), (8, "Einzig!")]
+    d = spark.createDataFrame([(*r, 1.0, "x") for r in docs], "doc_id bigint, text string, score double, rank string")
+    q = spark.createDataFrame(queries + [(None, "w1")], "doc_id bigint, text string")
+    check(topk.search(d.repartition(3), q, k=5).collect(), docs, queries, 5)
+
+
+def test_empty_tables(spark):
+    d = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    assert topk.search(d.limit(0), d).count() == 0
+    assert topk.search(d, d.limit(0)).count() == 0
+
+
+def test_bounds_skip_blocks():
+    docs = [topk.term_counts(("rare " if i < 3 else "") + f"common u{i}") for i in range(2000)]
+    shard = topk.Shard(list(range(2000)), docs, 2.0, 1.2, 0.75)
+    opened, plain = [], shard._scores
+    shard._scores = lambda blocks: opened.extend(blocks) or plain(blocks)
+    terms, _ = topk.term_counts("rare common")
+    import numpy as np
+    weights = np.where(terms == topk.term_counts("rare")[0][0], 6.0, 0.01)
+    found = shard.search(terms, weights, 3)
+    assert sorted(d for d, _ in found) == [0, 1, 2]
+    assert len(opened) < shard.blocks / 2
+
+
+def test_query_topk(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    check(op2_topk(spark, DATA).collect(), docs, [(d, t) for d, t in docs if d % 50 == 0], 10)
