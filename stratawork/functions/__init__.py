@@ -1,3 +1,3 @@
-from . import cleaning, nulls, ordering, scalars, sizing
+from . import cleaning, nulls, ordering, scalars
 
-__all__ = ["cleaning", "nulls", "ordering", "scalars", "sizing"]
+__all__ = ["cleaning", "nulls", "ordering", "scalars"]

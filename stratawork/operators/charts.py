@@ -11,7 +11,9 @@ from ..functions.nulls import all_known
 from ..functions.ordering import require, sort_keys, total_order
 from .aggregates import measure
 
-LIMIT = 200
+
+def _first(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
 
 
 def _as_category(df: DataFrame, names: list[str | None]) -> DataFrame:
@@ -32,7 +34,7 @@ def _axis_order(x: str, sort: str | None, by_other: bool) -> list[Column]:
 
 def chart_xy(df: DataFrame, x: str, y: str | None = None, agg: str = "sum",
              sort: str | None = None, sort_field: str | None = None,
-             limit: int = LIMIT, name: str = "value") -> DataFrame:
+             limit: int | None = None, name: str = "value") -> DataFrame:
     """Bar or line: one value per category. Order: by ``sort_field`` if given,
     else by category; counts without any sort come largest first."""
     require(df, [c for c in (x, y if agg != "count" else None, sort_field) if c])
@@ -50,12 +52,12 @@ def chart_xy(df: DataFrame, x: str, y: str | None = None, agg: str = "sum",
     if agg == "count" and not sort and not sort_field:
         order = [F.col("__v").desc(), *order]
     number = F.col("__v") if agg == "count" else chart_number(F.col("__v"))
-    return grouped.orderBy(*order).limit(limit).select(x, number.alias(name))
+    return _first(grouped.orderBy(*order), limit).select(x, number.alias(name))
 
 
 def chart_xy_color(df: DataFrame, x: str, color: str, y: str | None = None, agg: str = "sum",
                    sort: str | None = None, sort_field: str | None = None,
-                   limit: int = LIMIT, colors: list[str] | None = None) -> DataFrame:
+                   limit: int | None = None, colors: list[str] | None = None) -> DataFrame:
     """Category by colour matrix, 0 where a pair does not occur. Colours become
     columns; give ``colors`` to save the job that looks them up."""
     require(df, [c for c in (x, color, y if agg != "count" else None, sort_field) if c])
@@ -70,19 +72,19 @@ def chart_xy_color(df: DataFrame, x: str, color: str, y: str | None = None, agg:
     names = [c[:-2] for c in wide.columns[1:] if c.endswith("_v")]
     lowest = F.array_min(F.array(*[F.col(f"`{n}_by`") for n in names]))
     ordered = wide.withColumn("__by", lowest).orderBy(*_axis_order(x, sort, bool(sort_field)))
-    return ordered.limit(limit).select(x, *[
+    return _first(ordered, limit).select(x, *[
         F.coalesce(chart_number(F.col(f"`{n}_v`")), F.lit(0.0)).alias(n) for n in names])
 
 
-def chart_pie(df: DataFrame, x: str, y: str, agg: str = "sum", limit: int = LIMIT) -> DataFrame:
-    """Name, value and share of the slices shown."""
+def chart_pie(df: DataFrame, x: str, y: str, agg: str = "sum", limit: int | None = None) -> DataFrame:
+    """Name, value and share of the whole; with ``limit`` the first slices, their
+    shares still those of the whole."""
     require(df, [x, y])
     rows = _as_category(df, [x]).where(F.col(x).isNotNull())
-    slices = rows.groupBy(x).agg(measure(y, agg).alias("__v")) \
-        .orderBy(*sort_keys(x)).limit(limit) \
-        .select(F.col(x).cast("string").alias("name"), chart_number(F.col("__v")).alias("value"))
+    slices = rows.groupBy(x).agg(chart_number(measure(y, agg)).alias("value"))
     whole = slices.agg(F.sum("value")).scalar()
-    return slices.select("name", "value",
+    return _first(slices.orderBy(*sort_keys(x)), limit).select(
+        F.col(x).cast("string").alias("name"), "value",
                          F.round(F.try_divide(F.col("value"), whole), 6).alias("share"))
 
 
@@ -129,9 +131,9 @@ def chart_histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
 
 
 def chart_scatter(df: DataFrame, x: str, y: str, order_by: str | list[str],
-                  limit: int = LIMIT) -> DataFrame:
-    """The first ``limit`` complete (x, y) pairs in ``order_by``."""
-    pairs = df.where(all_known([x, y])).orderBy(*total_order(df, order_by)).limit(limit)
+                  limit: int | None = None) -> DataFrame:
+    """The complete (x, y) pairs in ``order_by``, the first ``limit`` if given."""
+    pairs = _first(df.where(all_known([x, y])).orderBy(*total_order(df, order_by)), limit)
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     return pairs.select(*[chart_number(F.col(c)).alias(c) if c in numeric else F.col(c)
                           for c in (x, y)])
@@ -142,7 +144,7 @@ def chart_radar(df: DataFrame, axes: list[str], group_by: str | None = None,
     """One row per group and axis with the value and the axis end, 1.2 times the
     largest value (1 where that is 0). At least three axes; count means sum."""
     if len(axes) < 3:
-        raise ValueError("a radar needs at least 3 axes to form a polygon")
+        raise ValueError(f"radar charts show three axes or more, got {axes}")
     require(df, [*axes, *([group_by] if group_by else [])])
     func = "sum" if agg == "count" else agg
     measures = [measure(a, func).alias(a) for a in axes]
@@ -163,7 +165,7 @@ def chart_radar(df: DataFrame, axes: list[str], group_by: str | None = None,
 
 
 def chart_combo(df: DataFrame, x: str, series: list[tuple[str, str]], sort: str | None = None,
-                sort_field: str | None = None, limit: int = LIMIT) -> DataFrame:
+                sort_field: str | None = None, limit: int | None = None) -> DataFrame:
     """Several measures per category, each ``(column, function)``, in one
     aggregate and one category order. Results are named ``column_function``."""
     if not series:
@@ -175,6 +177,6 @@ def chart_combo(df: DataFrame, x: str, series: list[tuple[str, str]], sort: str
     names = [f"{c}_{f}" for c, f in series]
     grouped = rows.groupBy(x).agg(
         *[_value(c, f).alias(n) for (c, f), n in zip(series, names)], *by)
-    ordered = grouped.orderBy(*_axis_order(x, sort, bool(sort_field))).limit(limit)
+    ordered = _first(grouped.orderBy(*_axis_order(x, sort, bool(sort_field))), limit)
     return ordered.select(F.col(x).cast("string").alias(x),
                           *[chart_number(F.col(n)).alias(n) for n in names])

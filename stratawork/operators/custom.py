@@ -54,16 +54,3 @@ def transform_grouped(df: DataFrame, keys: str | list[str], partial: PandasFn,
     merged = salted.groupBy(*names, "__salt").applyInPandas(
         lambda g: partial(g.drop(columns="__salt")), partial_schema)
     return merged.groupBy(*names).applyInPandas(merge, schema)
-
-
-def transform_whole_groups(df: DataFrame, keys: str | list[str], fn: PandasFn, schema: str,
-                           max_group_rows: int = 1_000_000) -> DataFrame:
-    """Per-group pandas code that needs all rows of its group. The largest group
-    is counted first (one aggregate over the keys); beyond ``max_group_rows``
-    this is an error, and the code has to be split for ``transform_grouped``."""
-    names = as_list(keys)
-    require(df, names)
-    largest = df.groupBy(*names).count().agg(F.max("count")).first()[0] or 0
-    if largest > max_group_rows:
-        raise ValueError(f"largest group has {largest} rows, more than {max_group_rows}")
-    return df.groupBy(*names).applyInPandas(fn, schema)

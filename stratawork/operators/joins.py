@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import as_list, require
-from ..functions.sizing import fits_broadcast
 
 HOW = ("inner", "left", "right", "outer")
 
@@ -107,10 +106,8 @@ def join(df: DataFrame, other: DataFrame, on: str | list[str], how: str = "inner
 
     if how == "inner":
         return named(df.join(right, condition, "inner"))
-    if how in ("left", "outer") and (unique_right or fits_broadcast(right)):
+    if how in ("left", "outer") and unique_right:
         parts = [named(df.join(right, condition, "left"))]
-    elif how == "right" and fits_broadcast(df):
-        return named(df.join(right, condition, "right"), from_right=True)
     else:
         parts = [named(df.join(right, condition, "inner"))]
         if how in ("left", "outer"):

@@ -8,12 +8,9 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordering import as_list, require
-from ..functions.scalars import lookup
-
-# Beyond this many entries a map literal is searched too slowly per row.
-LITERAL_MAP_ENTRIES = 500
 
 
 def filter_rows(df: DataFrame, condition: str | Column) -> DataFrame:
@@ -47,20 +44,33 @@ def derive(df: DataFrame, columns: list[Mapping[str, Any]]) -> DataFrame:
 
 
 def derive_mapping(df: DataFrame, name: str, source: str, mapping: Mapping[Any, Any]) -> DataFrame:
-    """Static value to label, null when unmatched. Keys are cast to the type
-    of ``source``. A long mapping becomes a small table to join with."""
+    """Static value to label, null when unmatched. The mapping becomes a table of
+    keys, cast to the type of ``source``, and labels of their own type, whatever its
+    length; a replaced column keeps its place. Keys that fit no value of ``source``
+    never match, a missing key neither; keys that are the same value there are an
+    error. Catalyst broadcasts the table while it is small."""
     require(df, [source])
-    kind = df.schema[source].dataType.simpleString()
     if not mapping:
-        return df.withColumn(name, F.lit(None).cast("string"))
-    if len(mapping) <= LITERAL_MAP_ENTRIES:
-        return df.withColumn(name, lookup(source, mapping, kind))
-    table = df.sparkSession.createDataFrame(
-        [(str(k), v) for k, v in mapping.items()], ["__key", "__label"])
-    table = table.select(F.col("__key").cast(kind), "__label").dropDuplicates(["__key"])
-    out = df.join(table, F.col(source) == F.col("__key"), "left")
-    keep = [c for c in df.columns if c != name]
-    return out.select(*keep, F.col("__label").alias(name))
+        label = F.lit(None).cast("string")
+        table = None
+    else:
+        kind = df.schema[source].dataType
+        pairs = [(str(k), v) for k, v in mapping.items() if k is not None]
+        labels = df.sparkSession.createDataFrame([(v,) for v in mapping.values()], ["v"]).schema["v"].dataType
+        table = df.sparkSession.createDataFrame(
+            pairs, T.StructType([T.StructField("__key", T.StringType()), T.StructField("__label", labels)]))
+        key = F.col("__key").try_cast(kind)
+        if isinstance(kind, T.IntegralType):  # 1.0 is 1
+            real = F.col("__key").try_cast("double")
+            key = F.coalesce(key, F.when(real == F.floor(real), real.try_cast(kind)))
+        table = table.select(key.alias("__key"), "__label").dropna(subset=["__key"])
+        again = table.groupBy("__key").count().where("count > 1").first()
+        if again is not None:
+            raise ValueError(f"column '{name}': several keys are the same value {again[0]!r} of '{source}'")
+        df, label = df.join(table, F.col(source) == F.col("__key"), "left"), F.col("__label")
+    names = [c for c in df.columns if c not in ("__key", "__label")]
+    out = [label.alias(c) if c == name else F.col(c) for c in names]
+    return df.select(*out, *([] if name in names else [label.alias(name)]))
 
 
 def add_constant(df: DataFrame, name: str, value: Any, replace: bool = False) -> DataFrame:

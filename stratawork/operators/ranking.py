@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import as_list, require, sort_keys, total_order
@@ -14,7 +14,7 @@ def sort(df: DataFrame, order_by: str | list[str], ascending: bool = True) -> Da
     return df.orderBy(*sort_keys(order_by, ascending))
 
 
-def top_k(df: DataFrame, order_by: str | list[str], k: int = 200,
+def top_k(df: DataFrame, order_by: str | list[str], k: int,
           ascending: bool = False) -> DataFrame:
     """First ``k`` rows in order (each task keeps only its own best ``k``)."""
     require(df, as_list(order_by))
@@ -37,10 +37,26 @@ def page(df: DataFrame, order_by: str | list[str], limit: int, offset: int = 0)
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def page_after(df: DataFrame, key: str, limit: int, after: object | None = None) -> DataFrame:
-    """The ``limit`` rows that follow key ``after``. The filter reaches the
-    scan, so the cost does not grow with the depth of the page. ``key`` must be
-    unique, or rows that share the last key of a page would be missed."""
-    require(df, [key])
-    rows = df if after is None else df.where(F.col(key) > F.lit(after))
-    return rows.orderBy(F.col(key).asc_nulls_last()).limit(limit)
+def page_after(df: DataFrame, key: str | list[str], limit: int,
+               after: object | None = None) -> DataFrame:
+    """The rows that follow the key ``after`` (a tuple for several columns; absent:
+    from the start), in order of the key, missing values last: ``limit`` of them and
+    all that share the last one's key, so that the next page can go on from it. The
+    filter reaches the scan, so the cost does not grow with the depth of the page."""
+    keys = as_list(key)
+    require(df, keys)
+    rows = df
+    if after is not None:
+        values = list(after) if isinstance(after, (tuple, list)) else [after]
+        if len(values) != len(keys):
+            raise ValueError(f"after needs {len(keys)} values, got {len(values)}")
+        later, equal = F.lit(False), F.lit(True)
+        for c, v in zip(map(F.col, keys), values):
+            if v is not None:  # nothing follows a missing value
+                later = later | (equal & ((c > F.lit(v)) | c.isNull()))
+            equal = equal & (c.isNull() if v is None else c == F.lit(v))
+        rows = df.where(later)
+    # Ranks up to a limit are cut in each task before the rows meet.
+    place = F.rank().over(Window.orderBy(*sort_keys(keys)))
+    return rows.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place") \
+        .orderBy(*total_order(df, keys))

@@ -245,6 +245,19 @@ def chart_pie(t: Tables) -> DataFrame:
     return charts.chart_pie(exact(t.customer, "c_acctbal"), "c_mktsegment", "c_acctbal")
 
 
+@query("""
+    SELECT name, value, share FROM (
+        SELECT name, value, round(value / sum(value) OVER (), 6) AS share FROM (
+            SELECT CAST(c_nationkey AS VARCHAR) AS name,
+                   CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS value
+            FROM customer GROUP BY c_nationkey))
+    ORDER BY name LIMIT 7
+""")
+def chart_pie_first(t: Tables) -> DataFrame:
+    """Seven slices with their shares of all 25."""
+    return charts.chart_pie(exact(t.customer, "c_acctbal"), "c_nationkey", "c_acctbal", limit=7)
+
+
 @query("""
     WITH r AS (SELECT min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 12 AS w
                FROM events),
@@ -267,7 +280,7 @@ def chart_histogram(t: Tables) -> DataFrame:
 """)
 def chart_scatter(t: Tables) -> DataFrame:
     return charts.chart_scatter(t.lineitem, "l_quantity", "l_extendedprice",
-                                ["l_shipdate", "l_orderkey"])
+                                ["l_shipdate", "l_orderkey"], limit=200)
 
 
 @query("""

@@ -70,6 +70,20 @@ def derive_mapping(t: Tables) -> DataFrame:
     return out.select("l_orderkey", "l_linenumber", "flag_label", "line_label")
 
 
+@query("""
+    SELECT o_orderkey, CASE WHEN o_custkey <= 900 AND o_custkey % 3 <> 0 THEN o_custkey * 10 END AS o_custkey,
+           CASE WHEN o_custkey <= 900 AND o_custkey % 3 <> 0 THEN o_custkey * 10 END AS label
+    FROM orders
+""")
+def derive_mapping_long(t: Tables) -> DataFrame:
+    """600 whole-number labels, in a new column and in place of their source."""
+    mapping = {k: 10 * k for k in range(1, 901) if k % 3}
+    out = project.derive(t.orders.select("o_orderkey", "o_custkey"), [
+        {"name": "label", "source": "o_custkey", "mapping": mapping},
+        {"name": "o_custkey", "source": "o_custkey", "mapping": mapping}])
+    return out
+
+
 @query("SELECT s_suppkey, s_name, 'supplier' AS source_label FROM supplier")
 def add_constant(t: Tables) -> DataFrame:
     out = project.add_constant(t.supplier.select("s_suppkey", "s_name"),
@@ -279,21 +293,23 @@ def star_join(t: Tables) -> DataFrame:
     FROM full_rows WHERE r_name IS NOT NULL GROUP BY r_name
 """)
 def executive_report(t: Tables) -> DataFrame:
-    """Star join, three reports on it, stacked with labels. The reports start
-    from one aggregate by all their keys. It is written first: as three branches
-    of one plan, each with its own filter on missing keys, the join would run
-    three times."""
+    """Star join, three reports on it, stacked with labels: one aggregate by
+    grouping sets, whose third set is spread over the return flags."""
     base = sales(t).groupBy("r_name", "c_mktsegment", "l_returnflag").agg(
         F.sum("revenue").alias("revenue"), F.sum("l_quantity").alias("l_quantity"))
-    path = files.scratch(t.spark)
-    files.sink(base, path)
-    full = files.scan(t.spark, path, schema=base.schema)
-    by_region = aggregates.aggregate(full, "r_name", {"revenue": "sum", "l_quantity": "sum"})
-    by_segment = aggregates.aggregate(full, "c_mktsegment", {"revenue": "sum", "l_quantity": "sum"})
-    matrix = pivots.pivot(full, "r_name", "l_returnflag", "revenue", "sum",
-                          column_values=["A", "N", "R"])
-    out = sets.merge_union_all([(by_region, "by_region"), (by_segment, "by_segment"),
-                                (matrix, "matrix")])
+    region, segment, flag = F.col("r_name"), F.col("c_mktsegment"), F.col("l_returnflag")
+    sets_ = base.groupingSets([[region], [segment], [region, flag]], region, segment, flag).agg(
+        F.grouping_id().alias("set"), F.sum("revenue").alias("revenue"),
+        F.sum("l_quantity").alias("l_quantity"))
+    # The bits say which keys a set leaves out: region 4, segment 2, flag 1.
+    label = F.when(F.col("set") == 3, "by_region").when(F.col("set") == 5, "by_segment").otherwise("matrix")
+    matrix = F.col("set") == 2
+    known = F.when(F.col("set") == 5, segment.isNotNull()).otherwise(region.isNotNull())
+    cells = [F.when(F.max(matrix), F.coalesce(F.sum(F.when(flag == f, F.col("revenue"))), F.lit(0))).alias(f)
+             for f in ("A", "N", "R")]
+    out = sets_.where(known).groupBy(label.alias("source_label"), region, segment).agg(
+        F.sum(F.when(~matrix, F.col("revenue"))).alias("revenue"),
+        F.sum(F.when(~matrix, F.col("l_quantity"))).alias("l_quantity"), *cells)
     return _in_units(out, "revenue", "A", "N", "R")
 
 
@@ -496,6 +512,19 @@ def page_after(t: Tables) -> DataFrame:
     return ranking.page_after(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 50, 500)
 
 
+@query("""
+    SELECT flag, part, l_quantity FROM (
+        SELECT *, rank() OVER (ORDER BY flag ASC NULLS LAST, part) AS r FROM (
+            SELECT nullif(l_returnflag, 'A') AS flag, l_partkey % 50 AS part, l_quantity FROM lineitem)
+        WHERE (flag = 'R' AND part > 47) OR flag IS NULL) WHERE r <= 2000
+""")
+def page_after_ties(t: Tables) -> DataFrame:
+    """A key of two columns with many ties, missing values last."""
+    rows = t.lineitem.select(F.expr("nullif(l_returnflag, 'A')").alias("flag"),
+                             (F.col("l_partkey") % 50).alias("part"), "l_quantity")
+    return ranking.page_after(rows, ["flag", "part"], 2000, ("R", 47))
+
+
 # -- unions -----------------------------------------------------------------
 
 

@@ -371,15 +371,3 @@ def transform_grouped(t: Tables) -> DataFrame:
     return custom.transform_grouped(
         rows, "year", partial, "year int, n bigint, lo string, hi string", finish,
         "year int, orders bigint, first_day string, last_day string, days int")
-
-
-@query("""
-    SELECT user_id, count(*) AS n, median(value) AS mid FROM events GROUP BY user_id
-""")
-def transform_whole_groups(t: Tables) -> DataFrame:
-    """The events of one user fit a task whatever the size of the table."""
-    def fn(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [g["user_id"].iloc[0]], "n": [len(g)],
-                             "mid": [g["value"].median()]})
-    return custom.transform_whole_groups(t.events.select("user_id", "value"), "user_id", fn,
-                                         "user_id bigint, n bigint, mid double")

@@ -27,13 +27,19 @@ def test_derive_errors(spark, spec):
         project.derive(spark.range(1), [spec])
 
 
-def test_mapping_long_and_short_agree(spark, rows, monkeypatch):
-    df = spark.createDataFrame([(1,), (2,), (9,), (None,)], "k int")
-    mapping = {"1": "one", "2": "two"}
-    short = rows(project.derive_mapping(df, "l", "k", mapping))
-    assert short == [(1, "one"), (2, "two"), (9, None), (None, None)]
-    monkeypatch.setattr(project, "LITERAL_MAP_ENTRIES", 1)
-    assert rows(project.derive_mapping(df, "l", "k", mapping)) == short
+@pytest.mark.parametrize("more", [0, 700])
+def test_mapping_is_the_same_for_any_length(spark, rows, more):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c"), (None, "d")], "k int, v string")
+    extra = {1000 + i: 5 for i in range(more)}
+    out = project.derive_mapping(df, "l", "k", {1.0: 10, 2.0: 20, **extra})
+    assert rows(out) == [(1, "a", 10), (2, "b", 20), (9, "c", None), (None, "d", None)]
+    assert out.schema["l"].dataType.simpleString() == "bigint"
+    text = {"1": "one", "2": "two", "x": "never", None: "never", **{str(k): "" for k in extra}}
+    out = project.derive_mapping(df, "k", "k", text)
+    assert out.columns == ["k", "v"]
+    assert rows(out, "v", "k") == [("a", "one"), ("b", "two"), ("c", None), ("d", None)]
+    with pytest.raises(ValueError):
+        project.derive_mapping(df, "l", "k", {"1": "one", "1.0": "uno", "01": "eins", **extra})
 
 
 def test_drop_nulls_and_constant(spark, rows):
@@ -198,6 +204,17 @@ def test_pages_cover_the_table(spark):
     assert seen == list(range(25))
 
 
+def test_pages_by_key_with_ties_and_missing(spark):
+    values = [(a, b, i) for i, (a, b) in enumerate(
+        [(1, 1), (1, 1), (1, 2), (1, None), (2, 1), (2, None), (None, 1), (None, None), (None, None)] * 2)]
+    df = spark.createDataFrame(values, "a int, b int, i int")
+    seen, last = [], None
+    while part := ranking.page_after(df, ["a", "b"], 3, last).collect():
+        seen += [tuple(r) for r in part]
+        last = (part[-1].a, part[-1].b)
+    assert seen == sorted(values, key=lambda r: tuple((v is None, v or 0) for v in r))
+
+
 def test_union(spark, rows):
     a = spark.createDataFrame([(1, "x")], "k int, s string")
     b = spark.createDataFrame([("7", 2.5)], "k string, d double")
