@@ -37,6 +37,22 @@ for _fmt in files.FORMATS:
              "nullif(event_type, 'click') AS maybe FROM events")
 
 
+def _texts(t: Tables, fmt: str) -> DataFrame:
+    """Whole documents and awkward cells, written and read back."""
+    rows = t.documents.select("doc_id", "text", F.expr(
+        """CASE doc_id % 4 WHEN 0 THEN '  ' || source || ' ' WHEN 1 THEN 'a "b", c' || lang
+           WHEN 2 THEN '' END""").alias("cell"))
+    path = files.scratch(t.spark)
+    files.sink(rows, path, fmt)
+    return files.scan(t.spark, path, fmt, schema=rows.schema)
+
+
+for _fmt in ("csv", "tsv", "jsonl"):
+    register(f"sink_{_fmt}_texts", lambda t, f=_fmt: _texts(t, f), """
+        SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN '  ' || source || ' '
+            WHEN 1 THEN 'a "b", c' || lang WHEN 2 THEN '' END AS cell FROM documents""")
+
+
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
 def scan_csv_inferred(t: Tables) -> DataFrame:
     path = files.scratch(t.spark)

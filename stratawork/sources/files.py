@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 FORMATS = ("parquet", "csv", "tsv", "jsonl")
+#: Cells as they are: quotes doubled, line ends and blanks kept, null apart from
+#: the empty text. Both sides must agree on it.
+CELLS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+         "ignoreTrailingWhiteSpace": "false", "emptyValue": '""', "nullValue": ""}
+#: Rows per delimited file: a cell may hold line ends, so one task reads one file.
+FILE_ROWS = 500_000
 
 
 def _check(fmt: str) -> None:
@@ -20,7 +26,8 @@ def _check(fmt: str) -> None:
 
 def scan(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
          schema: T.StructType | str | None = None, **options: Any) -> DataFrame:
-    """Read files. CSV and TSV have a header; without ``schema`` their types are
+    """Read files. CSV and TSV have a header and come back as ``sink`` wrote them,
+    cells with line ends and quotes included; without ``schema`` their types are
     inferred, which reads the data once more: give a schema for large inputs."""
     _check(fmt)
     reader = spark.read.options(**options)
@@ -30,13 +37,16 @@ def scan(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
         return reader.parquet(path) if isinstance(path, str) else reader.parquet(*path)
     if fmt == "jsonl":
         return reader.json(path)
-    return reader.csv(path, header=True, sep="\t" if fmt == "tsv" else ",",
-                      inferSchema=schema is None)
+    # What stands for a missing cell inside the parser must not be the empty text.
+    cells = {**CELLS, "emptyValue": "", "nullValue": "\0missing", "multiLine": "true"} | {k: str(v) for k, v in options.items()}
+    return reader.options(**cells).csv(path, header=True, sep="\t" if fmt == "tsv" else ",",
+                                       inferSchema=schema is None)
 
 
 def sink(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
          partition_by: list[str] | None = None, **options: Any) -> None:
-    """Write files: CSV and TSV with header, JSON one record per line. With
+    """Write files: CSV and TSV with header and in files of bounded size, JSON one
+    record per line. With
     ``partition_by`` the rows of a directory are brought together first, or each
     task would write a file into each directory; adaptive execution splits
     directories that are large."""
@@ -51,7 +61,8 @@ def sink(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexi
     elif fmt == "jsonl":
         writer.option("ignoreNullFields", "false").json(path)
     else:
-        writer.csv(path, header=True, sep="\t" if fmt == "tsv" else ",")
+        cells = CELLS | {"maxRecordsPerFile": str(FILE_ROWS)} | {k: str(v) for k, v in options.items()}
+        writer.options(**cells).csv(path, header=True, sep="\t" if fmt == "tsv" else ",")
 
 
 def remove(spark: SparkSession, path: str) -> bool:

@@ -255,3 +255,33 @@ def test_quality_on_commit(store, spark):
     rows = store.quality("d").collect()
     assert [(r.success, r.passed, r.total) for r in rows] == [(False, 0, 1), (True, 1, 1)]
     assert "nope" in rows[0].details
+
+
+@pytest.mark.parametrize("fmt", ["csv", "tsv", "jsonl"])
+def test_text_cells_come_back_as_written(spark, tmp_path, fmt):
+    cells = [None, "", '"', '""', "a\nb", "a\r\nb", "\r", "x\ry", "#c", " pad ", "\t", "a\tb", ",", "\\",
+             '\\"', "a\\", "é", "''", "null", '"q" "', "\n", 'x"\ny', " "]
+    df = spark.createDataFrame([(i, c, c) for i, c in enumerate(cells)], "id int, a string, b string")
+    files.sink(df, f"{tmp_path}/t", fmt)
+    back = files.scan(spark, f"{tmp_path}/t", fmt, schema=df.schema)
+    assert {r.id: (r.a, r.b) for r in back.collect()} == {i: (c, c) for i, c in enumerate(cells)}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Session:
+        def __init__(self, **values):
+            self.conf = Conf({k.replace("_", "."): v for k, v in values.items()})
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            files.scratch(Session(spark_master=master))
+        shared = files.scratch(Session(spark_master=master, spark_checkpoint_dir="hdfs:///tmp/x/"))
+        assert shared.startswith("hdfs:///tmp/x/")
+    assert files.scratch(Session(spark_master="local[4]"))
