@@ -84,11 +84,20 @@ def records_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFr
     Python worker."""
     kinds = T.StructType.fromDDL(schema)
 
-    def cell(value: Any, f: T.StructField) -> Column:
+    def literal(value: Any, kind: T.DataType) -> Column:
+        if value is None:
+            return F.lit(None).cast(kind)
         if isinstance(value, Mapping):
             keys, held = [F.lit(k) for k in value], [F.lit(v) for v in value.values()]
             value = F.map_from_arrays(F.array(*keys), F.array(*held)) if value else F.create_map()
-        return F.lit(value).cast(f.dataType).alias(f.name)
+        elif isinstance(kind, T.ArrayType):
+            value = F.array(*[literal(v, kind.elementType) for v in value])
+        elif isinstance(kind, T.StructType):
+            value = F.struct(*[cell(v, f) for v, f in zip(value, kind)])
+        return F.lit(value).cast(kind)
+
+    def cell(value: Any, f: T.StructField) -> Column:
+        return literal(value, f.dataType).alias(f.name)
     if not rows:
         return spark.range(0, 0, 1, 1).select(*[cell(None, f) for f in kinds])
     structs = [F.struct(*[cell(v, f) for v, f in zip(row, kinds)]) for row in rows]

@@ -169,14 +169,57 @@ def test_crash_before_the_commit_row(store, people, monkeypatch):
     store.write("d", people, {"n": 1})
     keep = Store._state
 
-    def crash(self, dataset, version, status, *rest):
+    def crash(self, dataset, version, status, **rest):
         if status == "committed":
             raise SystemExit
-        keep(self, dataset, version, status, *rest)
+        keep(self, dataset, version, status, **rest)
     monkeypatch.setattr(Store, "_state", crash)
     with pytest.raises(SystemExit):
-        store.write("d", people.limit(1), {"n": 2})
+        store.write("d", people.limit(1).withColumn("extra", F.lit(1)), {"n": 2}, inputs=[("raw", "1")],
+                    expectations=[Expectation("not_null", {"x": "this.id"})])
     assert store.read("d").count() == 5
+    assert store.edges().count() == store.downstream("raw").count() == 0
+    assert store.columns("d").count() == 3 and store.quality("d").count() == 0
+
+
+@pytest.mark.parametrize("fmt, partition_by", [("csv", None), ("tsv", None), ("jsonl", None), ("parquet", ["day"]),
+                                               ("parquet", ["t"])])
+def test_versions_keep_their_types(store, spark, rows, fmt, partition_by):
+    df = spark.createDataFrame([("007", 1, "2024-01-01", 1.0), ("1e5", 2, "2024-01-02", None)],
+                               "t string, id bigint, day string, v float")
+    done = store.write("d", df, fmt=fmt, partition_by=partition_by)
+    back = store.read("d")
+    assert done.n_rows == 2 and back.dtypes == df.dtypes and rows(back) == rows(df)
+
+
+def test_only_committed_versions_are_read(store, people):
+    store.write("d", people, {"n": 1})
+    with pytest.raises(Exception):
+        store.write("d", people.withColumn("x", F.raise_error(F.lit("boom"))), {"n": 2}, inputs=[("raw", "1")])
+    failed = store.versions("d").where("status = 'failed'").first()["version"]
+    for act in (store.read, store.deprecate, store.delete_version):
+        with pytest.raises(LookupError):
+            act("d", failed)
+    assert store.edges().count() == 0
+
+
+def test_deleting_takes_edges_and_quality(store, people):
+    kept = store.write("out", people, {"n": 1}, inputs=[("raw", "1")])
+    gone = store.write("out", people, {"n": 2}, inputs=[("raw", "2")],
+                       expectations=[Expectation("not_null", {"x": "this.id"})])
+    assert store.upstream("out").count() == 2 and store.quality("out").count() == 1
+    store.delete_version("out", gone.version)
+    assert store.upstream("out").count() == 1 and store.quality("out").count() == 0
+    assert [tuple(r) for r in store.downstream("raw").collect()] == [("out", kept.version)]
+
+
+def test_stored_expectations_run_on_every_commit(store, people):
+    store.expect("d", [Expectation("between", {"x": "this.score"}, {"min_val": 0, "max_val": 1})])
+    assert store.write("d", people, {"n": 1}).dq_success is False
+    assert store.write("d", people.where("score <= 1"), {"n": 2}).dq_success is True
+    store.expect("d", [])
+    assert store.write("d", people, {"n": 3}).dq_success is None
+    assert store.quality("d").count() == 2
 
 
 def test_reserved_metadata(store, people):
