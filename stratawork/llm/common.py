@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +54,26 @@ def column(batch: Batch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def blocks_of(batches: Iterator[Batch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The rows of each block, from batches in which a block's rows stand together.
+    Keys are whole numbers."""
+    last, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = np.array([column(batch, c).to_numpy() for c in keys]).T
+        starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1), len(at)]
+        for x, y in zip(starts, starts[1:]):
+            key = tuple(int(k) for k in at[x])
+            if key != last:
+                if held:
+                    yield last, pa.Table.from_batches(held)
+                last, held = key, []
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 class Workspace:
     """A folder on the file system all executors share. Tables written there cut
     the lineage and survive lost executors."""

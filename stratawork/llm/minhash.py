@@ -12,9 +12,11 @@ verification, exact check of the survivors.
 Within a bucket no pairs are listed at first. Each class meets the class that
 shares most buckets with others around it (a hub); confirmed links form
 components, and then only classes of different components are left to compare:
-with their bucket's hub first, then, exactly, each with each. So a group of many
+with their bucket's hub first, then each with each. So a group of many
 copies costs as many comparisons as it has members, and no link is left out that
-could change a component.
+could change a component. The last step compares, in blocks of bounded size, what
+is not in the component of its bucket's hub with the whole bucket; only pairs that
+survive the signatures leave a block.
 
 Buckets are counted before they are joined, so a hot one is one row there, and the
 other side is split by adaptive execution. Nothing is collected but counts.
@@ -23,7 +25,7 @@ other side is split by adaptive execution. Nothing is collected but counts.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, column
+from .common import Workspace, blocks_of, column
 from .components import components
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Shingles hashed at a time: a block that stays in the processor's cache.
 BLOCK = 16_384
+#: Members of a block on its two sides, and pairs compared at a time.
+FEW, MANY, PAIRS = 1024, 4096, 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -163,6 +167,30 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, steps: list[tuple[int, int]]) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _survivors(blocks: DataFrame, steps: list[tuple[int, int]], percent: int) -> DataFrame:
+    """Pairs from the two sides of each block, of different components and like
+    sizes, that no batch of signature values rules out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in blocks_of(batches, ("bucket", "i", "j")):
+            ids, n, comp, side = (rows[c].to_numpy() for c in ("id", "n", "comp", "side"))
+            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(len(ids), -1)
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            height = max(1, PAIRS // max(1, len(right)))
+            for at in range(0, len(left), height):
+                a, b = (x.ravel() for x in np.meshgrid(left[at:at + height], right, indexing="ij"))
+                keep = (comp[a] != comp[b]) & (
+                    100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                a, b, agree, seen = a[keep], b[keep], 0, 0
+                for upto, least in steps:
+                    agree = agree + (sig[a, seen:upto] == sig[b, seen:upto]).sum(axis=1)
+                    keep = agree >= least
+                    a, b, agree, seen = a[keep], b[keep], agree[keep], upto
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+    return blocks.mapInArrow(run, "a bigint, b bigint")
+
+
 def _sets(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -234,36 +262,56 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     tried = work.table(ordered(best.select(F.col("id").alias("a"), (-F.col("hub.h")).alias("b"))))
     groups = work.table(components(work, work.table(confirmed(tried))))
 
-    # Then what buckets still hold of several components: each class with the
-    # hub, then each with each.
-    for each in (False, True):
-        placed = members_w.join(groups, members_w["id"] == groups["node"], "left").select(
+    def placed() -> tuple[DataFrame, DataFrame]:
+        """Members with components, and the hubs of buckets that hold several."""
+        members = members_w.join(groups, members_w["id"] == groups["node"], "left").select(
             "bucket", "id", "n", "w", F.coalesce("component", "id").alias("comp"))
-        split = placed.groupBy("bucket").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
-        open_ = work.table(placed.join(split, "bucket"))
-        other = open_.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"),
-                             F.col("comp").alias("cb"), F.col("w").alias("wb"))
-        if not each:
-            hub = F.max(F.struct("wb", (-F.col("b")).alias("h"), "nb", "cb")).alias("m")
-            other = other.groupBy("bucket").agg(hub).select(
-                "bucket", (-F.col("m.h")).alias("b"), "m.nb", "m.cb")
-        pairs = open_.join(other, "bucket").where(
-            (F.col("comp") != F.col("cb") if not each else F.col("comp") < F.col("cb"))
-            & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")))
-        new = work.table(ordered(pairs.select(F.col("id").alias("a"), "b")).join(tried, ["a", "b"], "left_anti"))
-        found = work.table(confirmed(new))
+        hub = F.max(F.struct("w", (-F.col("id")).alias("h"), "n", "comp")).alias("hub")
+        split = members.groupBy("bucket").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), hub)
+        return members, split.where("lo != hi").select(
+            "bucket", "c", (-F.col("hub.h")).alias("hub"), F.col("hub.n").alias("hub_n"),
+            F.col("hub.comp").alias("hub_comp"))
+
+    def joined(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Components after the links that are found among ``pairs``."""
+        found = work.table(confirmed(work.table(ordered(pairs))))
         if found.isEmpty():
-            tried = tried.union(new)
-            continue
-        of = groups.select(F.col("node"), F.col("component"))
-        between = found.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(
+            return groups
+        between = found.join(groups.toDF("a", "ca"), "a", "left").join(
+            groups.toDF("b", "cb"), "b", "left").select(
             F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
         merged = components(work, between).toDF("component", "joined")
-        alone = components_of_new(between, groups)
-        groups = work.table(groups.union(alone).join(merged, "component", "left").select(
+        alone = between.select("a").union(between.select("b")).distinct().select(
+            F.col("a").alias("node"), F.col("a").alias("component")).join(
+            groups.select("node"), "node", "left_anti")
+        return work.table(groups.union(alone).join(merged, "component", "left").select(
             "node", F.coalesce("joined", "component").alias("component")))
-        tried = tried.union(new)
+
+    # Then, where a bucket still holds several components: its members with its hub.
+    members, split = placed()
+    apart = members.join(split, "bucket").where(F.col("comp") != F.col("hub_comp"))
+    close = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+    pairs = ordered(apart.where(close).select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    groups = joined(groups, pairs.join(tried, ["a", "b"], "left_anti"))
+
+    # At last all that is outside the hub's component with all of the bucket.
+    members, split = placed()
+    open_ = work.table(members.join(split, "bucket").select(
+        "bucket", "id", "n", "comp", "c", (F.col("comp") != F.col("hub_comp")).alias("apart")))
+    few = open_.where("apart").groupBy("bucket").agg(F.ceil(F.count("*") / FEW).alias("few"))
+    sides = open_.join(few, "bucket").withColumn("many", F.ceil(F.col("c") / MANY))
+    spot = F.xxhash64("id")
+    left = sides.where("apart").select(
+        "bucket", F.pmod(spot, F.col("few")).alias("i"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("many") - 1)).alias("j"),
+        "id", "n", "comp", F.lit(0).cast("bigint").alias("side"))
+    right = sides.select(
+        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("few") - 1)).alias("i"),
+        F.pmod(spot, F.col("many")).alias("j"), "id", "n", "comp", F.lit(1).cast("bigint").alias("side"))
+    blocks = left.union(right).join(reps.select("id", "sig"), "id").repartition(
+        "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    groups = joined(groups, _survivors(blocks, steps, percent))
 
     named = signed.withColumn("digest", F.when(F.col(key).isNotNull(), F.col("digest")))
     named = named.join(classes, "digest", "left").select(
@@ -272,10 +320,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
         key, "n_shingles",
         F.coalesce("component", "node", F.col(key).cast("bigint")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
-
-
-def components_of_new(between: DataFrame, groups: DataFrame) -> DataFrame:
-    """Nodes that had no link before, each its own component."""
-    nodes = between.select("a").union(between.select("b")).distinct().select(
-        F.col("a").alias("node"), F.col("a").alias("component"))
-    return nodes.join(groups.select("node"), "node", "left_anti")

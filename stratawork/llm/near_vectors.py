@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, column
+from .common import Workspace, blocks_of, column
 from .components import components
 
 #: Classes per bucket to aim at, and members of a part.
@@ -132,32 +132,16 @@ def _compared(blocks: DataFrame, bits: int, tables: int, threshold: float) -> Da
     """Rows (id, links, low) of all blocks; rows of a block stand together."""
     names = ("t", "bucket", "size", "i", "j")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(parts)
-            if rows.num_rows > 1:
-                ids, count, low = links_in_block(
-                    unit(rows["v"].to_pylist()), rows["part"].to_numpy(), rows["id"].to_numpy(),
-                    rows["n"].to_numpy(), key[3] == key[4], key[0], bits, tables, threshold)
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.array(low)],
-                                                     names=["id", "links", "low"])
-
-        last, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in blocks_of(batches, names):
+            if rows.num_rows < 2:
                 continue
-            keys = np.array([column(batch, c).to_numpy() for c in names]).T
-            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for x, y in zip(starts, starts[1:]):
-                key = tuple(int(k) for k in keys[x])
-                if key != last:
-                    if held:
-                        yield from done(last, held)
-                    last, held = key, []
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield from done(last, held)
+            ids, count, low = links_in_block(
+                unit(rows["v"].to_pylist()), rows["part"].to_numpy(), rows["id"].to_numpy(),
+                rows["n"].to_numpy(), key[3] == key[4], key[0], bits, tables, threshold)
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count), pa.array(low)],
+                                                 names=["id", "links", "low"])
 
     return blocks.mapInArrow(run, "id bigint, links bigint, low bigint")
 
