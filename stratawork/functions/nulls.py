@@ -11,14 +11,33 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def is_floating(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType))
+
+
+def known_value(df: DataFrame, name: str) -> Column:
+    """The column, its missing values null: in floating columns NaN is missing too."""
+    if not is_floating(df, name):
+        return F.col(name)
+    return F.nullif(F.col(name), F.lit(float("nan")).cast(df.schema[name].dataType))
+
+
+def nan_as_null(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named floating columns with null for NaN. Other columns stay as they are,
+    so that filters on them still reach the scan."""
+    floating = [n for n in dict.fromkeys(names) if is_floating(df, n)]
+    return df.withColumns({n: known_value(df, n) for n in floating}) if floating else df
+
+
 def _known(c: str | Column, other: Any) -> Column:
     known = col(c).isNotNull()
     return known & other.isNotNull() if isinstance(other, Column) else known

@@ -8,7 +8,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.nulls import all_known
+from ..functions.nulls import all_known, nan_as_null
 from ..functions.ordering import as_list, edge_value, require, with_position
 from ..functions.scalars import day_span, ratio
 
@@ -33,12 +33,12 @@ def measure(column: str, func: str) -> Column:
 def aggregate(df: DataFrame, group_by: str | list[str] | None, agg: Mapping[str, str],
               order_by: str | list[str] | None = None) -> DataFrame:
     """Group by keys, one function per column; results keep the column names.
-    Rows with a missing key are left out. ``first`` and ``last`` are the known
+    Rows with a missing key are left out; NaN is missing. ``first`` and ``last`` are the known
     values at the two ends of ``order_by``."""
     keys, order = as_list(group_by), as_list(order_by)
     require(df, [*keys, *agg, *order])
     ordered = bool(order) and not {"first", "last"}.isdisjoint(agg.values())
-    rows = df.where(all_known(keys))
+    rows = nan_as_null(df, [*keys, *agg, *order]).where(all_known(keys))
     rows = with_position(rows, order, list(agg)) if ordered else rows
     measures = [(edge_value(df, c, f == "last") if ordered and f in ("first", "last")
                  else measure(c, f)).alias(c) for c, f in agg.items()]
@@ -56,7 +56,7 @@ def count_rows(df: DataFrame, group_by: str | list[str], name: str = "n_rows") -
     """Rows per group, whatever they hold."""
     keys = as_list(group_by)
     require(df, keys)
-    return df.where(all_known(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    return nan_as_null(df, keys).where(all_known(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
 def value_counts(df: DataFrame, column: str, name: str = "n_rows") -> DataFrame:
@@ -74,7 +74,7 @@ def group_kpi(df: DataFrame, date: str, quantity: str, amount: str) -> DataFrame
     """Per calendar year: total quantity, rounded total amount, days between
     first and last date (both counted), and amount per unit."""
     totals = (
-        df.where(F.col(date).isNotNull()).groupBy(F.year(date).alias("year"))
+        nan_as_null(df, [quantity, amount]).where(F.col(date).isNotNull()).groupBy(F.year(date).alias("year"))
         .agg(measure(quantity, "sum").alias("quantity"),
              measure(amount, "sum").alias("__amount"),
              day_span(F.min(date), F.max(date)).alias("days")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import chart_number
-from ..functions.nulls import all_known
+from ..functions.nulls import all_known, nan_as_null
 from ..functions.ordering import require, sort_keys, total_order
 from .aggregates import measure
 
@@ -40,7 +40,7 @@ def chart_xy(df: DataFrame, x: str, y: str | None = None, agg: str = "sum",
     require(df, [c for c in (x, y if agg != "count" else None, sort_field) if c])
     if sort_field == x:
         sort_field, sort = None, sort or "asc"
-    rows = _as_category(df, [x]).where(F.col(x).isNotNull())
+    rows = _as_category(nan_as_null(df, df.columns), [x]).where(F.col(x).isNotNull())
     if sort_field and agg != "count":
         grouped = rows.where(F.col(sort_field).isNotNull()).groupBy(
             x, F.col(sort_field).alias("__by")).agg(_value(y, agg).alias("__v"))
@@ -62,7 +62,7 @@ def chart_xy_color(df: DataFrame, x: str, color: str, y: str | None = None, agg:
     columns; give ``colors`` to save the job that looks them up."""
     require(df, [c for c in (x, color, y if agg != "count" else None, sort_field) if c])
     keys = [x, color] + ([sort_field] if sort_field and sort_field not in (x, color) else [])
-    rows = _as_category(df, [x, color]).where(all_known(keys))
+    rows = _as_category(nan_as_null(df, df.columns), [x, color]).where(all_known(keys))
     cells = rows.groupBy(*keys).agg(_value(y, agg).alias("__v"))
     by = F.col(sort_field) if sort_field else F.lit(0)
     cells = cells.withColumn("__by", by)
@@ -80,7 +80,7 @@ def chart_pie(df: DataFrame, x: str, y: str, agg: str = "sum", limit: int | None
     """Name, value and share of the whole; with ``limit`` the first slices, their
     shares still those of the whole."""
     require(df, [x, y])
-    rows = _as_category(df, [x]).where(F.col(x).isNotNull())
+    rows = _as_category(nan_as_null(df, df.columns), [x]).where(F.col(x).isNotNull())
     slices = rows.groupBy(x).agg(chart_number(measure(y, agg)).alias("value"))
     whole = slices.agg(F.sum("value")).scalar()
     return _first(slices.orderBy(*sort_keys(x)), limit).select(
@@ -115,15 +115,16 @@ def chart_histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
     ends = ends.select(
         F.when(flat, F.col("lo") - pad).otherwise(F.col("lo")).alias("lo"),
         F.when(flat, F.col("hi") + pad).otherwise(F.col("hi")).alias("hi"), flat.alias("flat"))
+    # One copy of the subquery per branch: a column, whose fields are then used.
     span = ends.select(F.struct("lo", "hi", "flat")).scalar()
-    low, high = span.getField("lo"), span.getField("hi")
-    counts = values.groupBy(histogram_bin(F.col("v"), low, high, bins).alias("bin")) \
+    low, high = F.col("__ends.lo"), F.col("__ends.hi")
+    counts = values.withColumn("__ends", span).groupBy(histogram_bin(F.col("v"), low, high, bins).alias("bin")) \
         .agg(F.count(F.lit(1)).alias("n"))
     width = (high - low) / bins
     i = F.col("bin")
-    first = F.when(span.getField("flat"), low).otherwise(low - (high - low) * 0.001)
-    edges = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")) \
-        .where(low.isNotNull())
+    first = F.when(F.col("__ends.flat"), low).otherwise(low - (high - low) * 0.001)
+    edges = df.sparkSession.range(1, bins + 1).select(
+        F.col("id").cast("int").alias("bin"), span.alias("__ends")).where("__ends.lo IS NOT NULL")
     return edges.join(counts, "bin", "left").select(
         "bin", F.when(i == 1, first).otherwise(low + (i - 1) * width).alias("lower"),
         F.when(i == bins, high).otherwise(low + i * width).alias("upper"),
@@ -133,7 +134,7 @@ def chart_histogram(df: DataFrame, x: str, bins: int = 20) -> DataFrame:
 def chart_scatter(df: DataFrame, x: str, y: str, order_by: str | list[str],
                   limit: int | None = None) -> DataFrame:
     """The complete (x, y) pairs in ``order_by``, the first ``limit`` if given."""
-    pairs = _first(df.where(all_known([x, y])).orderBy(*total_order(df, order_by)), limit)
+    pairs = _first(nan_as_null(df, [x, y]).where(all_known([x, y])).orderBy(*total_order(df, order_by)), limit)
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     return pairs.select(*[chart_number(F.col(c)).alias(c) if c in numeric else F.col(c)
                           for c in (x, y)])
@@ -147,6 +148,7 @@ def chart_radar(df: DataFrame, axes: list[str], group_by: str | None = None,
         raise ValueError(f"radar charts show three axes or more, got {axes}")
     require(df, [*axes, *([group_by] if group_by else [])])
     func = "sum" if agg == "count" else agg
+    df = nan_as_null(df, df.columns)
     measures = [measure(a, func).alias(a) for a in axes]
     if group_by:
         rows = _as_category(df, [group_by]).where(F.col(group_by).isNotNull())
@@ -157,9 +159,9 @@ def chart_radar(df: DataFrame, axes: list[str], group_by: str | None = None,
     ends = wide.agg(F.struct(*[F.max(size(a)).alias(a) for a in axes])).scalar()
 
     def end(a: str) -> Column:
-        top = ends.getField(a)
+        top = F.col("__ends").getField(a)
         return F.when(top != 0, chart_number(top) * 1.2).otherwise(1.0)
-    return wide.select("name", F.inline(F.array(*[
+    return wide.withColumn("__ends", ends).select("name", F.inline(F.array(*[
         F.struct(F.lit(a).alias("axis"), chart_number(F.col(a)).alias("value"),
                  end(a).alias("axis_max")) for a in axes])))
 
@@ -172,7 +174,7 @@ def chart_combo(df: DataFrame, x: str, series: list[tuple[str, str]], sort: str
         raise ValueError("a combo chart needs at least one series")
     require(df, [x, *([sort_field] if sort_field else []),
                  *[c for c, f in series if f != "count"]])
-    rows = _as_category(df, [x]).where(F.col(x).isNotNull())
+    rows = _as_category(nan_as_null(df, df.columns), [x]).where(F.col(x).isNotNull())
     by = [F.min(sort_field).alias("__by")] if sort_field else []
     names = [f"{c}_{f}" for c, f in series]
     grouped = rows.groupBy(x).agg(

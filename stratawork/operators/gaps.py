@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.nulls import all_known
+from ..functions.nulls import all_known, nan_as_null
 from ..functions.ordering import as_list
 
 # Frequency -> (characters of the date text used, step, output pattern)
@@ -149,20 +149,21 @@ def reindex_series(df: DataFrame, date_column: str = "date",
 
     ``fill`` is a strategy or ``{"strategy": default, "columns": {name: strategy}}``
     with null, zero, ffill, bfill or interpolate (linear by position, edges take
-    the nearest value). Fills also apply to cells missing in the data. Rows off
+    the nearest value). Fills also apply to cells missing in the data, NaN included. Rows off
     the calendar are left out; several rows of one period all stay. The date
     comes back as text in the precision of the frequency.
     """
     groups, ties = as_list(group_by), as_list(tie_break)
     if frequency not in FREQUENCIES:
-        raise ValueError(f"frequency must be one of {list(FREQUENCIES)}, got '{frequency}'")
+        raise ValueError(f"no such frequency: '{frequency}'; there are {list(FREQUENCIES)}")
     for c in [*groups, date_column, *ties]:
         if c not in df.columns:
-            raise ValueError(f"column '{c}' not found (columns: {df.columns})")
+            raise ValueError(f"no column '{c}' to order or group the series by; the table has {df.columns}")
     values = [c for c in df.columns if c not in [*groups, date_column]]
     strategy = _plan(df, values, fill)
     carried = [c for c in values if strategy[c] in ("ffill", "bfill", "interpolate")]
-    dated = df.withColumn(PERIOD, period_of(df, date_column, frequency))
+    dated = nan_as_null(df, carried + [c for c in values if strategy[c] == "zero"]).withColumn(
+        PERIOD, period_of(df, date_column, frequency))
     found = dated.agg(F.struct(F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi"))).scalar()
     low = F.lit(start).cast("date") if start else found.getField("lo")
     high = F.lit(end).cast("date") if end else found.getField("hi")

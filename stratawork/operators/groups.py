@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import all_known
+from ..functions.nulls import all_known, nan_as_null
 from ..functions.ordering import (as_list, edge_value, require, sortable, total_order,
                                   with_position)
 
@@ -32,13 +32,14 @@ def _per_column(df: DataFrame, group_by: str | list[str], order_by: str | list[s
     require(df, [*keys, *order])
     values = [c for c in df.columns if c not in keys]
     picked = [edge_value(df, c, highest=last == ascending).alias(c) for c in values]
-    placed = with_position(df.where(all_known(keys)), order, values, ascending)
+    rows = nan_as_null(df, df.columns).where(all_known(keys))
+    placed = with_position(rows, order, values, ascending)
     return placed.groupBy(*keys).agg(*picked)
 
 
 def last_per_group(df: DataFrame, group_by: str | list[str], order_by: str | list[str],
                    ascending: bool = True, whole_row: bool = False) -> DataFrame:
-    """Last known value of each column per group, in the given order. Group
+    """Last known value (NaN is missing) of each column per group, in the given order. Group
     columns come first, rows with a missing group key are left out. With
     ``whole_row`` the last row is kept as it is, missing cells included."""
     if whole_row:

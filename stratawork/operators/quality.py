@@ -17,12 +17,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.nulls import truth
+from ..functions.nulls import is_floating, known_value, truth
 from ..functions.scalars import lookup, slice_text
 from .groups import flag_duplicates
 from .joins import anti_join
@@ -175,12 +175,14 @@ def _bind(position: int, use: Expectation, datasets: Mapping[str, DataFrame],
 
 def predicate(rule: Rule, df: DataFrame, columns: Mapping[str, str],
               params: Mapping[str, Any]) -> Column:
-    """The boolean (row or aggregate) expression of a rule on ``df``."""
+    """The boolean (row or aggregate) expression of a rule on ``df``. In floating
+    columns NaN is missing."""
     if isinstance(rule.check, str):
-        names = {n: f"`{c}`" for n, c in columns.items()}
+        names = {n: f"nullif(`{c}`, double('NaN'))" if is_floating(df, c) else f"`{c}`"
+                 for n, c in columns.items()}
         return F.expr(rule.check.format_map(
             names | {p: _literal(params[p]) for p in rule.params}))
-    bound: dict[str, Any] = {n: F.col(c) for n, c in columns.items()}
+    bound: dict[str, Any] = {n: known_value(df, c) for n, c in columns.items()}
     bound |= {p: params[p] for p in rule.params}
     if rule.needs_types:
         bound["types"] = {n: df.schema[c].dataType for n, c in columns.items()}
@@ -272,6 +274,25 @@ def run_suite(expectations: list[Expectation], datasets: Mapping[str, DataFrame]
     return reduce(DataFrame.unionByName, parts)
 
 
+def score_suite(expectations: list[Expectation], datasets: Mapping[str, DataFrame],
+                rules: Mapping[str, Rule] | None = None) -> DataFrame:
+    """``run_suite``, run now. If something fails while the data is read (a cast in a
+    rule of your own, say), the expectations are run one by one, and those that fail
+    are failed rows with the message."""
+    spark = next(iter(datasets.values())).sparkSession
+    try:
+        rows = [tuple(r) for r in run_suite(expectations, datasets, rules).collect()]
+    except PySparkException:
+        rows = []
+        for i, use in enumerate(expectations):
+            try:
+                rows.append((i, *tuple(run_suite([use], datasets, rules).first())[1:]))
+            except PySparkException as e:
+                message = str(e).strip().splitlines()[0]
+                rows.append((i, use.rule_id, None, float(use.tolerance), False, None, None, message))
+    return spark.createDataFrame(rows, RESULT)
+
+
 def summarize(results: DataFrame, details: bool = False) -> DataFrame:
     """Suite totals: score is passed / total, success means all passed. With
     ``details`` also the single results as JSON text (one entry per rule)."""

@@ -176,6 +176,44 @@ def dq_suite_summary(t: Tables) -> DataFrame:
     return quality.summarize(_suite(t))
 
 
+_NAN = "CASE WHEN l_linenumber = 3 THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber = 4 THEN NULL " \
+       "ELSE l_quantity END"
+
+
+@query("""
+    SELECT rule_id, CAST(round(avg(CASE WHEN ok THEN 1.0 ELSE 0 END), 4) AS DOUBLE) AS score,
+           count(*) FILTER (NOT ok) AS failed FROM (
+        SELECT 'not_null' AS rule_id, l_linenumber NOT IN (3, 4) AS ok FROM lineitem
+        UNION ALL
+        SELECT 'between', l_linenumber NOT IN (3, 4) AND l_quantity <= 30 FROM lineitem)
+    GROUP BY rule_id
+""")
+def dq_not_null_nan(t: Tables) -> DataFrame:
+    """NaN is missing, as null is."""
+    rows = t.lineitem.select(F.expr(_NAN).alias("q"))
+    return quality.run_suite([
+        Expectation("not_null", {"x": "lines.q"}),
+        Expectation("between", {"x": "lines.q"}, {"min_val": 0, "max_val": 30})], {"lines": rows}).select(
+        "rule_id", "score", "failed")
+
+
+@query("""
+    SELECT 'not_null' AS rule_id, CAST(1 AS DOUBLE) AS score, count(*) > 0 AS success, FALSE AS broken
+    FROM lineitem
+    UNION ALL SELECT 'whole', NULL, FALSE, TRUE
+    UNION ALL SELECT 'between', CAST(round(avg(CASE WHEN l_quantity <= 30 THEN 1.0 ELSE 0 END), 4) AS DOUBLE),
+        FALSE, FALSE FROM lineitem
+""")
+def dq_suite_failing_rule(t: Tables) -> DataFrame:
+    """A rule whose cast fails on the data is one failed row; the others stand."""
+    rules = {"whole": quality.custom_rule("row", ["x"], "cast({x} AS int) > 0")}
+    uses = [Expectation("not_null", {"x": "lines.l_orderkey"}),
+            Expectation("whole", {"x": "lines.l_returnflag"}),
+            Expectation("between", {"x": "lines.l_quantity"}, {"min_val": 0, "max_val": 30})]
+    return quality.score_suite(uses, {"lines": t.lineitem}, rules).select(
+        "rule_id", "score", "success", F.col("error").isNotNull().alias("broken"))
+
+
 @query(f"SELECT *, 'between' AS rule_id FROM {_LINES} "
        "WHERE NOT coalesce(tax BETWEEN 0.01 AND 0.06, FALSE)")
 def dq_failed_rows(t: Tables) -> DataFrame:

@@ -315,6 +315,19 @@ def executive_report(t: Tables) -> DataFrame:
 
 # -- aggregates -------------------------------------------------------------
 
+
+@query("""
+    SELECT l_returnflag, sum(q) AS a, count(q) AS b, max(q) AS c FROM (
+        SELECT l_returnflag, CASE WHEN l_linenumber < 3 THEN l_quantity END AS q FROM lineitem)
+    GROUP BY l_returnflag
+""")
+def agg_nan(t: Tables) -> DataFrame:
+    """NaN is missing in measures."""
+    q = F.when(F.col("l_linenumber") < 3, F.col("l_quantity")).when(
+        F.col("l_linenumber") == 3, F.lit(float("nan")))
+    rows = t.lineitem.select("l_returnflag", *[q.alias(n) for n in "abc"])
+    return aggregates.aggregate(rows, "l_returnflag", {"a": "sum", "b": "count", "c": "max"})
+
 _SIMPLE = {
     "sum": "CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS DOUBLE)",
     "mean": "avg(CAST(round(o_totalprice * 100) AS BIGINT))",

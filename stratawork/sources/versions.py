@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import ge
-from ..operators.quality import Expectation, run_suite, summarize
+from ..operators.quality import Expectation, score_suite, summarize
 from . import files, lineage, schemas, slices
 
 logger = logging.getLogger(__name__)
@@ -336,7 +336,7 @@ class Store:
         if not expectations:
             return None
         try:
-            row = summarize(run_suite(expectations, {"this": df}), details=True).first()
+            row = summarize(score_suite(expectations, {"this": df}), details=True).first()
             return (time.time_ns(), row["score"], row["passed"], row["total"], row["success"],
                     row["details"], None)
         except Exception as e:
