@@ -150,3 +150,12 @@ def test_hot_key_duplicates(hot, small_skew):
     assert out.where("is_duplicate").count() == 20_000
     assert groups.deduplicate(hot, "k", "first", "v").where("k = 7").first().v == 0
     assert groups.deduplicate(hot, "k", False).count() == 60_000 - 20_001
+
+
+@pytest.mark.parametrize("name", ["chart_histogram", "chart_radar", "executive_report"])
+def test_input_is_read_at_most_twice(spark, name):
+    df = entry.queries()[name](spark, DATA)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    table = "value" if name == "chart_histogram" else "l_returnflag"
+    scans = [line for line in text.splitlines() if "Relation [" in line and table in line]
+    assert 1 <= len(scans) <= 4 if name == "chart_histogram" else len(scans) <= 2

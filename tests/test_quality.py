@@ -154,3 +154,27 @@ def test_one_pass_for_all_row_rules(spark, tmp_path):
             E("mean", {"x": "d.v"}, {"min_avg": 0, "max_avg": 5})]
     plan = quality.run_suite(uses, {"d": df})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "Python" not in plan
+
+
+def test_nan_is_missing_in_rules(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, nan), (nan, 2.0), (None, 3.0), (4.0, nan)], "x double, y double")
+    rules = {"text": quality.custom_rule("row", ["x"], "{x} > 0")}
+    uses = [E("not_null", {"x": "d.x"}), E("between", {"x": "d.x"}, {"min_val": 0, "max_val": 9}),
+            E("pair_greater", {"a": "d.y", "b": "d.x"}), E("text", {"x": "d.x"}),
+            E("mean", {"x": "d.x"}, {"min_avg": 2.5, "max_avg": 2.5}),
+            E("type", {"x": "d.x"}, {"target_type": "float"})]
+    assert [r["score"] for r in by_position(quality.run_suite(uses, {"d": df}, rules))] == [.5, .5, 0, .5, 1, 1]
+    assert quality.failed_rows(uses[0], {"d": df}).count() == 2
+
+
+def test_a_rule_that_fails_on_the_data_is_one_failed_row(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "7")], "id int, t string")
+    rules = {"cast": quality.custom_rule("row", ["t"], "cast({t} AS int) > 0")}
+    uses = [E("not_null", {"x": "d.id"}), E("cast", {"t": "d.t"}),
+            E("unique", {"x": "d.id"}), E("not_null", {"x": "d.nope"})]
+    got = by_position(quality.score_suite(uses, {"d": df}, rules))
+    assert [r["success"] for r in got] == [True, False, True, False]
+    assert "CAST_INVALID_INPUT" in got[1]["error"] and "nope" in got[3]["error"]
+    uses.pop(1)
+    assert [r["success"] for r in by_position(quality.score_suite(uses, {"d": df}))] == [True, True, False]
