@@ -166,22 +166,37 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text",
     return with_arrow(df, f"`{ids}` binary", maker)
 
 
+def bytes_of(table: list[bytes], raw: bytes | None) -> bytes:
+    if not raw:
+        return b""
+    return b"".join(map(table.__getitem__, np.frombuffer(raw, "<u4").tolist()))
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids stand for. Bytes, not text: one id may
     hold only part of a character, so a slice of ids need not be valid UTF-8
     (``as_text`` reads it). Null ids give no bytes."""
     def maker():
         table = token_bytes(path)
-
-        def one(raw: bytes | None) -> bytes:
-            if not raw:
-                return b""
-            return b"".join(map(table.__getitem__, np.frombuffer(raw, "<u4").tolist()))
-        return lambda batch: [[one(v) for v in column(batch, ids).to_pylist()]]
+        return lambda batch: [[bytes_of(table, v) for v in column(batch, ids).to_pylist()]]
 
     return with_arrow(df, f"`{decoded}` binary", maker)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with ``ids`` and ``decoded``: ``encode`` and ``decode`` in one pass, so
+    that a task needs one worker."""
+    def maker():
+        enc, table = encoder(path, pattern), token_bytes(path)
+
+        def compute(batch):
+            ids = [enc.ids(t) for t in column(batch, text).to_pylist()]
+            return [ids, [bytes_of(table, v) for v in ids]]
+        return compute
+
+    return with_arrow(df, "ids binary, decoded binary", maker)
+
+
 def as_text(raw: bytes) -> tuple[str, int, int]:
     """A slice of decoded bytes as text, with the number of bytes at its start
     and at its end that belong to characters cut in two."""
@@ -226,7 +241,7 @@ def offsets(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> D
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text",
             key: str = "doc_id") -> DataFrame:
     """Per row: number of ids, digest of the ids, digest of what they decode to."""
-    made = decode(encode(df.select(key, text), path, pattern, text).drop(text), path)
+    made = round_trip(df.select(key, text), path, pattern, text)
     return made.select(
         key, (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
