@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -374,27 +374,41 @@ def find(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
     field's), each as kind:start:end in code points, end exclusive, by start and
     kind, joined by commas. Null and empty texts have none. Columns of these names
     are replaced."""
+    search = searching(docs, field)
+
+    def maker():
+        spans_of = search()
+
+        def compute(batch: pa.RecordBatch) -> list:
+            found = spans_of(column(batch, text).to_pylist())
+            return [[written(b) for b, _ in found], [written(s) for _, s in found]]
+        return compute
+
+    return with_arrow(docs, "base string, spans string", maker)
+
+
+def searching(docs: DataFrame, field: Field | None) -> Callable[[], Callable[[list], list]]:
+    """Makes, in a task, the function from texts to their base and all spans."""
     raw = docs.sparkSession.sparkContext.broadcast(field.to_bytes() if field else None)
 
     def maker():
         model = Field.from_bytes(raw.value) if raw.value else None
 
-        def compute(batch: pa.RecordBatch) -> list:
-            out_base, out_all = [], []
-            for at in range(0, batch.num_rows, 400):
-                texts = [t or "" for t in column(batch, text).slice(at, 400).to_pylist()]
-                base = [base_spans(t) for t in texts]
+        def spans_of(texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
+            out = []
+            for at in range(0, len(texts), 400):
+                part = [t or "" for t in texts[at:at + 400]]
+                base = [base_spans(t) for t in part]
                 every = base
                 if model:
-                    tags = model.decode([t.translate(SHAPE).split() for t in texts])
+                    tags = model.decode([t.translate(SHAPE).split() for t in part])
                     every = [ordered(b + added(t, g, b)) if g.any() else b
-                             for t, g, b in zip(texts, tags, base)]
-                out_base += map(written, base)
-                out_all += map(written, every)
-            return [out_base, out_all]
-        return compute
+                             for t, g, b in zip(part, tags, base)]
+                out += zip(base, every)
+            return out
+        return spans_of
 
-    return with_arrow(docs, "base string, spans string", maker)
+    return maker
 
 
 def labelled_by_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -422,20 +436,24 @@ def counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 def redact(docs: DataFrame, field: Field | None, text: str = "text") -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets; texts
     without spans stay as they are, null stays null."""
-    found = find(docs, field, text)
+    search = searching(docs, field)
 
     def maker():
-        def one(t: str | None, spans: str) -> str | None:
+        spans_of = search()
+
+        def one(t: str | None, spans: list[Span]) -> str | None:
             if not spans:
                 return t
             out, at = [], 0
-            for kind, a, b in (s.split(":") for s in spans.split(",")):
-                if int(a) >= at:
-                    out += [t[at:int(a)], f"<{kind.upper()}>"]
-                at = max(at, int(b))
+            for start, end, kind in spans:
+                if start >= at:
+                    out += [t[at:start], f"<{kind.upper()}>"]
+                at = max(at, end)
             return "".join([*out, t[at:]])
-        return lambda batch: [[one(t, s) for t, s in zip(column(batch, text).to_pylist(),
-                                                         column(batch, "spans").to_pylist())]]
 
-    changed = with_arrow(found, f"`{text}` string", maker)
-    return changed.select(*docs.columns)
+        def compute(batch: pa.RecordBatch) -> list:
+            texts = column(batch, text).to_pylist()
+            return [[one(t, s) for t, (_, s) in zip(texts, spans_of(texts))]]
+        return compute
+
+    return with_arrow(docs, f"`{text}` string", maker).select(*docs.columns)
