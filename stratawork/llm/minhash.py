@@ -41,7 +41,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0
 #: Shingles hashed at a time: a block that stays in the processor's cache.
 BLOCK = 16_384
 #: Members of a block on its two sides, and pairs compared at a time.
-FEW, MANY, PAIRS = 1024, 4096, 200_000
+FEW, MANY, PAIRS = 2048, 8192, 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
