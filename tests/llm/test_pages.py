@@ -4,8 +4,10 @@ import hashlib
 import io
 import itertools
 import re
+from collections import Counter
 
 import zstandard
+from pyspark.sql import functions as F
 
 from stratawork.llm import url_rules, warc
 from stratawork.llm.common import Workspace
@@ -81,6 +83,67 @@ def test_mined_rules_equal_counting(spark):
         assert best.get(u) == ((max(fits)[4], round(max(fits)[0], 9)) if fits else None)
 
 
+def counted_rules(labelled, rows, longest):
+    """All rules of at most ``longest`` tokens, by counting."""
+    tokens = {r[0]: frozenset(r[1]) for r in labelled.select("url", url_rules.tokens("url")).collect()}
+    least, n, want = 20, len(rows), {}
+    often = {t for t, c in Counter(t for u, _ in rows for t in tokens[u]).items() if c >= least}
+    sets = Counter(), Counter()
+    for u, b in rows:
+        for k in range(1, longest + 1):
+            for c in itertools.combinations(sorted(tokens[u] & often), k):
+                sets[b][c] += 1
+    for c in sets[0].keys() | sets[1].keys():
+        for b, verdict in ((True, "block"), (False, "allow")):
+            if sets[b][c] >= least and sets[b][c] / (sets[0][c] + sets[1][c]) >= 0.6:
+                want[c, verdict] = (sets[b][c] / (sets[0][c] + sets[1][c]), sets[b][c] / n)
+    return want
+
+
+def mined_rules(labelled):
+    return {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"])
+            for r in url_rules.mine(labelled).collect()}
+
+
+def test_long_urls_are_mined(spark):
+    """A pattern of long urls only, whose other words are rare, and a shorter rule
+    that they count against."""
+    slug = "-".join(chr(97 + k) * 2 + "{0}" for k in range(18))
+    names = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(100)]
+    rows = ([("http://long.net/win/" + slug.format(x), True) for x in names[:60]]
+            + [("http://other.net/read/" + x, False) for x in names] + [("http://other.net/win/" + x, False) for x in names[:40]])
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    assert labelled.select(F.max(F.size(url_rules.tokens("url")))).first()[0] > 16
+    got, want = mined_rules(labelled), counted_rules(labelled, rows, 8)
+    assert got.keys() == want.keys() and all(abs(got[k][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
+    assert got[("word:win",), "block"][0] == 0.6
+    unseen = spark.createDataFrame([(1, "http://long.net/win/" + slug.format("new"))], "page_id bigint, url string")
+    assert url_rules.judge(unseen, url_rules.mine(labelled), URL_RULES).first()["verdict"] == "block"
+
+
+def test_long_urls_of_frequent_tokens_bound_the_rules_only(spark):
+    """30 tokens that are always together: short rules, from all rows."""
+    words = "/".join(chr(97 + k) * 3 for k in range(26))
+    rows = ([(f"http://www.long.net/{words}", i % 10 != 0) for i in range(50)]
+            + [(f"http://other.net/aaa/{i}", False) for i in range(40)] + [("http://long.net/bbb", True)] * 30)
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    got = mined_rules(labelled)
+    lengths = {len(k[0]) for k in got}
+    want = counted_rules(labelled, rows, max(lengths))
+    assert lengths == set(range(1, max(lengths) + 1)) and max(lengths) >= 3
+    assert got.keys() == want.keys() and all(abs(got[k][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
+
+
+def test_rules_by_length_equal_fp_growth(spark):
+    rows = [(f"http://a{i % 3}.net/b{'xyz'[i % 3]}/{'pq'[i % 2]}?r={'st'[i % 5 > 2]}", i % 7 < 2) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    whole = mined_rules(labelled)
+    by_length = {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"])
+                 for r in url_rules.mine(labelled, max_tokens=1).collect()}
+    assert whole.keys() == by_length.keys() and len(whole) > 20
+    assert all(abs(whole[k][i] - by_length[k][i]) < 1e-9 for k in whole for i in (0, 1))
+
+
 def test_url_path_stays_in_the_jvm(spark):
     plan = op6_url_rules(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
