@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, fold, sampled, with_arrow
+from .common import Workspace, column, fold, sampled, with_arrow
 
 UNKNOWN = "und"
 #: Languages up to which their shares are broadcast.
@@ -108,19 +108,24 @@ def top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return grams[np.argsort(-counts, kind="stable")[:size]]
 
 
-def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-             size: int = 300, max_rows: int = 4_000) -> dict[str, np.ndarray]:
-    """Profile per language. About ``max_rows`` rows of each language are used,
-    chosen by a hash of their key; rows without language or text are left out, and
-    a language without any letter has no profile."""
+def _learned_from(docs: DataFrame, text: str, lang: str, key: str, max_rows: int) -> DataFrame:
+    """About ``max_rows`` rows of each language, chosen by a hash of their key."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
     share = rows.groupBy(lang).agg(
         F.least(F.lit(1.0), max_rows / F.count("*")).alias("__share"))
     if share.count() <= BROADCAST_LANGUAGES:  # else the join shuffles
         share = F.broadcast(share)
-    rows = rows.join(share, lang).where(
+    return rows.join(share, lang).where(
         sampled(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__share")))
 
+
+def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
+             size: int = 300, max_rows: int = 4_000) -> dict[str, np.ndarray]:
+    """Profile per language. About ``max_rows`` rows of each language are used,
+    chosen by a hash of their key; rows without language or text are left out, and
+    a language without any letter has no profile."""
+    rows = _learned_from(docs, text, lang, key, max_rows)
+
     def run(batches):
         for batch in batches:
             names = np.array(column(batch, lang).to_pylist())
@@ -147,12 +152,33 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return {name: np.array(g, np.int64).view(np.uint64) for name, g in out.items()}
 
 
+def least_scores(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
+                 max_rows: int = 4_000, min_rows: int = 8) -> dict[str, float]:
+    """Per language the score below which a text is not in it, from the rows that
+    ``profiles`` learns from: each half is judged by profiles of the other. The limit
+    lies three times as far below the median as the lowest tenth ends (3.8 standard
+    deviations, were the scores normal), so one tenth of wrong labels does not reach
+    it. A language of fewer than ``min_rows`` judged rows has no limit."""
+    work = Workspace(docs.sparkSession)
+    # By the text: copies are in one half.
+    half = F.pmod(F.xxhash64(text), F.lit(2))
+    rows = work.table(_learned_from(docs, text, lang, key, max_rows).withColumn("half", half))
+    judged = [identify(rows.where(F.col("half") == h), profiles(rows.where(F.col("half") != h), text, lang, key,
+                                                               max_rows=max_rows), text) for h in (0, 1)]
+    own = judged[0].union(judged[1]).where((F.col("lang_pred") == F.col(lang)) & (F.col("score") > 0))
+    low, middle = F.percentile("score", F.lit(0.1)), F.percentile("score", F.lit(0.5))
+    limits = own.groupBy(lang).agg(F.count("*").alias("n"), (middle - 3 * (middle - low)).alias("least"))
+    return {r[lang]: r["least"] for r in limits.where(F.col("n") >= min_rows).collect()}
+
+
 def identify(docs: DataFrame, known: dict[str, np.ndarray], text: str = "text",
-             size: int = 300, lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+             size: int = 300, lang_out: str = "lang_pred", score_out: str = "score",
+             least: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with the closest language and a score: 1 less the distance's
     share of the largest possible one. Equal distances go to the first name. Null
     texts, texts without letters and texts judged without any profile are ``und``
-    with score 0."""
+    with score 0. With ``least``, so are, with their score, texts that share nothing
+    with any profile or score less than their language's limit."""
     names = sorted(known)
     shared = docs.sparkSession.sparkContext.broadcast((names, [known[n] for n in names]))
 
@@ -172,7 +198,9 @@ def identify(docs: DataFrame, known: dict[str, np.ndarray], text: str = "text",
             there = place[:, at]
             apart = np.where(there < size, np.abs(there - np.arange(len(own))), size).sum(axis=1)
             best = int(np.argmin(apart))
-            return names[best], 1.0 - float(apart[best]) / (size * len(own))
+            score = 1.0 - float(apart[best]) / (size * len(own))
+            far = least is not None and (score <= 0 or score < least.get(names[best], 0.0))
+            return UNKNOWN if far else names[best], score
 
         def compute(batch):
             made = [one(t) for t in column(batch, text).to_pylist()]
