@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import as_list, require, sort_keys, total_order
+from ..functions.ordering import as_list, position, require, sort_keys, total_order
 
 
 def sort(df: DataFrame, order_by: str | list[str], ascending: bool = True) -> DataFrame:
@@ -56,7 +56,8 @@ def page_after(df: DataFrame, key: str | list[str], limit: int,
                 later = later | (equal & ((c > F.lit(v)) | c.isNull()))
             equal = equal & (c.isNull() if v is None else c == F.lit(v))
         rows = df.where(later)
-    # Ranks up to a limit are cut in each task before the rows meet.
-    place = F.rank().over(Window.orderBy(*sort_keys(keys)))
-    return rows.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place") \
-        .orderBy(*total_order(df, keys))
+    # The key of the last row first, from the keys alone; the rows then stay where they
+    # are until the sort, so that many rows of one key are spread over the tasks.
+    place = position(keys, ascending=True)
+    last = rows.select(*keys).orderBy(*sort_keys(keys)).limit(limit).agg(F.max(place)).scalar()
+    return rows.where(place <= last).orderBy(*total_order(df, keys))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,18 @@ def test_pages_by_key_with_ties_and_missing(spark):
     assert seen == sorted(values, key=lambda r: tuple((v is None, v or 0) for v in r))
 
 
+def test_page_keeps_the_ties_spread(spark):
+    """No task sees all rows of the last key; limits beyond the table, and none."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
+    page = ranking.page_after(df, "k", 10)
+    assert not re.search("Window|SinglePartition", page._jdf.queryExecution().optimizedPlan().toString())
+    assert [r.k for r in page.collect()] == [0] * 1000
+    assert ranking.page_after(df, "k", 1001).count() == 2000
+    assert ranking.page_after(df, "v", 1600, 2).where("v is null").count() == 1500
+    assert ranking.page_after(df, "k", 9999, 0).count() == 2000
+    assert ranking.page_after(df, "k", 10, 2).count() == ranking.page_after(df, "k", 0).count() == 0
+
+
 def test_union(spark, rows):
     a = spark.createDataFrame([(1, "x")], "k int, s string")
     b = spark.createDataFrame([("7", 2.5)], "k string, d double")
