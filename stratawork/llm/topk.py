@@ -1,10 +1,12 @@
-"""Exact top-k search by BM25 with block-max WAND pruning.
+"""Exact top-k search by BM25 with block-max pruning.
 
 Every task indexes the documents it scans, in shards of bounded size. A shard holds
 its documents in blocks of like content, per term the largest impact in each block,
 and per document its terms with their impacts. For a query, the sum of its terms'
 largest impacts bounds a block; blocks are opened from the highest bound down, and
-what is below the k-th best score so far is never scored. Impacts leave out the
+what is below the k-th best score so far is never scored. This is not WAND: there are
+no posting lists, cursors or pivots, and all documents of an opened block are scored
+from their own terms. Impacts leave out the
 inverse document frequency: queries carry it from statistics of all documents, so
 scores of all shards compare, and merging the k best of each shard is exact.
 
