@@ -1,4 +1,4 @@
-"""The ten operators of this package as queries over the test tables."""
+"""The operators of this package as queries over the test tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, minhash, near_vectors, packing, pii, quality, topk, url_rules, warc
+from . import byte_bpe, language, minhash, near_vectors, packing, pii, quality, secrets, topk, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best of all documents for every document whose id 50 divides."""
     docs = table(spark, folder, "documents")
     return topk.search(docs, docs.where("doc_id % 50 = 0"))
+
+
+@query
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text."""
+    return secrets.counts(table(spark, folder, "documents"))
