@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, minhash, near_vectors, packing, pii, quality, secrets, topk, url_rules, warc
+from . import byte_bpe, centroids, language, minhash, near_vectors, packing, pii, quality, secrets, topk, url_rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,12 @@ def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
 def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every text."""
     return secrets.counts(table(spark, folder, "documents"))
+
+
+@query
+def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors of 64 finite components round 16 centroids."""
+    return centroids.cluster(table(spark, folder, "embeddings"))
+
+
+ORACLES["op12_clusters"] = centroids.oracle()
