@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, centroids, language, minhash, near_vectors, packing, pii, quality, secrets, topk, url_rules, warc
+from . import (byte_bpe, centroids, language, minhash, near_vectors, packing, pii, prefix_trie, quality, secrets, topk,
+               url_rules, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +112,12 @@ def op12_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op12_clusters"] = centroids.oracle()
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All prefixes of the rebuilt conversations."""
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
