@@ -52,7 +52,8 @@ def passes(kind: str, value: str) -> bool:
     digits = "".join(re.findall("[0-9]", value))
     if kind == "ip":
         parts = re.findall("[0-9]+", value)
-        return len(parts) == 4 and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+        parts = [p.lstrip("0") or "0" for p in parts]  # int() refuses thousands of zeros
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
     if kind == "phone":
@@ -346,9 +347,10 @@ def fit(labelled: DataFrame, text: str = "text", spans: str = "spans",
 
 
 def added(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
-    """Spans of a tag sequence that pass their check and touch no base span."""
+    """Spans of a tag sequence that pass their check and touch no base span (these by
+    start): one walk along both."""
     where, out = [m.span() for m in re.finditer(r"\S+", text)], []
-    at = 0
+    at = seen = reach = 0
     while at < len(tags):
         k = int(tags[at])
         if k == 0:
@@ -363,7 +365,10 @@ def added(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
             a += 1
         while a < b and not last.match(text[b - 1]):
             b -= 1
-        if a < b and passes(kind, text[a:b]) and all(b <= s[0] or a >= s[1] for s in base):
+        while seen < len(base) and base[seen][0] < b:
+            reach = max(reach, base[seen][1])
+            seen += 1
+        if a < b and a >= reach and passes(kind, text[a:b]):
             out.append((a, b, kind))
         at = end
     return out

@@ -1,6 +1,7 @@
 """Personal data."""
 
 import hashlib
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -23,6 +24,38 @@ def test_long_runs_take_linear_time():
         pii.base_spans(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["0" * 5000, "9" * 5000, ".1", "1" * 40, " ", "@", "a.b", "+", "-", "4111 1111 1111 1111"]),
+                max_size=12).map("".join))
+def test_base_of_long_runs(text):
+    """Numbers longer than int() reads are numbers all the same."""
+    import sys
+    limit = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    want = base_spans(text)
+    sys.set_int_max_str_digits(limit)
+    assert pii.written(pii.base_spans(text)) == want
+
+
+def test_parts_of_thousands_of_zeros():
+    text = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(text)[0] == (0, 5006, "ip")
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+
+
+def test_added_walks_once():
+    n = 40_000
+    text = "0123456789 " * n
+    base = [(11 * i, 11 * i + 10, "phone") for i in range(0, n, 2)]
+    start = time.time()
+    found = pii.added(text, np.full(n, 1 + 2 * pii.KINDS.index("phone")), base)
+    assert found == [(11 * i, 11 * i + 10, "phone") for i in range(1, n, 2)]
+    assert time.time() - start < 5
+    # A long base span that begins early still counts.
+    assert pii.added("0123456789 0123456789 0123456789", np.array([7, 7, 7]), [(0, 15, "card"), (1, 2, "ip")]) == [
+        (22, 32, "phone")]
+
+
 def samples():
     out = []
     for i in range(60):
