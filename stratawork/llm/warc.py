@@ -32,6 +32,7 @@ INDEX = ("page_id bigint, bundle string, frame int, frame_start bigint, frame_by
 RECORD = ("page_id bigint, record_type string, refers_to bigint, url string, "
           "digest string, payload binary")
 READERS = 10_000
+LENGTH = b"\r\nContent-Length: "
 #: The date of all records: bundles of the same pages are the same bytes.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -141,9 +142,9 @@ def records_of(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
             raw, at = unpack.decompress(stream.read(packed), max_output_size=max(1, plain)), 0
             while at < len(raw):
                 split = raw.index(b"\r\n\r\n", at)
-                length = raw.index(b"Content-Length: ", at, split + 4)
-                size = int(raw[length + 16:raw.find(b"\r\n", length)])
-                end = split + 4 + size + 4
+                # At the start of a line only: a url may hold this text, but no line end.
+                length = raw.index(LENGTH, at, split + 2) + len(LENGTH)
+                end = split + 4 + int(raw[length:raw.index(b"\r\n", length)]) + 4
                 yield parsed(raw[at:end])
                 at = end
 

@@ -7,6 +7,8 @@ import re
 from collections import Counter
 
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stratawork.llm import url_rules, warc
@@ -209,3 +211,34 @@ def test_query_warc(spark):
     pages = [tuple(r) for r in spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html").collect()]
     got = op3_warc(spark, DATA).collect()
     assert sorted(map(tuple, got), key=str) == records(pages)
+
+
+HOSTILE = st.lists(st.sampled_from(["Content-Length: 7", "\r\n", "\r", "\n", "WARC/1.1", "WARC-Type: revisit", ": ", "%0D",
+                                    "http://x/", "é", "\x00", "9" * 30, "WARC-Refers-To: <urn:page:1>"]), max_size=12).map("".join)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.none() | HOSTILE, HOSTILE.map(str.encode)), min_size=1, max_size=6))
+def test_urls_and_payloads_that_look_like_headers(tmp_path_factory, records):
+    path = tmp_path_factory.mktemp("bundles") / "b.warc.zst"
+    with open(path, "wb") as out:
+        bundle = warc.Bundle(out, 300, 3)
+        for i, (url, payload) in enumerate(records):
+            bundle.add(i, warc.record(i, url, payload, hashlib.sha256(payload).hexdigest(), None))
+        bundle.finish()
+    back = list(warc.records_of(str(path)))
+    assert [p for _, p in back] == [p for _, p in records]
+    for (head, _), (url, _) in zip(back, records):
+        assert head["WARC-Type"] == "response" and ("WARC-Target-URI" in head) == (url is not None)
+    for page, _, start, size, offset, length in bundle.places:
+        assert warc.fetch(str(path), start, size, offset, length)[1] == records[page][1]
+
+
+def test_round_trip_of_hostile_urls(spark):
+    url = "http://x.org/?a=Content-Length: 7&b=\r\nContent-Length: 3\r\n\r\n"
+    rows = [(i, url, f"{i} " + "<p>" * 70) for i in range(3)] + [(9, url, None)]
+    out = {r["page_id"]: r for r in warc.round_trip(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i, _, html in rows:
+        raw = (html or "").encode()
+        assert (out[i]["payload_bytes"], out[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
