@@ -5,9 +5,11 @@ rules yield a boolean per row and score the share of rows that pass; a missing
 value in a comparison fails. Aggregate rules yield one boolean. A rule succeeds
 when ``score >= tolerance`` (the minimum passing share).
 
-``run_suite`` reads each dataset once for all row and aggregate rules together.
-Uniqueness and membership rules are two-level aggregates: values are counted
-first (partially before the shuffle), so a hot value is one row afterwards.
+``run_suite`` reads each dataset once for all its rules. Row and aggregate rules alone
+are one aggregate. With uniqueness and membership rules each row is expanded to one
+(rule, key) pair per such rule, and these are counted (partially before the shuffle, so
+a hot value is one row afterwards); row rules ride along as the pattern of those that
+hold. ``Watch`` measures row and aggregate rules while the rows are written.
 """
 
 from __future__ import annotations
@@ -18,14 +20,14 @@ from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import is_floating, known_value, truth
 from ..functions.scalars import lookup, slice_text
 from .groups import flag_duplicates
-from .joins import anti_join
+from .joins import anti_join, with_membership
 
 
 @dataclass(frozen=True)
@@ -202,13 +204,16 @@ def _result(b: _Bound, score: Column, total: Column, failed: Column) -> Column:
         F.lit(None).cast("string").alias("error"))
 
 
-def _one_pass(df: DataFrame, rules: list[_Bound]) -> DataFrame:
-    """All row and aggregate rules of one dataset in a single aggregate."""
-    measures: list[Column] = [F.count(F.lit(1)).alias("__rows")]
+def _measures(df: DataFrame, rules: list[_Bound]) -> list[Column]:
+    """Aggregates that row and aggregate rules come to, and the number of rows."""
+    out: list[Column] = [F.count(F.lit(1)).alias("__rows")]
     for b in rules:
         check = truth(predicate(b.rule, df, b.columns, b.use.params))
-        measures.append((F.count_if(check) if b.rule.kind == "row" else check)
-                        .alias(f"__r{b.position}"))
+        out.append((F.count_if(check) if b.rule.kind == "row" else check).alias(f"__r{b.position}"))
+    return out
+
+
+def _judged(measured: DataFrame, rules: list[_Bound]) -> DataFrame:
     rows = F.col("__rows")
 
     def of(b: _Bound) -> Column:
@@ -216,27 +221,125 @@ def _one_pass(df: DataFrame, rules: list[_Bound]) -> DataFrame:
         if b.rule.kind == "row":
             return _result(b, F.try_divide(got, rows), rows, rows - got)
         return _result(b, got.cast("double"), rows, F.lit(None))
-    return df.agg(*measures).select(F.inline(F.array(*[of(b) for b in rules])))
+    return measured.select(F.inline(F.array(*[of(b) for b in rules])))
+
+
+def _common_type(df: DataFrame, x: str, other: DataFrame, y: str) -> T.DataType:
+    """The type in which two columns are compared."""
+    both = [F.lit(None).cast(d.schema[c].dataType) for d, c in ((df, x), (other, y))]
+    return df.sparkSession.range(0).select(F.coalesce(*both).alias("k")).schema["k"].dataType
+
+
+def _counted(df: DataFrame, rules: list[_Bound], datasets: Mapping[str, DataFrame]) -> DataFrame:
+    """All rules of a dataset from one count per (rule, key). Set 0 of the expanded
+    rows has no key, set 1 the pattern of row rules, the others the columns of one
+    uniqueness or membership rule. Known values of other datasets join in as rows
+    that count nothing."""
+    rows, keyed = ([b for b in rules if b.rule.kind in kinds] for kinds in (("row",), ("unique", "in_other")))
+    whole = [b for b in rules if b.rule.kind == "aggregate"]
+    checks = [truth(predicate(b.rule, df, b.columns, b.use.params)) for b in rows]
+    # The type of a membership rule's key is that in which it is compared.
+    kinds: list[T.DataType] = [T.ArrayType(T.BooleanType())]
+    parts: dict[tuple, int] = {}
+    for b in keyed:
+        for name, c in b.columns.items():
+            if b.rule.kind == "unique" or name == "x":
+                kind = df.schema[c].dataType if b.rule.kind == "unique" else \
+                    _common_type(df, c, datasets[b.other], b.columns["y"])
+                if (c, kind.simpleString()) not in parts:
+                    parts[c, kind.simpleString()] = len(kinds)
+                    kinds.append(kind)
+
+    def keys_of(b: _Bound) -> dict[int, str]:
+        if b.rule.kind == "unique":
+            return {parts[c, df.schema[c].dataType.simpleString()]: c for c in b.columns.values()}
+        kind = _common_type(df, b.columns["x"], datasets[b.other], b.columns["y"])
+        return {parts[b.columns["x"], kind.simpleString()]: b.columns["x"]}
+
+    def part(number: int, cells: Mapping[int, Column]) -> Column:
+        return F.struct(F.lit(number).alias("s"), *[
+            cells.get(i, F.lit(None)).cast(kind).alias(f"k{i}") for i, kind in enumerate(kinds)])
+
+    sets = [{0: F.array(*checks).cast(kinds[0])}] + [{i: F.col(f"`{c}`") for i, c in keys_of(b).items()} for b in keyed]
+    sets = ([{}] if whole else []) + [s for i, s in enumerate(sets) if i or rows]
+    number = {b.position: 2 + i for i, b in enumerate(keyed)}
+    numbers = ([0] if whole else []) + ([1] if rows else []) + list(number.values())
+    inputs = {c for b in whole for c in b.columns.values()}
+    expanded = df.select(*[F.col(f"`{c}`") for c in df.columns if c in inputs],
+                         F.explode(F.array(*[part(n, s) for n, s in zip(numbers, sets)])).alias("__e"))
+    expanded = expanded.withColumn("__n", F.lit(1)).withColumn("__hit", F.lit(False))
+    for b in keyed:
+        if b.rule.kind == "in_other":
+            known = datasets[b.other].select(F.col(f"`{b.columns['y']}`").alias("y")).distinct()
+            known = known.select(part(number[b.position], {i: F.col("y") for i in keys_of(b)}).alias("__e"),
+                                 F.lit(0).alias("__n"), F.lit(True).alias("__hit"))
+            expanded = expanded.unionByName(known, allowMissingColumns=True)
+    fields = ["s", *(f"k{i}" for i in range(len(kinds)))]
+    counts = expanded.groupBy(*[F.col(f"__e.{f}").alias(f) for f in fields]).agg(
+        F.sum("__n").alias("n"), F.bool_or("__hit").alias("hit"),
+        *[F.when(F.col("s") == 0, truth(predicate(b.rule, df, b.columns, b.use.params))).alias(f"w{b.position}")
+          for b in whole])
+
+    def total(where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col("n"))), F.lit(0))
+
+    there = (F.col("s") == min(numbers)) & (F.col("n") > 0)
+    measures = [total(there).alias("__rows")]
+    for i, b in enumerate(rows):
+        measures.append(total((F.col("s") == 1) & F.col("k0")[i]).alias(f"__r{b.position}"))
+    for b in whole:
+        # Without rows there is no set: the check on nothing, which reads nothing.
+        check = truth(predicate(b.rule, df, b.columns, b.use.params))
+        measures.append(F.coalesce(F.bool_or(f"w{b.position}"), df.limit(0).agg(check).scalar()).alias(f"__r{b.position}"))
+    for b in keyed:
+        own = (F.col("s") == number[b.position]) & (F.col("n") > 0)
+        measures.append((F.count_if(own) if b.rule.kind == "unique" else total(own & F.col("hit"))).alias(f"__r{b.position}"))
 
+    n = F.col("__rows")
 
-def _unique(df: DataFrame, b: _Bound) -> DataFrame:
-    counts = df.groupBy(*b.columns.values()).agg(F.count(F.lit(1)).alias("__n"))
-    both = counts.agg(F.count(F.lit(1)).alias("d"), F.sum("__n").alias("n"))
-    score = F.try_divide(F.col("d"), F.col("n"))
-    total = F.coalesce("n", F.lit(0))
-    return both.select(F.inline(F.array(_result(b, score, total, total - F.col("d")))))
+    def of(b: _Bound) -> Column:
+        got = F.col(f"__r{b.position}")
+        if b.rule.kind == "aggregate":
+            return _result(b, got.cast("double"), n, F.lit(None))
+        return _result(b, F.try_divide(got, n), n, n - got)
+    return counts.agg(*measures).select(F.inline(F.array(*[of(b) for b in rules])))
+
+
+def _scores(rules: list[_Bound], datasets: Mapping[str, DataFrame]) -> list[DataFrame]:
+    """Results of bound rules, one reading per dataset."""
+    out = []
+    for name in dict.fromkeys(b.dataset for b in rules):
+        own = [b for b in rules if b.dataset == name]
+        if all(b.rule.kind in ("row", "aggregate") for b in own):
+            out.append(_judged(datasets[name].agg(*_measures(datasets[name], own)), own))
+        else:
+            out.append(_counted(datasets[name], own, datasets))
+    return out
+
+
+def _arranged(expectations: list[Expectation], datasets: Mapping[str, DataFrame],
+              rules: Mapping[str, Rule] | None) -> tuple[list[_Bound], list[tuple]]:
+    """Bound expectations, and result rows of those that cannot be set up."""
+    bound: list[_Bound] = []
+    errors: list[tuple] = []
+    for i, use in enumerate(expectations):
+        try:
+            b = _bind(i, use, datasets, {**RULES, **(rules or {})})
+            df = datasets[b.dataset]
+            if b.rule.kind in ("row", "aggregate"):
+                check = truth(predicate(b.rule, df, b.columns, b.use.params))
+                (df.agg if b.rule.kind == "aggregate" else df.select)(check)  # analysed, not run
+            elif b.rule.kind == "in_other":
+                _common_type(df, b.columns["x"], datasets[b.other], b.columns["y"])
+            bound.append(b)
+        except (KeyError, ValueError, TypeError, AnalysisException) as e:
+            message = str(e.args[0]) if isinstance(e, KeyError) else str(e)
+            errors.append((i, use.rule_id, None, float(use.tolerance), False, None, None, message))
+    return bound, errors
 
 
-def _in_other(df: DataFrame, other: DataFrame, b: _Bound) -> DataFrame:
-    counts = df.groupBy(F.col(b.columns["x"]).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
-    known = other.select(F.col(b.columns["y"]).alias("__y")).distinct() \
-        .withColumn("__hit", F.lit(True))
-    joined = counts.join(known, F.col("__x").eqNullSafe(F.col("__y")), "left")
-    both = joined.agg(F.sum("__n").alias("n"),
-                      F.coalesce(F.sum(F.when(F.col("__hit"), F.col("__n"))), F.lit(0)).alias("p"))
-    total = F.coalesce("n", F.lit(0))
-    score = F.try_divide(F.col("p"), F.col("n"))
-    return both.select(F.inline(F.array(_result(b, score, total, total - F.col("p")))))
+def _all(spark: SparkSession, parts: list[DataFrame], errors: list[tuple]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [*parts, *([spark.createDataFrame(errors, RESULT)] if errors else [])])
 
 
 def run_suite(expectations: list[Expectation], datasets: Mapping[str, DataFrame],
@@ -244,34 +347,50 @@ def run_suite(expectations: list[Expectation], datasets: Mapping[str, DataFrame]
     """One row per expectation: score, success and counts. An expectation that
     cannot be set up (unknown rule, column or parameter, a formula that does
     not fit the column types) gives a failed row with the message; the others
-    still run. Lazy: nothing is read before an action."""
-    rules = {**RULES, **(rules or {})}
+    still run. Lazy: nothing is read before an action, and each dataset is read once
+    (and once more where it holds the known values of another's rule)."""
     if not expectations:
         raise ValueError("the suite is empty")
-    errors: list[tuple] = []
-    passes: dict[str, list[_Bound]] = {}
-    parts: list[DataFrame] = []
-    for i, use in enumerate(expectations):
-        try:
-            b = _bind(i, use, datasets, rules)
-            df = datasets[b.dataset]
-            if b.rule.kind == "unique":
-                parts.append(_unique(df, b))
-            elif b.rule.kind == "in_other":
-                parts.append(_in_other(df, datasets[b.other], b))
-            else:
-                check = truth(predicate(b.rule, df, b.columns, b.use.params))
-                (df.agg if b.rule.kind == "aggregate" else df.select)(check)  # analysed, not run
-                passes.setdefault(b.dataset, []).append(b)
-        except (KeyError, ValueError, TypeError, AnalysisException) as e:
-            message = str(e.args[0]) if isinstance(e, KeyError) else str(e)
-            errors.append((i, use.rule_id, None, float(use.tolerance), False, None, None, message))
-    parts += [_one_pass(datasets[name], bound) for name, bound in passes.items()]
-    if errors:
-        spark = next(iter(datasets.values())).sparkSession if datasets \
-            else SparkSession.getActiveSession()
-        parts.append(spark.createDataFrame(errors, RESULT))
-    return reduce(DataFrame.unionByName, parts)
+    bound, errors = _arranged(expectations, datasets, rules)
+    spark = next(iter(datasets.values())).sparkSession if datasets else SparkSession.getActiveSession()
+    return _all(spark, _scores(bound, datasets), errors)
+
+
+class Watch:
+    """Row and aggregate rules of a dataset, measured while its rows pass on their way
+    to a file. Other rules need the whole dataset and read what was written."""
+
+    def __init__(self, expectations: list[Expectation], df: DataFrame, name: str = "this",
+                 rules: Mapping[str, Rule] | None = None):
+        self.uses, self.df, self.name = list(expectations), df, name
+        bound, self.errors = _arranged(self.uses, {name: df}, rules)
+        self.passing = [b for b in bound if b.rule.kind in ("row", "aggregate")]
+        self.others = [b for b in bound if b not in self.passing]
+        self.seen = Observation()
+
+    @property
+    def measures_rules(self) -> bool:
+        return bool(self.passing)
+
+    def watched(self) -> DataFrame:
+        """The rows, to be written as they are."""
+        return self.df.observe(self.seen, *_measures(self.df, self.passing))
+
+    def rows(self) -> int:
+        """How many rows passed."""
+        return self.seen.get["__rows"]
+
+    def covers(self, expectations: list[Expectation], n_rows: int | None) -> bool:
+        """Whether just these expectations were measured, on each of ``n_rows`` rows
+        once. A task that ran again may have counted twice; nothing is measured
+        where there are no rows."""
+        return self.measures_rules and self.uses == list(expectations) and bool(n_rows) and self.rows() == n_rows
+
+    def results(self, written: DataFrame) -> DataFrame:
+        """As ``run_suite`` on what was written."""
+        spark, got = written.sparkSession, self.seen.get
+        measured = spark.range(0, 1, 1, 1).select(*[F.lit(v).alias(n) for n, v in got.items()])
+        return _all(spark, [_judged(measured, self.passing), *_scores(self.others, {self.name: written})], self.errors)
 
 
 def score_suite(expectations: list[Expectation], datasets: Mapping[str, DataFrame],
@@ -306,6 +425,35 @@ def summarize(results: DataFrame, details: bool = False) -> DataFrame:
         *([F.to_json(entries).alias("details")] if details else []))
 
 
+def failing_rows(expectations: list[Expectation], datasets: Mapping[str, DataFrame],
+                 rules: Mapping[str, Rule] | None = None, order_by: str | list[str] | None = None) -> DataFrame:
+    """The rows of a dataset that fail any of its expectations, with ``failed``: the
+    positions of these in the suite, ascending. All expectations must be on one
+    dataset, which is read once. Of rows with one key of a uniqueness rule all but
+    the first in ``order_by`` fail; aggregate rules have no rows."""
+    bound = [_bind(i, use, datasets, {**RULES, **(rules or {})}) for i, use in enumerate(expectations)]
+    names = {b.dataset for b in bound}
+    if len(names) != 1:
+        raise ValueError(f"the suite must be on one dataset, not {sorted(names)}")
+    df = datasets[names.pop()]
+    found, bad = df, {}
+    for b in bound:
+        flag = f"__bad{b.position}"
+        if b.rule.kind == "unique":
+            found = flag_duplicates(found, list(b.columns.values()), order_by, flag)
+        elif b.rule.kind == "in_other":
+            found = with_membership(found, b.columns["x"], datasets[b.other], b.columns["y"], flag)
+            found = found.withColumn(flag, ~F.col(flag))
+        elif b.rule.kind == "row":
+            found = found.withColumn(flag, ~truth(predicate(b.rule, df, b.columns, b.use.params)))
+        else:
+            continue
+        bad[b.position] = F.when(F.col(flag), F.lit(b.position))
+    failed = F.array_compact(F.array(*bad.values())) if bad else F.array().cast("array<int>")
+    return found.withColumn("failed", failed).where(F.size("failed") > 0).select(
+        *[F.col(f"`{c}`") for c in df.columns if c != "failed"], "failed")
+
+
 def failed_rows(use: Expectation, datasets: Mapping[str, DataFrame],
                 rules: Mapping[str, Rule] | None = None) -> DataFrame:
     """The rows that fail one expectation, with the rule's name. For uniqueness

@@ -232,6 +232,26 @@ def dq_failed_rows_unique(t: Tables) -> DataFrame:
     return quality.failed_rows(use, {"lines": t.lineitem.select("l_orderkey", "l_linenumber")})
 
 
+@query(f"""
+    SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN flag IS NULL THEN '0' END,
+        CASE WHEN NOT coalesce(tax BETWEEN 0.01 AND 0.06, FALSE) THEN '1' END,
+        CASE WHEN r > 1 THEN '2' END, CASE WHEN l_orderkey NOT IN (
+            SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') THEN '3' END) AS failed
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+        ORDER BY l_quantity, l_discount, l_extendedprice, flag NULLS LAST, tax NULLS LAST) AS r FROM {_LINES})
+    WHERE failed <> ''
+""")
+def dq_failing_rows(t: Tables) -> DataFrame:
+    """The rows that fail any rule of a suite, with all the rules they fail."""
+    uses = [Expectation("not_null", {"x": "lines.flag"}),
+            Expectation("between", {"x": "lines.tax"}, {"min_val": 0.01, "max_val": 0.06}),
+            Expectation("compound_unique", {"a": "lines.l_orderkey", "b": "lines.l_linenumber"}),
+            Expectation("in_other", {"x": "lines.l_orderkey", "y": "open.o_orderkey"})]
+    out = quality.failing_rows(uses, {"lines": _lines(t), "open": t.orders.where("o_orderstatus <> 'F'")},
+                               order_by="l_quantity")
+    return out.select("l_orderkey", "l_linenumber", F.concat_ws(",", F.col("failed").cast("array<string>")).alias("failed"))
+
+
 # -- charts -----------------------------------------------------------------
 
 _MONEY = "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)"

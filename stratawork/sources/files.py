@@ -3,10 +3,13 @@ Hadoop configuration)."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from typing import Any
 
+from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -65,13 +68,68 @@ def sink(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexi
         writer.options(**cells).csv(path, header=True, sep="\t" if fmt == "tsv" else ",")
 
 
-def remove(spark: SparkSession, path: str) -> bool:
-    """Delete a directory through Hadoop's file system; False if absent."""
+def _at(spark: SparkSession, path: str) -> tuple[JavaObject, JavaObject]:
+    """Hadoop's file system and path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system, system.makeQualified(target)
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a directory through Hadoop's file system; False if absent."""
+    system, target = _at(spark, path)
     return system.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _at(spark, path)
+    return system.exists(target)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it is absent."""
+    system, target = _at(spark, folder)
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+
+
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file as a whole, or leave the one that is there and return
+    False. Of several writers one succeeds: a local file system links a finished
+    file to its name, others rename it without overwriting, which must be atomic
+    there, as it is in HDFS."""
+    system, target = _at(spark, path)
+    system.mkdirs(target.getParent())
+    draft = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = system.create(draft, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    try:
+        if system.getScheme() == "file":
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+        else:
+            _rename(spark, draft, target)
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        system.delete(draft, False)
+
+
+def _rename(spark: SparkSession, source: JavaObject, target: JavaObject) -> None:
+    fs = spark._jvm.org.apache.hadoop.fs
+    context = fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").NONE
+    try:
+        context.rename(source, target, how)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            raise FileExistsError(target.toString()) from None
+        raise
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name all executors can reach: under ``spark.checkpoint.dir``
     where the cluster names one. Without it only a local master may go on, in a

@@ -178,3 +178,68 @@ def test_a_rule_that_fails_on_the_data_is_one_failed_row(spark):
     assert "CAST_INVALID_INPUT" in got[1]["error"] and "nope" in got[3]["error"]
     uses.pop(1)
     assert [r["success"] for r in by_position(quality.score_suite(uses, {"d": df}))] == [True, True, False]
+
+
+MIXED = [("not_null", {"x": "d.k"}, {}), ("mean", {"x": "d.v"}, {"min_avg": 0, "max_avg": 100}),
+         ("unique", {"x": "d.k"}, {}), ("unique", {"x": "d.v"}, {}), ("unique", {"x": "d.k"}, {}),
+         ("compound_unique", {"a": "d.k", "b": "d.v"}, {}), ("in_other", {"x": "d.k", "y": "o.id"}, {}),
+         ("in_other", {"x": "d.k", "y": "p.id"}, {}), ("in_other", {"x": "d.t", "y": "p.t"}, {}),
+         ("in_other", {"x": "d.k", "y": "d.k"}, {}), ("rows", {"x": "d.k"}, {"most": 6}),
+         ("between", {"x": "d.v"}, {"min_val": 0, "max_val": 2})]
+
+
+@pytest.mark.parametrize("n", [0, 1, 9])
+def test_a_mixed_suite_equals_its_rules_alone(spark, n):
+    nan = float("nan")
+    data = [(1, 1.0, "a"), (1, 1.0, "a"), (2, nan, None), (None, None, "b"), (None, 2.0, "zz"), (3, 0.0, "c"),
+            (4, -0.0, "c"), (5, nan, None), (1, 3.0, "x")][:n]
+    d = spark.createDataFrame(data, "k int, v double, t string")
+    o = spark.createDataFrame([(1,), (1,), (None,), (7,)], "id bigint")
+    p = spark.createDataFrame([(3, "a"), (4, None)], "id smallint, t string")
+    rules = {"rows": quality.custom_rule("aggregate", ["x"], "count(*) <= {most}", ["most"])}
+    uses = [E(*m) for m in MIXED]
+    tables = {"d": d, "o": o, "p": p}
+    got = {r.position: tuple(r)[1:] for r in quality.run_suite(uses, tables, rules).collect()}
+    keys = [(r[0], r[1]) for r in data], [r[0] for r in data]
+
+    def same(v):
+        return "nan" if v is not None and v != v else v
+
+    for i, use in enumerate(uses):
+        if use.rule_id in ("not_null", "mean", "between", "rows"):
+            assert got[i] == tuple(quality.run_suite([use], tables, rules).first())[1:], use
+    known = {"o": {1, None, 7}, "p": {3, 4}, "d": set(keys[1])}
+    passed = {2: len(set(keys[1])), 3: len({same(r[1]) for r in data}), 4: len(set(keys[1])),
+              5: len({(a, same(b)) for a, b in keys[0]}), 6: sum(k in known["o"] for k in keys[1]),
+              7: sum(k in known["p"] for k in keys[1]), 8: sum(r[2] in {"a", None} for r in data), 9: n}
+    for i, ok in passed.items():
+        assert got[i][1] == (round(ok / n, 4) if n else None), uses[i]
+        assert got[i][4:6] == (n, n - ok)
+
+
+def test_a_mixed_suite_reads_its_dataset_once(spark):
+    import __spark_entry__ as entry
+    from tests.conftest import DATA
+    text = entry.queries()["dq_suite"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "l_returnflag" in line for line in text.splitlines()) == 1
+
+
+def test_failing_rows_name_all_their_rules(spark):
+    data = [(1, 1.0), (1, 5.0), (2, None), (3, 0.5), (None, 9.0)]
+    d = spark.createDataFrame(data, "k int, v double")
+    o = spark.createDataFrame([(1,), (3,)], "id int")
+    uses = [E("not_null", {"x": "d.k"}), E("between", {"x": "d.v"}, {"min_val": 0, "max_val": 4}),
+            E("unique", {"x": "d.k"}), E("in_other", {"x": "d.k", "y": "o.id"}),
+            E("mean", {"x": "d.v"}, {"min_avg": 50, "max_avg": 60})]
+    out = quality.failing_rows(uses, {"d": d, "o": o})
+    assert out.columns == ["k", "v", "failed"]
+    got = sorted(((r.k, r.v), tuple(r.failed)) for r in out.where("k IS NULL OR k != 1").collect() if r.k)
+    assert got == [((2, None), (1, 3))]
+    assert [tuple(r.failed) for r in out.where("k IS NULL").collect()] == [(0, 1, 3)]
+    # One of the two rows with key 1 is a duplicate, whichever it is.
+    ones = {r.v: tuple(r.failed) for r in out.where("k = 1").collect()}
+    assert ones in ({5.0: (1, 2)}, {1.0: (2,), 5.0: (1,)})
+    assert quality.failing_rows(uses[:2], {"d": d.limit(0)}).count() == 0
+    assert quality.failing_rows(uses[4:], {"d": d}).count() == 0
+    with pytest.raises(ValueError):
+        quality.failing_rows([uses[0], E("not_null", {"x": "o.id"})], {"d": d, "o": o})

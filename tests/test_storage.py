@@ -1,6 +1,9 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
+from stratawork.operators import quality
 from stratawork.operators.quality import Expectation
 from stratawork.sources import files, jdbc, landed, lineage, schemas, slices
 from stratawork.sources.versions import Store
@@ -167,13 +170,13 @@ def test_failed_write_leaves_the_old_version(store, people):
 
 def test_crash_before_the_commit_row(store, people, monkeypatch):
     store.write("d", people, {"n": 1})
-    keep = Store._state
+    put = files.put_if_absent
 
-    def crash(self, dataset, version, status, **rest):
-        if status == "committed":
+    def crash(spark, path, text):
+        if '"committed"' in text:
             raise SystemExit
-        keep(self, dataset, version, status, **rest)
-    monkeypatch.setattr(Store, "_state", crash)
+        return put(spark, path, text)
+    monkeypatch.setattr(files, "put_if_absent", crash)
     with pytest.raises(SystemExit):
         store.write("d", people.limit(1).withColumn("extra", F.lit(1)), {"n": 2}, inputs=[("raw", "1")],
                     expectations=[Expectation("not_null", {"x": "this.id"})])
@@ -228,13 +231,142 @@ def test_reserved_metadata(store, people):
 
 
 def test_a_broken_log_is_no_fresh_start(store, people, tmp_path):
-    log = tmp_path / "store" / "d" / "log"
+    log = tmp_path / "store" / "_log" / "d" / "entry"
     log.mkdir(parents=True)
-    (log / "part-0.parquet").write_bytes(b"broken")
+    (log / f"{1:012d}.json").write_bytes(b"{broken")
     with pytest.raises(Exception):
         store.read_or_none("d")
 
 
+# -- commits ----------------------------------------------------------------
+
+
+def test_put_if_absent(spark, tmp_path):
+    path = str(tmp_path / "a" / "b" / "1.json")
+    assert files.put_if_absent(spark, path, "first") and not files.put_if_absent(spark, path, "second")
+    assert open(path).read() == "first" and files.names(spark, str(tmp_path / "a" / "b")) == ["1.json"]
+    assert files.exists(spark, path) and files.names(spark, str(tmp_path / "nowhere")) == []
+    # The way of file systems that rename.
+    _, source = files._at(spark, path)
+    _, target = files._at(spark, str(tmp_path / "a" / "b" / "2.json"))
+    files._rename(spark, source, target)
+    open(path, "w").write("third")
+    with pytest.raises(FileExistsError):
+        files._rename(spark, source, target)
+    assert open(str(tmp_path / "a" / "b" / "2.json")).read() == "first"
+
+
+def test_of_many_writers_one_puts(spark, tmp_path):
+    path = str(tmp_path / "1.json")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: files.put_if_absent(spark, path, f"writer {i}" * 1000), range(24)))
+    assert won.count(True) == 1 and open(path).read() == f"writer {won.index(True)}" * 1000
+
+
+def test_concurrent_commits(spark, people, tmp_path):
+    """Each on a store of its own, as two drivers would."""
+    def commit(n):
+        return Store(spark, str(tmp_path / "s")).write("d", people.limit(n), {"n": n})
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(commit, [1, 2, 3, 4]))
+    store = Store(spark, str(tmp_path / "s"))
+    listed = store.versions("d").orderBy("seq").collect()
+    assert [r.seq for r in listed] == [1, 2, 3, 4]
+    assert {r.version: r.n_rows for r in listed} == {c.version: c.n_rows for c in done}
+    assert store.columns("d").count() == 3
+
+
+def test_the_same_delivery_twice_at_once(spark, people, tmp_path, monkeypatch):
+    """The second writer finds the first's commit when it puts its own."""
+    store, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    put, raced = files.put_if_absent, []
+
+    def late(spark_, path, text):
+        if not raced:
+            raced.append(None)
+            raced.append(other.write("d", people.withColumn("more", F.lit(1)), {"day": 1}))
+        return put(spark_, path, text)
+    monkeypatch.setattr(files, "put_if_absent", late)
+    done = store.write("d", people, {"day": 1})
+    assert done.skipped and done.version == raced[1].version and store.versions("d").count() == 1
+    assert len(list((tmp_path / "s" / "d" / "data").iterdir())) == 1  # the loser's files are gone
+
+
+def test_a_loser_commits_on_the_new_state(spark, people, tmp_path, monkeypatch):
+    store, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    put, raced = files.put_if_absent, []
+
+    def late(spark_, path, text):
+        if not raced:
+            raced.append(None)
+            other.expect("d", [Expectation("between", {"x": "this.score"}, {"min_val": 0, "max_val": 1})])
+            raced.append(other.write("d", people.withColumn("more", F.lit(1)), {"day": 1}))
+        return put(spark_, path, text)
+    monkeypatch.setattr(files, "put_if_absent", late)
+    done = store.write("d", people, {"day": 2})
+    assert [r.version for r in store.list_versions("d").collect()] == [done.version, raced[1].version]
+    assert done.dq_success is False  # by the expectations stored meanwhile
+    assert {r.name for r in store.columns("d").collect()} == {"id", "name", "score", "more"}
+
+
+def test_commits_read_few_files_however_long_the_log(store, people, rows):
+    from stratawork.sources import log
+    for i in range(3):
+        store.write("d", people.limit(i), {"n": i}, expectations=[Expectation("not_null", {"x": "this.id"})])
+    first, second, third = [r.version for r in store.versions("d").orderBy("seq").collect()]
+    store.deprecate("d", first)
+    store.delete_version("d", second)
+    store.expect("d", [Expectation("not_null", {"x": "this.name"})])
+    before = [rows(f("d")) for f in (store.versions, store.columns, store.quality)]
+    read = []
+    for i in range(3 * log.FOLD):
+        store.define_columns("d", {"id": {"description": f"{i}"}})
+        read.append(len(store._log("d").paths()[0]))
+    assert max(read) <= log.FOLD + 1
+    assert len(files.names(store.spark, f"{store.base}/_log/d/state")) <= log.KEPT
+    after = [rows(f("d")) for f in (store.versions, store.columns, store.quality)]
+    assert after[0] == before[0] and after[2] == before[2]
+    assert {r.name: r.description for r in store.columns("d").collect()} == {
+        "id": f"{3 * log.FOLD - 1}", "name": "", "score": ""}
+    assert store.latest("d")["version"] == third
+    assert store.write("d", people, {"n": 9}).dq_success is True  # stored expectations are still there
+    with pytest.raises(LookupError):
+        store.read("d", second)
+
+
+def test_rules_are_scored_while_writing(store, people, monkeypatch):
+    """Row and aggregate rules do not read the version again; a rule that fails on the
+    data does not stop the commit."""
+    from stratawork.sources import versions
+    uses = [Expectation("between", {"x": "this.score"}, {"min_val": 0, "max_val": 2}, 0.5),
+            Expectation("mean", {"x": "this.score"}, {"min_avg": 0, "max_avg": 1}),
+            Expectation("not_null", {"x": "this.nowhere"})]
+    calls = []
+    monkeypatch.setattr(versions, "score_suite", lambda *a: calls.append(a))
+    assert store.write("d", people, {"n": 1}, expectations=uses).dq_success is False
+    assert not calls
+    row = store.quality("d").first()
+    assert (row["passed"], row["total"], row["score"]) == (1, 3, 0.3333)
+    monkeypatch.undo()
+    assert store.write("e", people, expectations=[Expectation("unique", {"x": "this.id"}), uses[0]]).dq_success is True
+    assert store.write("e", people.limit(0), expectations=uses[:1]).dq_success is False
+    for fmt in ("csv", "jsonl", "tsv"):
+        assert store.write("f", people, fmt=fmt, expectations=uses[:1]).dq_success is True
+
+
+def test_a_rule_that_breaks_while_writing(spark, people, tmp_path):
+    bad = quality.custom_rule("row", ["x"], "cast({x} AS int) > 0")
+    quality.RULES["whole"] = bad
+    try:
+        store = Store(spark, str(tmp_path / "s"))
+        done = store.write("d", people, expectations=[
+            Expectation("whole", {"x": "this.name"}), Expectation("not_null", {"x": "this.id"})])
+        assert done.dq_success is False and done.n_rows == 5 and store.read("d").count() == 5
+        assert store.quality("d").first()["passed"] == 1
+    finally:
+        del quality.RULES["whole"]
+
+
 def test_virtual(store, people):
     people.createOrReplaceTempView("people_view")
     store.register_query("v", "SELECT id FROM people_view WHERE score > 2")
