@@ -6,9 +6,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.ordering import as_list, require
 
@@ -48,31 +50,39 @@ def derive_mapping(df: DataFrame, name: str, source: str, mapping: Mapping[Any,
     keys, cast to the type of ``source``, and labels of their own type, whatever its
     length; a replaced column keeps its place. Keys that fit no value of ``source``
     never match, a missing key neither; keys that are the same value there are an
-    error. Catalyst broadcasts the table while it is small."""
+    error. The table is a local relation, so Catalyst knows its size and broadcasts it
+    up to the threshold of the session."""
     require(df, [source])
     if not mapping:
         label = F.lit(None).cast("string")
-        table = None
     else:
-        kind = df.schema[source].dataType
-        pairs = [(str(k), v) for k, v in mapping.items() if k is not None]
-        labels = df.sparkSession.createDataFrame([(v,) for v in mapping.values()], ["v"]).schema["v"].dataType
-        table = df.sparkSession.createDataFrame(
-            pairs, T.StructType([T.StructField("__key", T.StringType()), T.StructField("__label", labels)]))
-        key = F.col("__key").try_cast(kind)
-        if isinstance(kind, T.IntegralType):  # 1.0 is 1
-            real = F.col("__key").try_cast("double")
-            key = F.coalesce(key, F.when(real == F.floor(real), real.try_cast(kind)))
-        table = table.select(key.alias("__key"), "__label").dropna(subset=["__key"])
-        again = table.groupBy("__key").count().where("count > 1").first()
-        if again is not None:
-            raise ValueError(f"column '{name}': several keys are the same value {again[0]!r} of '{source}'")
+        table = _mapping_table(df.sparkSession, df.schema[source].dataType, mapping)
+        # Local rows: neither collecting them nor their size needs a job.
+        seen: set[str] = set()
+        for r in table.select("__key").collect():
+            known = repr(r[0] + 0.0 if isinstance(r[0], float) else r[0])  # 0.0 is -0.0
+            if known in seen:
+                raise ValueError(f"column '{name}': several keys are the same value {r[0]!r} of '{source}'")
+            seen.add(known)
         df, label = df.join(table, F.col(source) == F.col("__key"), "left"), F.col("__label")
     names = [c for c in df.columns if c not in ("__key", "__label")]
     out = [label.alias(c) if c == name else F.col(c) for c in names]
     return df.select(*out, *([] if name in names else [label.alias(name)]))
 
 
+def _mapping_table(spark: SparkSession, kind: T.DataType, mapping: Mapping[Any, Any]) -> DataFrame:
+    """Keys of the type ``kind`` and labels, as a local relation."""
+    labels = spark.createDataFrame([(v,) for v in mapping.values()], ["v"]).schema["v"].dataType
+    pairs = [(str(k), v) for k, v in mapping.items() if k is not None]
+    schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("__label", labels)])
+    held = pa.Table.from_pydict({"__key": [k for k, _ in pairs], "__label": [v for _, v in pairs]}, to_arrow_schema(schema))
+    key = F.col("__key").try_cast(kind)
+    if isinstance(kind, T.IntegralType):  # 1.0 is 1
+        real = F.col("__key").try_cast("double")
+        key = F.coalesce(key, F.when(real == F.floor(real), real.try_cast(kind)))
+    return spark.createDataFrame(held).select(key.alias("__key"), "__label").dropna(subset=["__key"])
+
+
 def add_constant(df: DataFrame, name: str, value: Any, replace: bool = False) -> DataFrame:
     """A constant column; an existing one is kept unless ``replace``."""
     return df if name in df.columns and not replace else df.withColumn(name, F.lit(value))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from stratawork.operators import aggregates, gaps, groups, incremental, joins, quality
+from stratawork.operators import aggregates, gaps, groups, incremental, joins, project, quality
 from stratawork.plans.registry import Tables
 from tests.conftest import DATA
 
@@ -78,6 +78,14 @@ def test_first_and_last_read_only_their_columns(t):
         "o_orderdate:timestamp_ntz>"
 
 
+@pytest.mark.parametrize("entries", [3, 600])
+def test_mappings_are_broadcast(t, entries):
+    out = project.derive_mapping(t.lineitem, "label", "l_linenumber", {i: f"v{i}" for i in range(entries)})
+    text = plan(out)
+    assert "BroadcastHashJoin" in text and "LocalTableScan" in text
+    assert "hashpartitioning" not in text and "SortMergeJoin" not in text
+
+
 @pytest.fixture
 def hot(spark, tmp_path):
     """A third of 60 000 rows share one key."""
