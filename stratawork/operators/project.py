@@ -74,6 +74,9 @@ def _mapping_table(spark: SparkSession, kind: T.DataType, mapping: Mapping[Any,
     """Keys of the type ``kind`` and labels, as a local relation."""
     labels = spark.createDataFrame([(v,) for v in mapping.values()], ["v"]).schema["v"].dataType
     pairs = [(str(k), v) for k, v in mapping.items() if k is not None]
+    if isinstance(labels, T.StringType):  # of labels of several types, all become text
+        pairs = [(k, v if v is None or isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v))
+                 for k, v in pairs]
     schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("__label", labels)])
     held = pa.Table.from_pydict({"__key": [k for k, _ in pairs], "__label": [v for _, v in pairs]}, to_arrow_schema(schema))
     key = F.col("__key").try_cast(kind)
