@@ -3,7 +3,7 @@
 Plan for ``reindex_series``:
 
 * rows already on the calendar pass through; they are neither joined with a
-  calendar nor sorted;
+  calendar nor sorted, and the ends of the table are one subquery for the gaps only;
 * a summary holds one row per (group, period) that occurs, built with partial
   aggregates. A group has at most as many of them as the calendar has periods,
   so a window over the summary is bounded whatever the size of a group or day;
@@ -164,11 +164,15 @@ def reindex_series(df: DataFrame, date_column: str = "date",
     carried = [c for c in values if strategy[c] in ("ffill", "bfill", "interpolate")]
     dated = nan_as_null(df, carried + [c for c in values if strategy[c] == "zero"]).withColumn(
         PERIOD, period_of(df, date_column, frequency))
-    found = dated.agg(F.struct(F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi"))).scalar()
-    low = F.lit(start).cast("date") if start else found.getField("lo")
-    high = F.lit(end).cast("date") if end else found.getField("hi")
-    aligned = F.col(PERIOD) == _first_on_grid(F.col(PERIOD), frequency)
-    on_grid = F.col(PERIOD).between(low, high) & aligned
+    # The ends of the table bound no row, only gaps: one subquery, in one column.
+    found = F.struct(F.min(PERIOD).alias("lo"), F.max(PERIOD).alias("hi"))
+    low = F.lit(start).cast("date") if start else F.col("__ends").getField("lo")
+    high = F.lit(end).cast("date") if end else F.col("__ends").getField("hi")
+    on_grid = F.col(PERIOD).isNotNull() & (F.col(PERIOD) == _first_on_grid(F.col(PERIOD), frequency))
+    if start:
+        on_grid = on_grid & (F.col(PERIOD) >= low)
+    if end:
+        on_grid = on_grid & (F.col(PERIOD) <= high)
     rows = dated.where(on_grid)
 
     def finish(part: DataFrame, cells: dict[str, Column]) -> DataFrame:
@@ -210,6 +214,7 @@ def reindex_series(df: DataFrame, date_column: str = "date",
                        F.first(point, ignorenulls=True).over(later).alias(f"__high{i}")]
     linked = summary.select(*groups, PERIOD, F.lead(PERIOD).over(ordered).alias("__next"),
                             F.row_number().over(ordered).alias("__place"), *neighbours)
+    bounded = linked if start and end else linked.withColumn("__ends", dated.agg(found).scalar())
 
     def fills(before: Column | None) -> dict[str, Column]:
         """Fill values at PERIOD, given whether it lies before or after the
@@ -241,7 +246,7 @@ def reindex_series(df: DataFrame, date_column: str = "date",
                         _steps(first, _shift(here, frequency, -1), frequency))
     links = [f"__{n}{i}" for i in range(len(carried)) for n in ("low", "here", "high")]
     gaps = F.concat(F.coalesce(gap_before, none), F.coalesce(gap_after, none))
-    missing = linked.select(*groups, *links, here.alias("__from"), F.explode(gaps).alias(PERIOD))
+    missing = bounded.select(*groups, *links, here.alias("__from"), F.explode(gaps).alias(PERIOD))
     empty = {c: F.lit(None).cast(df.schema[c].dataType) for c in values}
     before = F.coalesce(F.col(PERIOD) < F.col("__from"), F.lit(False))
     added = finish(missing, {**empty, **fills(before)})

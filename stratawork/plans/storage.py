@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import finite_columns
 from ..operators.quality import Expectation
-from ..sources import files, jdbc, landed, lineage, schemas, slices
+from ..sources import files, jdbc, landed, lineage, maintained, schemas, slices
 from ..sources.versions import Store
 from ..streaming import deliveries
 from .registry import Tables, day_text, query, register, time_text
@@ -394,3 +394,41 @@ def stream_upsert(t: Tables) -> DataFrame:
     deliveries.stream_upsert(store, "web/clean/last", bought, "user_id",
                              f"{root}/staging", f"{root}/state", "day 1", order_by="seen")
     return store.read("web/clean/last")
+
+
+# -- tables kept in parts ---------------------------------------------------
+
+
+@query("""
+    WITH all_rows AS (
+        SELECT o_orderkey, o_custkey, o_totalprice, 0 AS delivery FROM orders WHERE o_orderstatus <> 'O'
+        UNION ALL SELECT o_orderkey, o_custkey, -o_totalprice, 1 FROM orders WHERE o_orderkey % 100 = 7
+        UNION ALL SELECT o_orderkey, -1, 0, 2 FROM orders WHERE o_custkey = 5)
+    SELECT o_orderkey, o_custkey, o_totalprice FROM all_rows
+    QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY delivery DESC) = 1
+""")
+def upsert_buckets(t: Tables) -> DataFrame:
+    """Three deliveries into a table in buckets; the last touches few of them."""
+    store, name = Store(t.spark, files.scratch(t.spark)), "sales/clean/orders"
+    columns = ["o_orderkey", "o_custkey", "o_totalprice"]
+    maintained.upsert(store, name, t.orders.where("o_orderstatus <> 'O'").select(*columns), "o_orderkey")
+    again = t.orders.where("o_orderkey % 100 = 7").withColumn("o_totalprice", -F.col("o_totalprice"))
+    maintained.upsert(store, name, again.select(*columns), "o_orderkey")
+    closed = t.orders.where("o_custkey = 5").select(
+        "o_orderkey", F.lit(-1).cast("bigint").alias("o_custkey"), F.lit(0.0).alias("o_totalprice"))
+    maintained.upsert(store, name, closed, "o_orderkey")
+    return store.read(name)
+
+
+_BY_DAY = "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS date FROM events"
+
+
+@query(f"SELECT user_id, event_type, min(date) AS date FROM ({_BY_DAY}) "
+       "WHERE date <= '2024-01-04' GROUP BY user_id, event_type")
+def accumulate_dedup_index(t: Tables) -> DataFrame:
+    """States of four days, one delivery a day, one of them late."""
+    store, name = Store(t.spark, files.scratch(t.spark)), "web/clean/states"
+    rows = t.events.select("user_id", "event_type", day_text("ts").alias("date"))
+    for day in ("2024-01-01", "2024-01-03", "2024-01-02", "2024-01-04"):
+        maintained.accumulate_dedup(store, name, rows.where(F.col("date") == day), "date", day)
+    return store.read(name)

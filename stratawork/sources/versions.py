@@ -3,8 +3,9 @@
 ``base/<dataset>/data/version=<id>/`` holds the data, ``base/_log/<dataset>/`` its
 log (see ``log``). A version exists for readers once its ``committed`` row is in the
 log. That one row holds all there is to know about it (types, row count, column
-records, quality), so a commit happens as a whole or not at all; a crash leaves an
-invisible directory, never half a table. Any number of writers may commit: versions
+records, quality, and for tables kept in parts the folders these lie in, which versions
+may share), so a commit happens as a whole or not at all; a crash leaves an invisible
+directory, never half a table. Any number of writers may commit: versions
 stand in the order of their rows, and a writer that finds itself overtaken by the same
 metadata takes its own files back. Edges of lineage lie in one table of all datasets
 and count only if a log has their version.
@@ -48,7 +49,8 @@ def _nested(fields: str) -> str:
 
 STATE = "dataset string, version string, status string, seq bigint, format string, location string, " \
         "n_rows bigint, metadata map<string,string>, schema string, " \
-        f"columns array<{_nested(COLUMN)}>, quality {_nested(DQ)}, expectations string"
+        f"columns array<{_nested(COLUMN)}>, quality {_nested(DQ)}, expectations string, " \
+        "parts map<string,string>"
 #: States whose data can be read by version. The other rows of a log are
 #: ``failed`` and ``deleted`` versions, and ``notes`` and ``expectations`` of the dataset.
 READABLE = ("committed", "deprecated")
@@ -146,9 +148,17 @@ class Store:
         if row["format"] == QUERY:
             return self.spark.sql(row["location"])
         schema = T.StructType.fromJson(json.loads(row["schema"]))
+        if row["parts"] is not None:
+            return self.open_parts(row["parts"], schema)
         return files.scan(self.spark, row["location"], row["format"], schema).select(
             *[f"`{n}`" for n in schema.fieldNames()])
 
+    def open_parts(self, parts: Mapping[str, str], schema: T.StructType) -> DataFrame:
+        """The rows of some parts of a table; those whose name begins with a dot are
+        not rows. Columns that a part lacks are null there."""
+        paths = [path for name, path in sorted(parts.items()) if not name.startswith(".")]
+        return files.scan(self.spark, paths, schema=schema) if paths else self.spark.createDataFrame([], schema)
+
     def read(self, dataset: str, version: str | None = None) -> DataFrame:
         """The latest committed version, or a given one that is committed or
         deprecated."""
@@ -232,6 +242,54 @@ class Store:
         return Commit(dataset, version, location, n_rows=cells["n_rows"], warnings=warnings,
                       dq_success=dq["success"] if dq else None)
 
+    def commit_parts(self, dataset: str,
+                     produce: Callable[[Row | None, str], tuple[T.StructType, dict[str, str], dict[str, Any]]],
+                     metadata: Mapping[str, Any] | None = None, inputs: list[tuple[str, str]] = ()) -> Commit:
+        """Commit a version made of parts. ``produce`` gets the latest version and a new
+        folder, writes what is new into it, and gives the schema, the folders of all
+        parts and metadata of its own; it is called again, with the folder emptied, when another writer has
+        committed in between. Stored expectations are scored on the whole version."""
+        metadata = {k: str(v) for k, v in (metadata or {}).items()}
+        version = self._new_version()
+        location = self._path(dataset, f"data/version={version}")
+        made: dict[str, Any] = {}
+        same, warnings = None, []
+
+        def build(rows: list[Row]) -> dict | None:
+            nonlocal same, warnings
+            last = self._last(rows)
+            same = self._same(last, metadata)
+            if same is not None:
+                return None
+            base = last["version"] if last is not None else None
+            if not made or made["base"] != base:
+                files.remove(self.spark, location)
+                schema, parts, system = produce(last, location)
+                data = self.open_parts(parts, schema)
+                made.update(base=base, metadata=metadata | {SYSTEM + k: str(v) for k, v in system.items()}, data=data, schema=schema.json(), parts=parts, n_rows=data.count())
+                edges = [(dataset, version, d, v) for d, v in [*inputs, *([(dataset, base)] if base else [])]]
+                if edges:
+                    schemas.records_frame(self.spark, edges, lineage.EDGE).write.mode("append").parquet(
+                        f"{self.base}/lineage")
+            columns, warnings = self._noted(rows, made["data"])
+            return {"version": version, "status": "committed", "format": "parquet", "location": location,
+                    "columns": columns, "quality": self._scored(made["data"], self._stored_expectations(rows)),
+                    **{c: made[c] for c in ("metadata", "schema", "parts", "n_rows")}}
+
+        try:
+            row = self._add(dataset, build)
+        except Exception:
+            self._add(dataset, lambda rows: {"version": version, "status": "failed", "format": "parquet",
+                                             "location": location, "metadata": {}})
+            files.remove(self.spark, location)
+            raise
+        if same is not None:
+            files.remove(self.spark, location)
+            return Commit(dataset, same["version"], same["location"], skipped=True, n_rows=same["n_rows"])
+        dq = row["quality"]
+        return Commit(dataset, version, location, n_rows=row["n_rows"], warnings=warnings,
+                      dq_success=dq["success"] if dq else None)
+
     @staticmethod
     def _new_version() -> str:
         """By time, for people; two of the same moment differ by chance."""
@@ -275,9 +333,15 @@ class Store:
         self._follow(dataset, version, "deprecated")
 
     def delete_version(self, dataset: str, version: str) -> None:
-        """Hide the version first, with its edges and quality, then remove its files."""
+        """Hide the version first, with its edges and quality, then remove its files,
+        but for parts that other versions share."""
         row = self._follow(dataset, version, "deleted")
-        if row["format"] != QUERY:
+        if row["format"] == QUERY:
+            return
+        shared = {p for r in self._current(self._rows(dataset)).values() for p in (r["parts"] or {}).values()}
+        for path in set((row["parts"] or {}).values()) - shared:
+            files.remove(self.spark, path)
+        if not any(p.startswith(row["location"] + "/") for p in shared):
             files.remove(self.spark, row["location"])
 
     # -- lineage ------------------------------------------------------------

@@ -16,9 +16,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import accumulate, upsert
+from ..operators.incremental import accumulate
 from ..operators.project import add_constant
-from ..sources import files
+from ..sources import files, maintained
 from ..sources.versions import Commit, Store
 
 BATCH = "__batch"
@@ -61,14 +61,11 @@ def stream_append(store: Store, dataset: str, stream: DataFrame, staging: str, c
 def stream_upsert(store: Store, dataset: str, stream: DataFrame, key: str | list[str],
                   staging: str, checkpoint: str, delivery: str,
                   order_by: str | list[str] | None = None) -> Commit:
-    """Upsert the chunks into the latest version. ``delivery`` is stored with
-    the version; applying the same delivery twice in a row is skipped."""
+    """Upsert the chunks into the latest version, of which only the buckets that the
+    delivery touches are written anew. ``delivery`` is stored with the version;
+    applying the same delivery twice in a row is skipped."""
     landed = land(stream, staging, checkpoint)
-    previous = store.read_or_none(dataset)
-    last = store.latest(dataset)
-    inputs = [(dataset, last["version"])] if last is not None else []
-    return store.write(dataset, upsert(previous, landed, key, order_by),
-                       {"delivery": delivery}, inputs)
+    return maintained.upsert(store, dataset, landed, key, order_by, {"delivery": delivery})
 
 
 def stream_accumulate(store: Store, dataset: str, stream: DataFrame, date_column: str,

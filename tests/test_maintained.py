@@ -1,0 +1,141 @@
+"""Tables of which a delivery writes only what it touches."""
+
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from stratawork.operators import incremental
+from stratawork.operators.quality import Expectation
+from stratawork.sources import files, maintained
+from stratawork.sources.versions import Store
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return Store(spark, str(tmp_path / "store"))
+
+
+def seen(store, version):
+    """The data files of a version."""
+    parts = store._get("d", version)["parts"]
+    return {name: sorted((f.name, f.stat().st_mtime_ns) for f in Path(p).glob("*.parquet")) for name, p in parts.items()}
+
+
+def test_untouched_buckets_are_the_same_files(store, spark, rows):
+    first = spark.range(500).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    a = maintained.upsert(store, "d", first, "k", metadata={"n": 1}, buckets=16)
+    today = spark.createDataFrame([(3, "new"), (3, "newer"), (7, "new"), (1000, "new")], "k bigint, v string")
+    b = maintained.upsert(store, "d", today, "k", order_by="v", metadata={"n": 2})
+    want = rows(incremental.upsert(first, today, "k", "v"))
+    assert rows(store.read("d")) == want and b.n_rows == 501
+    old, new = store._get("d", a.version)["parts"], store._get("d", b.version)["parts"]
+    changed = {n for n in new if new[n] != old.get(n)}
+    touched = {str(r[0]) for r in today.select(maintained.bucket_of(["k"], 16)).distinct().collect()}
+    assert len(new) == 16 and changed == touched and 1 <= len(touched) <= 3
+    assert {f.name for f in Path(b.location).iterdir() if f.is_dir()} == {f"__bucket={n}" for n in touched}
+    assert rows(store.read("d", a.version)) == rows(first)  # versions stay as they were
+    assert maintained.upsert(store, "d", today, "k", metadata={"n": 2}).skipped
+    assert rows(store.upstream("d", b.version)) == [("d", a.version)]
+
+
+def test_deleting_a_version_keeps_shared_parts(store, spark, rows):
+    first = spark.range(100).select(F.col("id").alias("k"), F.lit(0).alias("v"))
+    a = maintained.upsert(store, "d", first, "k", buckets=8)
+    b = maintained.upsert(store, "d", spark.createDataFrame([(5, 1)], "k bigint, v int"), "k")
+    before = rows(store.read("d"))
+    store.delete_version("d", a.version)
+    assert rows(store.read("d")) == before
+    left = {p.name for p in Path(a.location).iterdir() if p.is_dir()}
+    assert len(left) == 7  # the bucket that only the deleted version had is gone
+    store.delete_version("d", b.version)
+    assert not Path(b.location).exists()
+
+
+def test_deliveries_that_change_the_table(store, spark, rows):
+    """Types of keys follow the table, new columns are null before, other types and keys
+    write all buckets; null keys are keys; an empty delivery writes nothing."""
+    maintained.upsert(store, "d", spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k bigint, v string"), "k", buckets=4)
+    maintained.upsert(store, "d", spark.createDataFrame([(2, "B", 1.0), (None, "C", 2.0)], "k int, v string, w double"), "k")
+    assert rows(store.read("d")) == rows(spark.createDataFrame(
+        [(1, "a", None), (2, "B", 1.0), (None, "C", 2.0)], "k bigint, v string, w double"))
+    empty = maintained.upsert(store, "d", spark.createDataFrame([], "k bigint, v string, w double"), "k")
+    assert empty.n_rows == 3 and not [f for f in files.names(spark, empty.location) if f.startswith("__bucket")]
+    done = maintained.upsert(store, "d", spark.createDataFrame([(1, "x", 7)], "k bigint, v string, w int"), "k")
+    assert done.n_rows == 3 and store.read("d").where("k = 1").first().w == 7
+    other = maintained.upsert(store, "d", spark.createDataFrame([(9, "x", 0.0)], "k bigint, v string, w double"), "v")
+    assert other.n_rows == 3 and store._get("d", other.version)["metadata"]["sys.bucket_key"] == "v"
+
+
+def test_upsert_into_a_plain_version_and_quality(store, spark, rows):
+    store.expect("d", [Expectation("unique", {"x": "this.k"})])
+    store.write("d", spark.range(10).select(F.col("id").alias("k"), F.lit(0).alias("v")))
+    done = maintained.upsert(store, "d", spark.createDataFrame([(3, 1), (99, 1)], "k bigint, v int"), "k", buckets=4)
+    assert done.n_rows == 11 and done.dq_success and store.quality("d").count() == 2
+
+
+def test_a_loser_upserts_into_the_new_version(store, spark, rows, monkeypatch):
+    other = Store(spark, store.base)
+    maintained.upsert(store, "d", spark.range(50).select(F.col("id").alias("k"), F.lit(0).alias("v")), "k", buckets=4)
+    put, raced = files.put_if_absent, []
+
+    def late(spark_, path, text):
+        if not raced:
+            raced.append(None)
+            maintained.upsert(other, "d", spark.createDataFrame([(1, 1), (2, 1), (60, 1)], "k bigint, v int"), "k")
+        return put(spark_, path, text)
+    monkeypatch.setattr(files, "put_if_absent", late)
+    maintained.upsert(store, "d", spark.createDataFrame([(2, 2), (61, 2)], "k bigint, v int"), "k")
+    got = dict(rows(store.read("d")))
+    assert (got[1], got[2], got[60], got[61], len(got)) == (1, 2, 1, 2, 52)
+
+
+STATES = "a int, b string, x double, date string"
+
+
+def deliveries(spark):
+    nan = float("nan")
+    return {"2024-01-01": [(1, "x", 0.0), (1, "x", 0.0), (None, "x", nan), (2, None, None)],
+            "2024-01-02": [(1, "x", -0.0), (None, "x", nan), (None, None, None), (3, "y", 1.0)],
+            "2024-01-04": [(3, "y", 1.0), (4, "z", 2.0)], "2024-01-03": [(4, "z", 2.0), (5, "z", 2.0)],
+            "2024-01-05": []}
+
+
+def test_digest_index_equals_grouping(store, spark, rows):
+    history = None
+    for day, data in deliveries(spark).items():
+        today = spark.createDataFrame(data, "a int, b string, x double")
+        history = incremental.accumulate_dedup(history, today, "date", day)
+        done = maintained.accumulate_dedup(store, "d", today, "date", day, metadata={"day": day})
+        assert sorted(map(str, rows(store.read("d")))) == sorted(map(str, rows(history)))
+        assert done.n_rows == history.count()
+    parts = store._get("d", done.version)["parts"]
+    # The late delivery wrote all anew, the one after it only appended.
+    assert sorted(parts) == [".000000", ".000001", "000000", "000001"]
+    assert maintained.accumulate_dedup(store, "d", today, "date", day, metadata={"day": day}).skipped
+
+
+def test_history_cells_are_not_read(store, spark, monkeypatch):
+    """A delivery reads the digests of the history, and appends."""
+    maintained.accumulate_dedup(store, "d", spark.range(100).select("id", F.lit("x").alias("v")), "date", "2024-01-01")
+    opened, keep = [], Store.open_parts
+
+    def watch(self, parts, schema):
+        opened.append((sorted(parts), schema.names))
+        return keep(self, parts, schema)
+    monkeypatch.setattr(Store, "open_parts", watch)
+    done = maintained.accumulate_dedup(store, "d", spark.range(90, 110).select("id", F.lit("x").alias("v")), "date", "2024-01-02")
+    assert opened[0] == (["000000"], ["__d1", "__d2"])  # then the new version, for its row count
+    assert done.n_rows == 110 and len(opened) == 2
+    new = [p for n, p in store._get("d", done.version)["parts"].items() if n == "000001"]
+    assert spark.read.parquet(*new).count() == 10
+
+
+def test_many_deliveries_are_written_anew(store, spark, monkeypatch):
+    monkeypatch.setattr(maintained, "MAX_PARTS", 3)
+    for i in range(5):
+        done = maintained.accumulate_dedup(store, "d", spark.range(i, i + 2), "date", f"2024-01-0{i + 1}")
+        assert len(store._get("d", done.version)["parts"]) <= 6
+    assert done.n_rows == 6
+    with pytest.raises(ValueError):
+        maintained.accumulate_dedup(store, "d", spark.range(1), "date", None)

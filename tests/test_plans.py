@@ -78,6 +78,16 @@ def test_first_and_last_read_only_their_columns(t):
         "o_orderdate:timestamp_ntz>"
 
 
+@pytest.mark.parametrize("name, copies", [("reindex_day_ffill", 5), ("reindex_month", 5), ("reindex_day_zero", 3),
+                                          ("reindex_year", 3), ("reindex_week", 2), ("reindex_keeps_rows", 2)])
+def test_series_find_their_ends_once(spark, name, copies):
+    """Rows, rows with holes, the summary for these and for the gaps, and one subquery;
+    a join of all rows with the summary would need fewer copies and shuffle them all."""
+    text = entry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line for line in text.splitlines()) <= copies
+    assert text.count("scalar-subquery") <= 1
+
+
 @pytest.mark.parametrize("entries", [3, 600])
 def test_mappings_are_broadcast(t, entries):
     out = project.derive_mapping(t.lineitem, "label", "l_linenumber", {i: f"v{i}" for i in range(entries)})
