@@ -243,42 +243,73 @@ def virtual_dataset(t: Tables) -> DataFrame:
     return store.read("sales/view/urgent")
 
 
-@query("""
-    SELECT 'c_acctbal' AS name, 'double' AS old_type, NULL AS new_type, 'missing' AS change
-    UNION ALL SELECT 'c_custkey', 'bigint', 'string', 'type_change'
-""")
-def schema_diff(t: Tables) -> DataFrame:
-    """Columns of a committed version against a later delivery."""
-    store, name = Store(t.spark, files.scratch(t.spark)), "crm/clean/customer"
-    store.write(name, t.customer)
-    store.publish_columns(name)
-    changed = t.customer.drop("c_acctbal").withColumn("c_custkey", F.col("c_custkey").cast("string"))
-    return schemas.schema_diff(store.columns(name), changed)
+# Orders as texts of several kinds, some blank, some not what their column is.
+_TEXTS = {"key": "CAST(o_orderkey AS {text})", "price": "CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS {text})",
+          "open": "CASE WHEN o_orderstatus = 'O' THEN 'true' WHEN o_orderstatus = 'F' THEN 'False' ELSE ' ' END",
+          "amount": "CASE WHEN o_orderkey % 2 = 0 THEN '7' WHEN o_orderstatus <> 'P' THEN '7.25' ELSE 'n/a' END",
+          "status": "o_orderstatus", "code": "'0' || CAST(o_custkey AS {text})",
+          "seen": "CASE WHEN o_orderstatus = 'P' THEN '{wrong}' ELSE '2024-02-29 10:00:00' END",
+          "nothing": "CAST(NULL AS {text})"}
+
+
+def _types_sql(rows: str) -> str:
+    """The type of each column, each value tried in turn."""
+    number = "[+-]?(0|[1-9][0-9]*)"
+    each = " UNION ALL ".join(
+        f"SELECT '{n}' AS name, trim({e.format(text='VARCHAR', wrong='2023-02-29')}) AS v FROM {rows}" for n, e in _TEXTS.items())
+    return f"""(SELECT name, count(*) FILTER (v IS NULL OR v = '') AS n_missing, CASE
+            WHEN bool_and(lower(v) IN ('true', 'false')) FILTER (v <> '') THEN 'boolean'
+            WHEN bool_and(regexp_full_match(v, '{number}') AND TRY_CAST(v AS BIGINT) IS NOT NULL) FILTER (v <> '') THEN 'integer'
+            WHEN bool_and(regexp_full_match(v, '{number}(\\.[0-9]+)?') AND TRY_CAST(v AS DOUBLE) IS NOT NULL) FILTER (v <> '') THEN 'decimal'
+            WHEN bool_and(regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}.*') AND TRY_CAST(v AS TIMESTAMP) IS NOT NULL)
+                FILTER (v <> '') THEN 'datetime' ELSE 'string' END AS logical_type
+        FROM ({each}) GROUP BY name)"""
+
+
+def _text_orders(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderstatus", *[
+        F.expr(e.format(text="STRING", wrong="2023-02-29")).alias(n) for n, e in _TEXTS.items()])
+
+
+@query(f"SELECT name, 'string' AS physical_type, logical_type, n_missing > 0 AS nullable, n_missing "
+       f"FROM {_types_sql('orders')}")
+def infer_schema(t: Tables) -> DataFrame:
+    """Types of text columns, inferred from all their values."""
+    return schemas.infer_types(_text_orders(t).select(*_TEXTS))
 
 
-@query("""
-    SELECT CAST(5 AS BIGINT) AS total, CAST(1 AS BIGINT) AS pii, CAST(4 AS BIGINT) AS inferred,
-           CAST(1 AS BIGINT) AS draft, CAST(0 AS BIGINT) AS published
+_FINISHED = "(SELECT * FROM orders WHERE o_orderstatus = 'F')"
+
+
+@query(f"""
+    SELECT name, o.logical_type AS old_type, n.logical_type AS new_type,
+           CASE WHEN n.logical_type IS NULL THEN 'missing' ELSE 'type_change' END AS change
+    FROM {_types_sql(_FINISHED)} o LEFT JOIN (SELECT * FROM {_types_sql('orders')} WHERE name <> 'status') n USING (name)
+    WHERE o.logical_type IS DISTINCT FROM n.logical_type
 """)
-def schema_summary(t: Tables) -> DataFrame:
-    store, name = Store(t.spark, files.scratch(t.spark)), "crm/clean/customer"
-    store.write(name, t.customer)
-    store.define_columns(name, {"c_name": {"pii": True, "pii_type": "direct"}})
-    return schemas.schema_summary(store.columns(name))
+def schema_diff(t: Tables) -> DataFrame:
+    """Types of the finished orders against those of all, which lack a column."""
+    rows = _text_orders(t)
+    published = schemas.infer_types(rows.where("o_orderstatus = 'F'").select(*_TEXTS))
+    return schemas.drift(published, schemas.infer_types(rows.select(*[c for c in _TEXTS if c != "status"])), "logical_type")
 
 
-@query("""
-    SELECT * FROM (VALUES ('o_orderkey', 'bigint', 'integer'), ('o_custkey', 'bigint', 'integer'),
-        ('o_orderstatus', 'string', 'string'), ('o_totalprice', 'double', 'decimal'),
-        ('day', 'string', 'string')) v(name, physical_type, logical_type)
+@query(f"""
+    SELECT count(*) AS total, count(*) FILTER (n_missing > 0) AS pii, count(*) FILTER (logical_type = 'string') AS inferred,
+           count(*) FILTER (logical_type <> 'string') AS draft, CAST(0 AS BIGINT) AS published
+    FROM {_types_sql('orders')}
 """)
-def infer_schema(t: Tables) -> DataFrame:
-    """Types inferred from JSON lines."""
-    path = files.scratch(t.spark)
-    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                           day_text("o_orderdate").alias("day"))
-    files.sink(rows, path, "jsonl")
-    return schemas.infer_schema(files.scan(t.spark, path, "jsonl"))
+def schema_summary(t: Tables) -> DataFrame:
+    """Records of a committed version; notes are made from what the values say: typed
+    columns get a draft, those with missing values are marked."""
+    store, name = Store(t.spark, files.scratch(t.spark)), "sales/raw/orders"
+    rows = _text_orders(t).select(*_TEXTS)
+    store.write(name, rows)
+    found = schemas.infer_types(store.read(name)).collect()
+    store.define_columns(name, {r["name"]: {"logical_type": r["logical_type"]} for r in found if r["logical_type"] != "string"})
+    noted = {r["name"]: r["nullable"] for r in found}
+    return schemas.schema_summary(store.columns(name).withColumn(
+        "pii", F.create_map(*[F.lit(v) for pair in noted.items() for v in pair])[F.col("name")]))
 
 
 @query("""

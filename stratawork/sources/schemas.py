@@ -34,27 +34,77 @@ def infer_schema(df: DataFrame) -> DataFrame:
     return records_frame(df.sparkSession, column_records(df), COLUMN_RECORD)
 
 
+#: What a text can be read as, one bit each. The type of a column is the least that
+#: holds all its values: 0 bits say nothing, bits that no type holds make it text.
+KINDS = {"boolean": 1, "integer": 2, "decimal": 4, "datetime": 8, "string": 16}
+JOINS = {0: "string", 1: "boolean", 2: "integer", 4: "decimal", 6: "decimal", 8: "datetime"}
+
+
+def _kind_of(text: Column) -> Column:
+    """The bit of a text, null for a missing or blank one. Numbers that begin with a
+    zero are codes, not numbers."""
+    t = F.trim(text)
+    known = {
+        "boolean": F.lower(t).isin("true", "false"),
+        "integer": t.rlike("^[+-]?(0|[1-9][0-9]*)$") & t.try_cast("bigint").isNotNull(),
+        "decimal": t.rlike(r"^[+-]?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$") & t.try_cast("double").isNotNull(),
+        "datetime": t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?$")
+        & t.try_cast("timestamp_ntz").isNotNull()}
+    out = F.when(t.isNull() | (t == ""), F.lit(None))
+    for kind, test in known.items():
+        out = out.when(test, KINDS[kind])
+    return out.otherwise(KINDS["string"])
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Column records whose logical types come from the values: a text column is what
+    all its texts can be read as. Also ``nullable``, whether a value is missing (blank
+    texts are), and ``n_missing``. One aggregate over the table, merged by bits and
+    sums; one row per column, also for an empty table."""
+    measures = []
+    for i, f in enumerate(df.schema):
+        cell = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType):
+            kind = _kind_of(cell)
+            missing = kind.isNull()
+            measures.append(F.coalesce(F.bit_or(kind), F.lit(0)).alias(f"k{i}"))
+        else:
+            missing = cell.isNull() | F.isnan(cell) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) \
+                else cell.isNull()
+        measures.append(F.count_if(missing).alias(f"m{i}"))
+    join = F.create_map(*[F.lit(v) for pair in JOINS.items() for v in pair])
+
+    def record(i: int, f: T.StructField) -> Column:
+        kind = F.coalesce(join[F.col(f"k{i}")], F.lit("string")) if isinstance(f.dataType, T.StringType) \
+            else F.lit(logical_type(f.dataType))
+        return F.struct(F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("physical_type"),
+                        kind.alias("logical_type"), (F.col(f"m{i}") > 0).alias("nullable"),
+                        F.col(f"m{i}").alias("n_missing"))
+    return df.agg(*measures).select(F.inline(F.array(*[record(i, f) for i, f in enumerate(df.schema)])))
+
+
+def drift(published: DataFrame, now: DataFrame, by: str = "physical_type") -> DataFrame:
+    """Where column records depart from published ones: a column is gone (``missing``)
+    or is of another type (``type_change``). New columns are no departure."""
+    new = now.select("name", F.col(by).alias("new_type"))
+    both = published.select("name", F.col(by).alias("old_type")).join(new, "name", "left")
+    same = F.col("old_type").eqNullSafe(F.col("new_type"))
+    return both.where(~same).withColumn(
+        "change", F.when(F.col("new_type").isNull(), "missing").otherwise("type_change"))
+
+
 def schema_diff(published: DataFrame, df: DataFrame) -> DataFrame:
-    """Breaking changes of ``df`` against published column records: a column is
-    missing or its physical type differs. Extra columns are fine."""
-    now = infer_schema(df).select("name", F.col("physical_type").alias("new_type"))
-    was = published.select("name", F.col("physical_type").alias("old_type"))
-    both = was.join(now, "name", "left")
-    change = F.when(F.col("new_type").isNull(), "missing") \
-        .when(F.col("new_type") != F.col("old_type"), "type_change")
-    return both.withColumn("change", change).where("change IS NOT NULL")
-
-
-def diff_messages(published: list[tuple[str, str]], df: DataFrame) -> list[str]:
-    """The same comparison on (name, type) pairs, as messages."""
-    now = {name: kind for name, kind, _ in column_records(df)}
-    out = []
-    for name, kind in published:
-        if name not in now:
-            out.append(f"published column '{name}' is missing")
-        elif now[name] != kind:
-            out.append(f"type of '{name}' changed from {kind} to {now[name]}")
-    return out
+    """``drift`` of the physical types of ``df``."""
+    return drift(published, infer_schema(df))
+
+
+def drift_messages(published: list[tuple[str, str]], df: DataFrame) -> list[str]:
+    """``schema_diff`` from (name, type) pairs, in words, by name."""
+    if not published:
+        return []
+    was = records_frame(df.sparkSession, published, "name string, physical_type string")
+    return [f"{r['name']}: {r['old_type']} is " + ("gone" if r["change"] == "missing" else f"now {r['new_type']}")
+            for r in schema_diff(was, df).orderBy("name").collect()]
 
 
 def annotate_columns(df: DataFrame, notes: Mapping[str, Mapping[str, Any]]) -> DataFrame:

@@ -397,7 +397,7 @@ class Store:
         changed = [{**known[n], "physical_type": p} for n, p, _ in schemas.column_records(df)
                    if n in known and known[n]["physical_type"] != p
                    and known[n]["status"] != "published"]
-        return fresh + changed, schemas.diff_messages(published, df)
+        return fresh + changed, schemas.drift_messages(published, df)
 
     def define_columns(self, dataset: str, notes: Mapping[str, Mapping[str, Any]]) -> None:
         """Notes on columns; an inferred column becomes a draft."""

@@ -420,6 +420,20 @@ def test_types_and_annotations(spark, tmp_path):
         schemas.annotate_columns(df, {"s": {"nope": 1}})
 
 
+def test_types_from_values(spark):
+    data = [("1", "1.5", "true", "2024-01-01", "007", None, "1", "x", 1.0), (" 2 ", "-3", "FALSE", "2024-01-01 10:00:00", "1", "", "a", "", None),
+            ("+3", "1e5", None, "2024-01-01T10:00:00.5", "2", " ", "2", None, float("nan"))]
+    df = spark.createDataFrame(data, "i string, d string, b string, t string, code string, none string, mix string, s string, v double")
+    got = {r.name: (r.logical_type, r.n_missing) for r in schemas.infer_types(df).collect()}
+    assert got == {"i": ("integer", 0), "d": ("decimal", 0), "b": ("boolean", 1), "t": ("datetime", 0), "code": ("string", 0),
+                   "none": ("string", 3), "mix": ("string", 0), "s": ("string", 2), "v": ("decimal", 2)}
+    assert {r.logical_type for r in schemas.infer_types(df.limit(0).drop("v")).collect()} == {"string"}
+    wide = spark.createDataFrame([("99999999999999999999", "2024-13-01")], "big string, `a.b` string")
+    assert {r.name: r.logical_type for r in schemas.infer_types(wide).collect()} == {"big": "decimal", "a.b": "string"}
+    diff = schemas.drift(schemas.infer_types(df), schemas.infer_types(df.drop("b").withColumn("i", F.lit("x"))), "logical_type")
+    assert sorted(map(tuple, diff.collect())) == [("b", "boolean", None, "missing"), ("i", "integer", "string", "type_change")]
+
+
 def test_quality_on_commit(store, spark):
     df = spark.createDataFrame([(i, "v") for i in range(5)], "id bigint, val string")
     good = [Expectation("not_null", {"x": "this.id"})]
