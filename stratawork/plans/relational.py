@@ -519,6 +519,17 @@ def page(t: Tables) -> DataFrame:
     return ranking.page(t.part.select("p_partkey", "p_name"), "p_name", 50, 100)
 
 
+@query("""
+    SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice FROM lineitem
+    ORDER BY l_linenumber, l_orderkey, l_shipdate, l_quantity, l_extendedprice
+    LIMIT 100 OFFSET (SELECT count(*) // 2 FROM lineitem)
+""")
+def page_deep(t: Tables) -> DataFrame:
+    """The page in the middle of the table, by a column of seven values."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice")
+    return ranking.page(rows, "l_linenumber", 100, rows.count() // 2)
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 "
        "ORDER BY o_orderkey LIMIT 50")
 def page_after(t: Tables) -> DataFrame:

@@ -238,3 +238,32 @@ def test_union(spark, rows):
     assert sets.union_distinct([a, a, a.select("s", "k")]).count() == 1
     wide = sets.stack([a.select("k"), b.select(F.col("d").alias("k"))])
     assert wide.schema["k"].dataType.simpleString() == "double"
+
+
+@pytest.mark.parametrize("keys", [["k"], ["s", "k"], ["t"], ["d"], ["b", "v"]])
+def test_deep_pages_are_sought(spark, monkeypatch, keys):
+    """Hot and missing keys, ties, copies of rows, NaN, texts that begin alike."""
+    monkeypatch.setattr(ranking, "RANKED", 40)
+    monkeypatch.setattr(ranking, "RANGES", 8)
+    df = spark.range(1200).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 WHEN id % 11 = 0 THEN NULL ELSE id % 200 END AS k",
+        "CASE WHEN id % 5 = 0 THEN NULL ELSE concat(repeat('x', 70), id % 300) END AS s",
+        "CASE WHEN id % 4 = 0 THEN double('NaN') WHEN id % 4 = 1 THEN -0.0D ELSE id / 7 END AS v",
+        "timestampadd(MICROSECOND, id * 7777, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS t",
+        "CAST(id / 13 AS decimal(20, 6)) AS d", "id % 2 = 0 AS b").union(
+        spark.sql("SELECT 7L, 'y', 1D, TIMESTAMP_NTZ '2024-01-01', 1.5BD, true FROM range(300)"))
+    every = [str(r) for r in df.orderBy(*ranking.total_order(df, keys)).collect()]
+    for offset in (41, 333, 750, 1100, 1495):
+        got = ranking.page(df, keys, 30, offset).collect()
+        assert [str(r) for r in got] == every[offset:offset + 30], offset
+    assert ranking.page(df, keys, 30, 5000).count() == 0
+    assert ranking.page(df.limit(0), keys, 30, 50).count() == 0
+
+
+def test_a_deep_page_ranks_few_rows(spark):
+    """Half of the rows lie before the page; few are left to rank."""
+    df = spark.range(300_000).selectExpr("CASE WHEN id % 3 = 0 THEN 5 ELSE id % 1000 END AS k", "id AS v")
+    rows, offset = ranking.sought(df, ["k", "v"], 20, 150_000)
+    assert offset <= ranking.RANKED and rows.count() <= 2 * ranking.RANKED
+    assert [r.v for r in ranking.page(df, "k", 3, 50_000).collect()] == [
+        r.v for r in df.orderBy("k", "v").offset(50_000).limit(3).collect()]
