@@ -357,12 +357,13 @@ def run_suite(expectations: list[Expectation], datasets: Mapping[str, DataFrame]
 
 
 class Watch:
-    """Row and aggregate rules of a dataset, measured while its rows pass on their way
-    to a file. Other rules need the whole dataset and read what was written."""
+    """Row and aggregate rules of a dataset, and other aggregates, measured while its
+    rows pass on their way to a file. Other rules need the whole dataset and read what
+    was written."""
 
     def __init__(self, expectations: list[Expectation], df: DataFrame, name: str = "this",
-                 rules: Mapping[str, Rule] | None = None):
-        self.uses, self.df, self.name = list(expectations), df, name
+                 rules: Mapping[str, Rule] | None = None, more: list[Column] = ()):
+        self.uses, self.df, self.name, self.more = list(expectations), df, name, list(more)
         bound, self.errors = _arranged(self.uses, {name: df}, rules)
         self.passing = [b for b in bound if b.rule.kind in ("row", "aggregate")]
         self.others = [b for b in bound if b not in self.passing]
@@ -374,22 +375,26 @@ class Watch:
 
     def watched(self) -> DataFrame:
         """The rows, to be written as they are."""
-        return self.df.observe(self.seen, *_measures(self.df, self.passing))
+        return self.df.observe(self.seen, *_measures(self.df, self.passing), *self.more)
 
     def rows(self) -> int:
         """How many rows passed."""
         return self.seen.get["__rows"]
 
+    def complete(self, n_rows: int | None) -> bool:
+        """Whether each of ``n_rows`` rows was measured once. A task that ran again may
+        have counted twice; nothing is measured where there are no rows."""
+        return bool(n_rows) and self.rows() == n_rows
+
     def covers(self, expectations: list[Expectation], n_rows: int | None) -> bool:
-        """Whether just these expectations were measured, on each of ``n_rows`` rows
-        once. A task that ran again may have counted twice; nothing is measured
-        where there are no rows."""
-        return self.measures_rules and self.uses == list(expectations) and bool(n_rows) and self.rows() == n_rows
+        """Whether just these expectations were measured, on all rows."""
+        return self.measures_rules and self.uses == list(expectations) and self.complete(n_rows)
 
     def results(self, written: DataFrame) -> DataFrame:
         """As ``run_suite`` on what was written."""
         spark, got = written.sparkSession, self.seen.get
-        measured = spark.range(0, 1, 1, 1).select(*[F.lit(v).alias(n) for n, v in got.items()])
+        own = ["__rows", *(f"__r{b.position}" for b in self.passing)]
+        measured = spark.range(0, 1, 1, 1).select(*[F.lit(got[n]).alias(n) for n in own])
         return _all(spark, [_judged(measured, self.passing), *_scores(self.others, {self.name: written})], self.errors)
 
 

@@ -427,6 +427,24 @@ def stream_upsert(t: Tables) -> DataFrame:
     return store.read("web/clean/last")
 
 
+@query("""
+    SELECT CAST(o_orderkey % 16 AS INTEGER) AS bucket, count(*) AS n_before,
+           count(*) FILTER (NOT (o_orderkey % 16 = 9 AND o_orderstatus = 'F')) AS n_after
+    FROM orders GROUP BY 1
+    HAVING bool_or(o_orderkey % 16 = 3 AND o_orderpriority = '1-URGENT') OR bool_or(o_orderkey % 16 = 9 AND o_orderstatus = 'F')
+""")
+def checksum_buckets(t: Tables) -> DataFrame:
+    """Which buckets of the orders a new version changes: in one some cells, in
+    another some rows are gone; digests are taken while writing."""
+    store, name = Store(t.spark, files.scratch(t.spark)), "sales/raw/orders"
+    rows = t.orders
+    first = store.write(name, rows, digest_by="o_orderkey")
+    changed = rows.where("NOT (o_orderkey % 16 = 9 AND o_orderstatus = 'F')").withColumn(
+        "o_totalprice", F.expr("o_totalprice + CASE WHEN o_orderkey % 16 = 3 AND o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END"))
+    second = store.write(name, changed.hint("rebalance"), digest_by="o_orderkey")
+    return store.changed_buckets(name, first.version, second.version)
+
+
 # -- tables kept in parts ---------------------------------------------------
 
 

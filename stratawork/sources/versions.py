@@ -50,11 +50,13 @@ def _nested(fields: str) -> str:
 STATE = "dataset string, version string, status string, seq bigint, format string, location string, " \
         "n_rows bigint, metadata map<string,string>, schema string, " \
         f"columns array<{_nested(COLUMN)}>, quality {_nested(DQ)}, expectations string, " \
-        "parts map<string,string>"
+        "parts map<string,string>, digest_by string, digests map<string,string>"
 #: States whose data can be read by version. The other rows of a log are
 #: ``failed`` and ``deleted`` versions, and ``notes`` and ``expectations`` of the dataset.
 READABLE = ("committed", "deprecated")
 SYSTEM = "sys."
+#: Buckets that have a digest each.
+BUCKETS = 16
 QUERY = "query"
 
 
@@ -194,11 +196,13 @@ class Store:
               inputs: list[tuple[str, str]] = (), fmt: str = "parquet", force: bool = False,
               partition_by: list[str] | None = None,
               expectations: list[Expectation] = (), system: Mapping[str, Any] | None = None,
-              ) -> Commit:
+              digest_by: str | None = None) -> Commit:
         """Commit ``df`` as a new version. If the latest version has the same
         metadata nothing is computed (unless ``force``). Expectations (those stored
         with the dataset and those given) and schema drift are reported but do not
-        stop the commit; expectations refer to the dataset as ``this``."""
+        stop the commit; expectations refer to the dataset as ``this``. With ``digest_by``,
+        a whole-number expression that a row keeps through a change, the version has a
+        digest per bucket of it, for ``changed_buckets``."""
         metadata = {k: str(v) for k, v in (metadata or {}).items()}
         if any(k.startswith(SYSTEM) for k in metadata):
             raise ValueError(f"{SYSTEM}* metadata keys are reserved")
@@ -216,7 +220,7 @@ class Store:
                 return None
             uses = [*self._stored_expectations(rows), *expectations]
             if scored is None:
-                cells.update(self._written(df, location, fmt, partition_by, uses))
+                cells.update(self._written(df, location, fmt, partition_by, uses, digest_by))
                 if inputs:
                     schemas.records_frame(self.spark, [(dataset, version, d, v) for d, v in inputs], lineage.EDGE) \
                         .write.mode("append").parquet(f"{self.base}/lineage")
@@ -296,22 +300,42 @@ class Store:
         return datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S%f") + uuid.uuid4().hex[:6]
 
     def _written(self, df: DataFrame, location: str, fmt: str, partition_by: list[str] | None,
-                 uses: list[Expectation]) -> dict[str, Any]:
-        """Write the data, counted and scored on the way: row count and quality."""
-        watch = Watch(uses, df)
+                 uses: list[Expectation], digest_by: str | None) -> dict[str, Any]:
+        """Write the data, counted, scored and digested on the way."""
+        more = slices.bucket_measures(df, F.expr(digest_by), BUCKETS) if digest_by else []
+        watch = Watch(uses, df, more=more)
         try:
             files.sink(watch.watched(), location, fmt, partition_by=partition_by)
         except Exception:
             if not watch.measures_rules:
                 raise
             # A rule may fail on the data, which must not stop the commit.
-            watch = Watch([], df)
+            watch = Watch([], df, more=more)
             files.remove(self.spark, location)
             files.sink(watch.watched(), location, fmt, partition_by=partition_by)
         data = files.scan(self.spark, location, fmt, schema=df.schema)
         # The footers know the count; what a repeated task measured twice does not agree with it.
         n_rows = data.count() if fmt == "parquet" else watch.rows()
-        return {"n_rows": n_rows, "quality": self._scored(data, uses, watch, n_rows)}
+        out = {"n_rows": n_rows, "quality": self._scored(data, uses, watch, n_rows)}
+        if digest_by:
+            seen = watch.seen.get if watch.complete(n_rows) else data.agg(*more).first().asDict()
+            out |= {"digest_by": digest_by, "digests": slices.bucket_digests(seen, BUCKETS)}
+        return out
+
+    def changed_buckets(self, dataset: str, before: str, after: str) -> DataFrame:
+        """The buckets in which two versions differ, with their row counts; no data is
+        read. Both must have digests by the same expression."""
+        rows = self._rows(dataset)
+        a, b = (self._readable(rows, dataset, v) for v in (before, after))
+        if not a["digest_by"] or a["digest_by"] != b["digest_by"]:
+            raise ValueError(f"versions have digests by {a['digest_by']} and {b['digest_by']}")
+
+        def count(digest: str | None) -> int:
+            return int(digest.split(":")[0]) if digest else 0
+        old, new = a["digests"] or {}, b["digests"] or {}
+        return schemas.records_frame(
+            self.spark, [(int(i), count(old.get(i)), count(new.get(i))) for i in sorted({*old, *new}, key=int)
+                         if old.get(i) != new.get(i)], "bucket int, n_before bigint, n_after bigint")
 
     def register_query(self, dataset: str, query: str,
                        metadata: Mapping[str, Any] | None = None) -> Commit:

@@ -354,6 +354,24 @@ def test_rules_are_scored_while_writing(store, people, monkeypatch):
         assert store.write("f", people, fmt=fmt, expectations=uses[:1]).dq_success is True
 
 
+def test_digests_tell_which_bucket_changed(store, people, rows, spark):
+    a = store.write("d", people, digest_by="id")
+    b = store.write("d", people.select("score", "name", "id").repartition(3), {"n": 1}, digest_by="id")
+    assert store.changed_buckets("d", a.version, b.version).count() == 0
+    c = store.write("d", people.where("id != 2").withColumn("name", F.expr("nullif(name, 'n4')")), {"n": 2}, digest_by="id",
+                    expectations=[Expectation("not_null", {"x": "this.id"})])
+    assert rows(store.changed_buckets("d", a.version, c.version)) == [(2, 1, 0), (4, 1, 1)] and c.dq_success
+    twice = store.write("d", people.union(people.where("id = 1")).union(people.where("id = 1")), {"n": 3}, digest_by="id")
+    assert rows(store.changed_buckets("d", a.version, twice.version)) == [(1, 1, 3)]
+    none = store.write("d", people.limit(0), {"n": 4}, digest_by="id")
+    assert store.changed_buckets("d", none.version, a.version).count() == 5
+    nulls = store.write("d", spark.createDataFrame([(None, "x", 1.0)], PEOPLE), {"n": 5}, digest_by="id")
+    assert rows(store.changed_buckets("d", none.version, nulls.version)) == [(0, 0, 1)]
+    plain = store.write("d", people, {"n": 6})
+    with pytest.raises(ValueError):
+        store.changed_buckets("d", a.version, plain.version)
+
+
 def test_a_rule_that_breaks_while_writing(spark, people, tmp_path):
     bad = quality.custom_rule("row", ["x"], "cast({x} AS int) > 0")
     quality.RULES["whole"] = bad
