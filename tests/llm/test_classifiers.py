@@ -1,5 +1,6 @@
 """Quality classifier and language profiles."""
 
+import math
 import zlib
 from collections import Counter
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from stratawork.llm import language, quality
+from stratawork.llm.common import fold
 from stratawork.llm.queries import op4_quality, op9_language
 from tests.conftest import DATA
 
@@ -128,3 +130,58 @@ def test_query_language(spark):
     rows = op9_language(spark, DATA).collect()
     assert len(rows) == 200
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in rows if r["held_out"]]) >= 0.95
+
+
+def profile_of(texts):
+    """The most frequent sequences, by counting them one by one."""
+    counts = {}
+    for text in texts:
+        points = [0]
+        for c in (text or "").lower():
+            p = ord(c) if c.isalpha() else 0
+            if p or points[-1]:
+                points.append(p)
+        if points[-1]:
+            points.append(0)
+        for i, p in enumerate(points):
+            if p:
+                three = points[i - 1] << 42 | p << 21 | points[i + 1]
+                for g in (p, three):
+                    counts[g] = counts.get(g, 0) + 1
+            if i and (p or points[i - 1]):
+                two = 1 << 63 | points[i - 1] << 21 | p
+                counts[two] = counts.get(two, 0) + 1
+    return sorted(counts, key=lambda g: (-counts[g], g))[:300]
+
+
+def test_query_language_equals_plain_distances(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    learned = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None and r.text is not None:
+            learned.setdefault(r.lang, []).append(r.text)
+    profiles = {n: {g: i for i, g in enumerate(profile_of(t))} for n, t in learned.items()}
+    want = {}
+    for r in docs:
+        own = profile_of([r.text])
+        apart = {n: sum(abs(i - p[g]) if g in p else 300 for i, g in enumerate(own)) for n, p in sorted(profiles.items())}
+        best = min(apart, key=apart.get)
+        want[r.doc_id] = (best, round(1 - apart[best] / (300 * len(own)), 9)) if own else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in op9_language(spark, DATA).collect()}
+    assert got == want
+
+
+def test_query_quality_equals_plain_scores(spark):
+    """Every score is the logistic of the weights of the text's features, one by one."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    weights = quality.fit(docs, labels.where(fold("doc_id", 3) != 1))
+    features, bias = quality.Features(quality.BITS), float(weights[-1])
+    got = {r.doc_id: r for r in op4_quality(spark, DATA).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        at = [int(i) for i in features.of(r.text)]
+        want = 1 / (1 + math.exp(-(bias + sum(float(weights[i]) for i in at) / math.sqrt(max(1, len(at))))))
+        out = got[r.doc_id]
+        assert abs(out.score - want) < 1e-9 and out.predicted == (out.score >= 0.5)
+        assert out.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)

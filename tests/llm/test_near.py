@@ -92,6 +92,43 @@ def test_groups_equal_all_pairs(spark, words):
             assert (r["n_shingles"], r["component_id"], r["kept"]) == (sizes[k], low[k], low[k] == k), k
 
 
+def test_blocks_join_what_all_pairs_join():
+    """The links of a block join just the components that comparing all pairs joins."""
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        m = int(rng.integers(2, 40))
+        pool = rng.integers(0, 2**62, 60)
+        sets = [np.unique(np.concatenate([rng.choice(pool, rng.integers(40, 60)), rng.integers(0, 2**62, rng.integers(0, 5))]))
+                for _ in range(m)]
+        ids = rng.permutation(100)[:m]
+        comp = rng.choice(ids, m)
+        left, right = rng.random(m) < 0.6, rng.random(m) < 0.8
+        n = np.array([len(x) for x in sets])
+        sig = np.zeros((m, 4), np.uint32)  # signatures rule nothing out
+        found = minhash.linking(ids.copy(), n, comp.copy(), left, right, sig,
+                                lambda: minhash.Sets(sets), [(4, 0)], 60)
+        links = [(int(ids[a]), int(ids[b])) for a in np.flatnonzero(left) for b in np.flatnonzero(right) if a != b
+                 and 100 * (c := len(np.intersect1d(sets[a], sets[b]))) >= 60 * (n[a] + n[b] - c)]
+        tied = [(int(i), int(c)) for i, c in zip(ids, comp)]
+        nodes = {x for t in tied for x in t}
+        assert reference.components(nodes, links + tied) == reference.components(nodes, found + tied)
+        assert len(found) < m
+
+
+@pytest.mark.parametrize("weight", [500, 5_000])
+def test_large_buckets_are_compared_in_many_blocks(spark, monkeypatch, weight):
+    """Texts just below and just above the threshold in one group."""
+    monkeypatch.setattr(minhash, "WEIGHT", weight)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = {i: edited(base, rng, 5 + i % 6) for i in range(150)}
+    sizes, low = reference.near_groups(texts, 2, 80)
+    assert 3 < len(set(low.values())) < 150
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, words=2).collect()}
+    assert got == low
+
+
 def test_near_texts_empty_and_repeated_keys(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (2, "x y z v w"), (3, "x y z v w")],
                                "doc_id bigint, text string")

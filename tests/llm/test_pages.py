@@ -161,6 +161,36 @@ def test_query_urls(spark):
         assert verdict in (None, r["verdict"]) and r["verdict"] in ("allow", "block")
 
 
+def test_query_urls_equal_rules_by_counting(spark):
+    """The verdict of a page that no fixed rule fits is that of the best of all rules."""
+    folder = "/root/testdata/sf0.01"  # the smaller table has no frequent tokens
+    pages, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("pages", "labels"))
+    tokens = {r[0]: frozenset(r[1]) for r in pages.select("page_id", url_rules.tokens("url")).collect()}
+    label = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
+    known = {p: q == 0 or t == 1 for p in tokens for q, t in [label.get(p, (None, None))]
+             if q == 0 or t == 1 or (q is not None and t is not None)}
+    n = len(known)
+    least = max(0.002, 20 / n) * n
+    often = {t for t, c in Counter(t for p in known for t in tokens[p]).items() if c >= least}
+    sets = {True: Counter(), False: Counter()}
+    for p, blocked in known.items():
+        mine = sorted(tokens[p] & often)
+        for k in range(1, len(mine) + 1):
+            sets[blocked].update(itertools.combinations(mine, k))
+    rules = {}
+    for c in {*sets[True], *sets[False]}:
+        both = sets[True][c] + sets[False][c]
+        for blocked, verdict in ((True, "block"), (False, "allow")):
+            m = sets[blocked][c]
+            if m >= least and m / both >= 0.6:
+                rules[c, verdict] = (m / both, m / n)
+    assert rules
+    for r in op6_url_rules(spark, folder).collect():
+        if r["rule"] is None:
+            fits = [(*v, len(c), " ".join(c), verdict) for (c, verdict), v in rules.items() if set(c) <= tokens[r["page_id"]]]
+            assert r["verdict"] == (max(fits)[4] if fits else "allow")
+
+
 LONG = "x" * 200
 PAGES = [(1, "http://a/%0A\r\n", "<p>é</p>"), (2, None, LONG), (3, "u", LONG), (3, "u", LONG), (4, "v", None),
          (5, "v", ""), (6, "w", "s"), (7, "w", "s"), (None, "n", LONG), (0, "z", LONG + "y"), (9, "z", LONG + "y"),
