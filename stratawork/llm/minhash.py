@@ -14,9 +14,10 @@ shares most buckets with others around it (a hub); confirmed links form
 components, and then only classes of different components are left to compare:
 with their bucket's hub first, then each with each. So a group of many
 copies costs as many comparisons as it has members, and no link is left out that
-could change a component. The last step compares, in blocks of bounded size, what
-is not in the component of its bucket's hub with the whole bucket; only pairs that
-survive the signatures leave a block.
+could change a component. The last step compares, in blocks of bounded weight, what
+is not in the component of its bucket's hub with the whole bucket: signatures first,
+whole sets then, both in the task. Only links that join two components leave a block,
+fewer than it has members; pairs are never listed.
 
 Buckets are counted before they are joined, so a hot one is one row there, and the
 other side is split by adaptive execution. Nothing is collected but counts.
@@ -25,12 +26,12 @@ other side is split by adaptive execution. Nothing is collected but counts.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +41,9 @@ from .components import components
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Shingles hashed at a time: a block that stays in the processor's cache.
 BLOCK = 16_384
-#: Members of a block on its two sides, and pairs compared at a time.
-FEW, MANY, PAIRS = 2048, 8192, 200_000
+#: Weight of a block's side, in shingles (4 MB), that of a signature, and pairs compared
+#: at a time.
+WEIGHT, SIGNATURE, PAIRS = 1 << 19, 60, 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -167,30 +169,105 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, steps: list[tuple[int, int]]) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _survivors(blocks: DataFrame, steps: list[tuple[int, int]], percent: int) -> DataFrame:
-    """Pairs from the two sides of each block, of different components and like
-    sizes, that no batch of signature values rules out."""
+class Sets:
+    """Shingle sets of a block's members, with their members by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        self.sizes = np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(values, kind="stable")
+        self.holders = owner[order]
+        values = values[order]
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        ends = np.append(starts[1:], len(values))
+        place = np.empty(len(values), np.int64)
+        place[order] = np.repeat(np.arange(len(starts)), ends - starts)
+        self.starts, self.counts = starts, ends - starts
+        self.places = np.split(place, np.cumsum(self.sizes)[:-1])
+
+    def common(self, a: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of one set with others: few are merged, many
+        counted along the lists of its shingles."""
+        if len(others) < 4:
+            return np.array([len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True)) for b in others])
+        out = np.zeros(len(self.sets), np.int64)
+        for at in range(0, len(self.places[a]), 4096):
+            mine = self.places[a][at:at + 4096]
+            n = self.counts[mine]
+            first = self.starts[mine] - np.concatenate([[0], np.cumsum(n)[:-1]])
+            out += np.bincount(self.holders[np.repeat(first, n) + np.arange(n.sum())], minlength=len(out))
+        return out[others]
+
+
+def linking(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray,
+            sig: np.ndarray, sets: Callable[[], Sets], steps: list[tuple[int, int]],
+            percent: int) -> list[tuple[int, int]]:
+    """Links of a block that join its components: a left and a right member each, of
+    different components, alike by all batches of their signatures and by their whole
+    sets. What is joined already is not compared again, so there are fewer links than
+    components."""
+    out: list[tuple[int, int]] = []
+    held = None
+    lefts, rights = np.flatnonzero(left), np.flatnonzero(right)
+    height = max(1, PAIRS // max(1, len(rights)))
+    for at in range(0, len(lefts), height):
+        a, b = (x.ravel() for x in np.meshgrid(lefts[at:at + height], rights, indexing="ij"))
+        twice = left[b] & right[a] & (ids[a] > ids[b])  # the block has the pair the other way round
+        keep = (comp[a] != comp[b]) & ~twice & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        a, b, agree, seen = a[keep], b[keep], 0, 0
+        for upto, least in steps:
+            agree = agree + (sig[a, seen:upto] == sig[b, seen:upto]).sum(axis=1)
+            keep = agree >= least
+            a, b, agree, seen = a[keep], b[keep], agree[keep], upto
+        cuts = np.flatnonzero(np.diff(a)) + 1
+        for who, others in zip(a[np.concatenate([[0], cuts])] if len(a) else (), np.split(b, cuts)):
+            others = others[comp[others] != comp[who]]
+            if not len(others):
+                continue
+            held = held or sets()
+            common = held.common(who, others)
+            alike = others[100 * common >= percent * (held.sizes[who] + held.sizes[others] - common)]
+            for other in alike:
+                if comp[other] != comp[who]:
+                    out.append((int(ids[who]), int(ids[other])))
+                    comp[comp == comp[other]] = comp[who]
+    return out
+
+
+def _linked(blocks: DataFrame, steps: list[tuple[int, int]], percent: int) -> DataFrame:
+    """The links (a, b) that join components in each block; rows of a block stand
+    together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in blocks_of(batches, ("bucket", "i", "j")):
-            ids, n, comp, side = (rows[c].to_numpy() for c in ("id", "n", "comp", "side"))
+            ids, n, comp = (rows[c].to_numpy().copy() for c in ("id", "n", "comp"))
+            left, right = (rows[c].to_numpy().astype(bool) for c in ("left", "right"))
             sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint32).reshape(len(ids), -1)
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            height = max(1, PAIRS // max(1, len(right)))
-            for at in range(0, len(left), height):
-                a, b = (x.ravel() for x in np.meshgrid(left[at:at + height], right, indexing="ij"))
-                keep = (comp[a] != comp[b]) & (
-                    100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-                a, b, agree, seen = a[keep], b[keep], 0, 0
-                for upto, least in steps:
-                    agree = agree + (sig[a, seen:upto] == sig[b, seen:upto]).sum(axis=1)
-                    keep = agree >= least
-                    a, b, agree, seen = a[keep], b[keep], agree[keep], upto
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+            found = linking(ids, n, comp, left, right, sig, lambda: Sets(
+                [np.frombuffer(x.as_buffer(), np.int64) for x in rows["s"]]), steps, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a bigint, b bigint")
 
 
+def _alike(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sets x and y are similar."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for i, (x, y) in enumerate(zip(column(batch, "x"), column(batch, "y"))):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    good.append(i)
+            at = pa.array(good, pa.int64())
+            yield pa.RecordBatch.from_arrays([column(batch, c).take(at) for c in ("a", "b")], names=["a", "b"])
+
+    return pairs.mapInArrow(run, "a bigint, b bigint")
+
+
 def _sets(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -198,11 +275,11 @@ def _sets(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([
                     column(part, key),
-                    pa.array([shingles(t, words).view(np.int64) for t in column(part, text).to_pylist()],
-                             pa.list_(pa.int64()))], names=["id", "s"])
+                    pa.array([shingles(t, words).tobytes() for t in column(part, text).to_pylist()], pa.binary())],
+                    names=["id", "s"])
 
     return docs.select(F.col(key).cast("bigint").alias(key), F.col(text).cast("binary").alias(text)).mapInArrow(
-        run, "id bigint, s array<bigint>")
+        run, "id bigint, s binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5,
@@ -246,13 +323,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     sets = work.table(_sets(wanted, text, key, words))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        """Pairs of a member and a hub, at most one per member and bucket, on their
+        signatures and then on their sets."""
         alive = work.table(_pruned(pairs, reps, steps))
         full = alive.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        sizes = F.size("x") + F.size("y")
-        return full.select("a", "b", common.alias("i"), sizes.alias("m")).where(
-            100 * F.col("i") >= percent * (F.col("m") - F.col("i"))).select("a", "b")
+        return _alike(full.select("a", "b", "x", "y"), percent)
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -273,9 +349,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
             "bucket", "c", (-F.col("hub.h")).alias("hub"), F.col("hub.n").alias("hub_n"),
             F.col("hub.comp").alias("hub_comp"))
 
-    def joined(groups: DataFrame, pairs: DataFrame) -> DataFrame:
-        """Components after the links that are found among ``pairs``."""
-        found = work.table(confirmed(work.table(ordered(pairs))))
+    def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after these links."""
+        found = work.table(links)
         if found.isEmpty():
             return groups
         between = found.join(groups.toDF("a", "ca"), "a", "left").join(
@@ -293,25 +369,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     apart = members.join(split, "bucket").where(F.col("comp") != F.col("hub_comp"))
     close = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     pairs = ordered(apart.where(close).select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    groups = joined(groups, pairs.join(tried, ["a", "b"], "left_anti"))
+    groups = joined(groups, confirmed(work.table(pairs.join(tried, ["a", "b"], "left_anti"))))
 
-    # At last all that is outside the hub's component with all of the bucket.
+    # At last all that is outside the hub's component with all of the bucket, in blocks
+    # of a bounded weight: sets and signatures. Each cell of a row of parts meets each of
+    # a column of parts; a member stands once in a block, on one side or both.
     members, split = placed()
     open_ = work.table(members.join(split, "bucket").select(
-        "bucket", "id", "n", "comp", "c", (F.col("comp") != F.col("hub_comp")).alias("apart")))
-    few = open_.where("apart").groupBy("bucket").agg(F.ceil(F.count("*") / FEW).alias("few"))
-    sides = open_.join(few, "bucket").withColumn("many", F.ceil(F.col("c") / MANY))
+        "bucket", "id", "n", "comp", (F.col("comp") != F.col("hub_comp")).alias("apart")))
+    weight = F.col("n") + SIGNATURE
+    parts = open_.groupBy("bucket").agg(
+        F.ceil(F.sum(weight) / WEIGHT).alias("many"), F.ceil(F.sum(F.when(F.col("apart"), weight)) / WEIGHT).alias("few"))
     spot = F.xxhash64("id")
-    left = sides.where("apart").select(
-        "bucket", F.pmod(spot, F.col("few")).alias("i"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("many") - 1)).alias("j"),
-        "id", "n", "comp", F.lit(0).cast("bigint").alias("side"))
-    right = sides.select(
-        "bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("few") - 1)).alias("i"),
-        F.pmod(spot, F.col("many")).alias("j"), "id", "n", "comp", F.lit(1).cast("bigint").alias("side"))
-    blocks = left.union(right).join(reps.select("id", "sig"), "id").repartition(
+    sides = open_.join(parts.where("few > 0"), "bucket").withColumn(
+        "row", F.pmod(spot, F.col("few"))).withColumn("col", F.pmod(spot, F.col("many")))
+
+    def cell(i: Column, j: Column, left: Column, right: Column) -> Column:
+        return F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+
+    def steps_to(n: str) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+
+    yes, no = F.lit(True), F.lit(False)
+    across = F.transform(steps_to("many"), lambda j: cell(F.col("row"), j, yes, j == F.col("col")))
+    down = F.transform(F.filter(steps_to("few"), lambda i: ~F.col("apart") | (i != F.col("row"))),
+                       lambda i: cell(i, F.col("col"), no, yes))
+    cells = F.when(F.col("apart"), F.concat(across, down)).otherwise(down)
+    blocks = sides.select("bucket", "id", "n", "comp", F.inline(cells)).join(
+        reps.select("id", "sig"), "id").join(sets, "id").repartition(
         "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    groups = joined(groups, _survivors(blocks, steps, percent))
+    groups = joined(groups, _linked(blocks, steps, percent))
+    for table in (members_w, sets, reps, tried, open_):
+        work.drop(table)
 
     named = signed.withColumn("digest", F.when(F.col(key).isNotNull(), F.col("digest")))
     named = named.join(classes, "digest", "left").select(
@@ -320,3 +409,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
         key, "n_shingles",
         F.coalesce("component", "node", F.col(key).cast("bigint")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
+
+
+#: Two-word shingles at 80 percent, all pairs, in DuckDB's SQL.
+ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+low AS (SELECT a, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, low AS component_id, low = doc_id AS kept FROM s JOIN low ON doc_id = a"""

@@ -121,3 +121,7 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op13_prefix_trie"] = prefix_trie.ORACLE
+
+
+ORACLES["op3_warc"] = warc.ORACLE
+ORACLES["op7_minhash"] = minhash.ORACLE

@@ -281,3 +281,13 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     work = Workspace(pages.sparkSession)
     index = work.table(write(pages, f"{work.path}/bundles", key, url, html))
     return digests(work, read(pages.sparkSession, index)).withColumnRenamed("page_id", key)
+
+
+#: What ``round_trip`` must give, in DuckDB's SQL.
+ORACLE = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+d AS (SELECT page_id, octet_length(raw) AS payload_bytes, sha256(raw) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN first < page_id AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first < page_id AND payload_bytes >= 100 THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""
