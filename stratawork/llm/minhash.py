@@ -318,7 +318,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     near = (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")) & (F.col("id") != -F.col("hub.h"))
     with_hub = members_w.join(hubs, "bucket").where(near)
 
-    ids = members_w.select("id").distinct()
+    # Written, so that its size is known: while it is small, the texts are not shuffled.
+    ids = work.table(members_w.select("id").distinct())
     wanted = docs.join(ids, docs[key].cast("bigint") == ids["id"], "left_semi")
     sets = work.table(_sets(wanted, text, key, words))
 
