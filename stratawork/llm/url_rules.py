@@ -2,20 +2,19 @@
 
 Spark's FP-growth finds token combinations of labelled URLs that go with a label;
 rules below a support or confidence are pruned. Judging is an inverted index: each
-rule is stored under its rarest token, a URL's distinct tokens look rules up, and a
-rule fits if all its tokens are there. The best fitting rule decides.
+rule is stored under its rarest tokens, a URL's distinct tokens look rules up, and a
+rule fits if all it needs is there. The best fitting rule decides.
 
 Only DataFrame functions: no Python runs on the rows. The number of mined rules is
-bounded by the minimum support, not by the number of URLs: a URL of t frequent tokens
-lies in fewer than 2 ** t combinations, of which at most 2 ** t / support are
-frequent. Where t is large, the length of the rules is bounded; every URL counts.
+bounded by the minimum support, not by the number of URLs: a URL of t frequent classes
+of words lies in fewer than 2 ** t combinations for each part of its host, of which at
+most 2 ** t / support are frequent.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -27,6 +26,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Items of a transaction that say its label; tokens never hold a blank.
 BLOCK, ALLOW = "label block", "label allow"
+ANY_HOST = "any host"
 
 
 @dataclass(frozen=True)
@@ -83,74 +83,77 @@ def tokens(url: str | Column) -> Column:
 
 
 def mine(labelled: DataFrame, url: str = "url", blocked: str = "blocked",
-         min_support: float = 0.002, min_rows: int = 20, min_confidence: float = 0.6,
-         max_tokens: int = 16, max_sets: int = 4_096) -> DataFrame:
-    """Association rules from URLs to a label: ``antecedent`` (tokens, sorted),
-    ``verdict``, ``confidence``, ``support``, ``index_token`` (the rarest). Rows with
-    null url or label are left out; all others count. A rule needs a share of
+         min_support: float = 0.002, min_rows: int = 20, min_confidence: float = 0.6) -> DataFrame:
+    """Association rules from URLs to a label: ``antecedent`` (classes of tokens, a rule
+    needs one token of each), ``tokens`` (all that its URLs have by that, sorted),
+    ``index_tokens`` (its rarest class), ``verdict``, ``confidence``, ``support``. Rows
+    with null url or label are left out; all others count. A rule needs a share of
     ``min_support`` and ``min_rows`` rows; no labels give no rules.
 
-    Tokens below the support are in no rule and leave the URLs. FP-growth's work
-    doubles with each token that is left: if a URL keeps more than ``max_tokens``,
-    rules are mined by length instead, and their length is bounded (``_by_length``,
-    ``max_sets``), not the URLs that are counted."""
+    Tokens below the support are in no rule and leave the URLs. Tokens of the same rows
+    are one class, mined as one item: any of them says what all say. A host's suffixes
+    imply each other, so no rule needs two: FP-growth gets a URL once for each class of
+    suffixes and once for any host."""
     work = Workspace(labelled.sparkSession)
     label = F.when(F.col(blocked), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     rows = work.table(labelled.where(F.col(url).isNotNull() & F.col(blocked).isNotNull()).select(
         F.monotonically_increasing_id().alias("row"), tokens(url).alias("items"), label.alias("label")))
     n = rows.count()
-    support = min(1.0, max(min_support, min_rows / max(1, n)))
-    least = math.ceil(support * n)
+    least = max(1, math.ceil(min(1.0, max(min_support, min_rows / max(1, n))) * n))
     single = rows.select("row", "label", F.explode_outer("items").alias("token"))
-    often = work.table(single.where(F.col("token").isNotNull()).groupBy("token").agg(
-        F.count("*").alias("freq")).where(F.col("freq") >= least))
+    classes = work.table(classes_of(single, least))
+    items = classes.select("item", "hosted", F.explode("members").alias("token"))
     # Tokens per URL / min_support at most, whatever the number of URLs.
-    known = single.join(F.broadcast(often), "token", "left")
-    baskets = work.table(known.groupBy("row").agg(
+    known = single.join(F.broadcast(items), "token", "left")
+    baskets = known.groupBy("row").agg(
         F.first("label").alias("label"),
-        F.array_sort(F.collect_list(F.when(F.col("freq").isNotNull(), F.col("token")))).alias("items")))
-    longest = baskets.agg(F.max(F.size("items"))).first()[0] or 0
-    if longest > max_tokens:
-        rules = _by_length(work, baskets, n, least, min_confidence, max_sets)
-    else:
-        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(
-            baskets.select(F.array_append("items", F.col("label")).alias("items")))
-        rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).select(
-            F.array_sort("antecedent").alias("antecedent"),
-            F.when(F.col("consequent")[0] == BLOCK, "block").otherwise("allow").alias("verdict"),
-            "confidence", "support")
-    rarest = rules.select("antecedent", F.explode("antecedent").alias("token")).join(often, "token").groupBy(
-        "antecedent").agg(F.min_by("token", F.struct("freq", "token")).alias("index_token"))
-    return rules.join(rarest, "antecedent")
-
-
-def _by_length(work: Workspace, baskets: DataFrame, n: int, least: int, min_confidence: float,
-               max_sets: int) -> DataFrame:
-    """Rules of one token, of two, and so on, each length whole: frequent sets grow
-    by a later token of the URLs they are in. Equal URLs are one row with their
-    numbers of labels. It ends when no set is frequent, or before a length for which
-    the URLs hold more than ``max_sets`` candidates on average; rules of one token
-    are always mined."""
-    level = work.table(baskets.groupBy(F.array().cast("array<string>").alias("set"), F.col("items").alias("tail")).agg(
-        F.count_if(F.col("label") == BLOCK).alias("block"), F.count_if(F.col("label") == ALLOW).alias("allow")))
-    most, found = max_sets * level.count(), []
-    while (candidates := level.agg(F.sum(F.size("tail"))).first()[0] or 0) and (not found or candidates <= most):
-        grown = level.select("set", "tail", "block", "allow", F.posexplode("tail").alias("at", "token")).select(
-            F.array_append("set", F.col("token")).alias("set"),
-            F.expr("slice(tail, at + 2, size(tail))").alias("tail"), "block", "allow")
-        # A rule's tokens are with its label in so many rows, and so are all parts of it.
-        sets = work.table(grown.groupBy("set").agg(
-            F.sum("block").alias("block"), F.sum("allow").alias("allow")).where(F.greatest("block", "allow") >= least))
-        found.append(sets)
-        level = work.table(grown.join(sets.select("set"), "set", "left_semi").where(F.size("tail") > 0).groupBy(
-            "set", "tail").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")))
-    schema = "antecedent array<string>, verdict string, confidence double, support double"
-    rules = [sets.select(F.col("set").alias("antecedent"), F.lit(verdict).alias("verdict"),
-                         (F.col(verdict) / (F.col("block") + F.col("allow"))).alias("confidence"),
-                         (F.col(verdict) / n).alias("support"), F.col(verdict).alias("rows"))
-             for sets in found for verdict in ("block", "allow")]
-    kept = [r.where((F.col("rows") >= least) & (F.col("confidence") >= min_confidence)).drop("rows") for r in rules]
-    return reduce(DataFrame.union, kept, work.spark.createDataFrame([], schema))
+        F.collect_set(F.when(F.col("hosted"), F.col("item"))).alias("hosts"),
+        F.collect_set(F.when(~F.col("hosted"), F.col("item"))).alias("words"))
+    places = work.table(baskets.select("words", "label", F.explode(
+        F.array_append("hosts", F.lit(ANY_HOST))).alias("host")).select(
+        F.concat("words", F.array("host", "label")).alias("items")))
+    m = places.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, m)),
+                     minConfidence=min_confidence).fit(places)
+    # A combination without any host item counts a URL several times over.
+    rules = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).select(
+        F.array_sort(F.array_remove("antecedent", ANY_HOST)).alias("rule"),
+        F.array_contains("antecedent", ANY_HOST).alias("anywhere"),
+        F.when(F.col("consequent")[0] == BLOCK, "block").otherwise("allow").alias("verdict"),
+        "confidence", (F.round(F.col("support") * m) / n).alias("support"))
+    parts = rules.select("*", F.explode("rule").alias("item")).join(F.broadcast(classes), "item")
+    return parts.groupBy("rule", "anywhere", "verdict", "confidence", "support").agg(
+        F.collect_list("members").alias("antecedent"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("implied")))).alias("tokens"),
+        F.min_by("members", F.struct("freq", "item")).alias("index_tokens"),
+        F.bool_or("hosted").alias("hosted")).where(F.col("anywhere") | F.col("hosted")).drop(
+        "rule", "anywhere", "hosted")
+
+
+def classes_of(single: DataFrame, least: int) -> DataFrame:
+    """Tokens in at least ``least`` rows of ``single`` (row, token), those of the same
+    rows together: ``item`` (the first), ``members``, ``freq``, ``hosted`` (one is a
+    host or its suffix), ``implied`` (the members and what a host's suffixes bring).
+    Rows are compared by number and two 64-bit sums of their hashes."""
+    often = single.where(F.col("token").isNotNull()).groupBy("token").agg(
+        F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("one"),
+        F.bit_xor(F.xxhash64("row", F.lit(1))).alias("two")).where(F.col("freq") >= least)
+    classes = often.groupBy("freq", "one", "two").agg(F.array_sort(F.collect_list("token")).alias("members")).select(
+        F.col("members")[0].alias("item"), "members", "freq",
+        F.exists("members", lambda t: t.startswith("host:")).alias("hosted"))
+    # The longest host of a class; what follows each of its dots is a token of the same URLs.
+    host = F.max_by("token", F.length("token"))
+    longest = classes.select("item", F.explode("members").alias("token")).where(
+        F.col("token").startswith("host:")).groupBy("item").agg(host.alias("host"))
+    labels = F.split(F.substring("host", 6, 1 << 30), r"\.")
+    suffixes = longest.select("item", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(labels)),
+        lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))).alias("token"))
+    of = classes.select(F.explode("members").alias("token"), F.col("members").alias("others"))
+    brought = suffixes.join(of, "token").groupBy("item").agg(
+        F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    return classes.join(brought, "item", "left").select(
+        "item", "members", "freq", "hosted", F.coalesce("others", "members").alias("implied"))
 
 
 def match(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
@@ -159,10 +162,13 @@ def match(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     best supported, then the longest, then by its tokens."""
     seen = urls.select(url).where(F.col(url).isNotNull()).distinct().withColumn("__tokens", tokens(url))
     looked = seen.select(url, "__tokens", F.explode("__tokens").alias("index_token"))
-    found = looked.join(rules, "index_token").where(
-        F.size(F.array_except("antecedent", "__tokens")) == 0)
-    best = F.max(F.struct("confidence", "support", F.size("antecedent").alias("n"),
-                          F.array_join("antecedent", " ").alias("tokens"), "verdict"))
+    index = rules.withColumn("index_token", F.explode("index_tokens"))
+    # A rule of one class fits by being found.
+    found = looked.join(index, "index_token").where((F.size("antecedent") == 1) | F.forall(
+        "antecedent", lambda c: F.arrays_overlap(c, F.col("__tokens"))))
+    held = F.array_intersect("tokens", "__tokens")
+    best = F.max(F.struct("confidence", "support", F.size(held).alias("n"),
+                          F.array_join(held, " ").alias("tokens"), "verdict"))
     return found.groupBy(url).agg(best.alias("b")).select(
         url, F.col("b.verdict").alias("mined_verdict"),
         F.col("b.confidence").alias("mined_confidence"), F.col("b.tokens").alias("mined_tokens"))

@@ -75,9 +75,9 @@ def test_mined_rules_equal_counting(spark):
         for verdict, n in (("block", sum(fits)), ("allow", len(fits) - sum(fits))):
             if n >= 0.05 * len(rows) and n / len(fits) >= 0.6:
                 want[c, verdict] = (n / len(fits), n / len(rows))
-    got = {(frozenset(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"]) for r in mined.collect()}
-    assert got.keys() == want.keys()
-    assert all(abs(got[k][0] - want[k][0]) < 1e-9 for k in want)
+    got = expanded(mined)
+    assert got.keys() == {(tuple(sorted(c)), v) for c, v in want}
+    assert all(abs(got[tuple(sorted(k[0])), k[1]][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
     best = {r["url"]: (r["mined_verdict"], round(r["mined_confidence"], 9))
             for r in url_rules.match(labelled, mined).collect()}
     for u, t in tokens.items():
@@ -102,9 +102,20 @@ def counted_rules(labelled, rows, longest):
     return want
 
 
+def expanded(mined):
+    """All rules that the mined classes stand for."""
+    out = {}
+    for r in mined.collect():
+        for k in range(1, len(r["tokens"]) + 1):
+            for c in itertools.combinations(r["tokens"], k):
+                if all(set(c) & set(members) for members in r["antecedent"]):
+                    assert (c, r["verdict"]) not in out
+                    out[c, r["verdict"]] = (r["confidence"], r["support"])
+    return out
+
+
 def mined_rules(labelled):
-    return {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"])
-            for r in url_rules.mine(labelled).collect()}
+    return expanded(url_rules.mine(labelled))
 
 
 def test_long_urls_are_mined(spark):
@@ -123,27 +134,46 @@ def test_long_urls_are_mined(spark):
     assert url_rules.judge(unseen, url_rules.mine(labelled), URL_RULES).first()["verdict"] == "block"
 
 
-def test_long_urls_of_frequent_tokens_bound_the_rules_only(spark):
-    """30 tokens that are always together: short rules, from all rows."""
+def test_long_urls_of_frequent_tokens(spark):
+    """29 tokens that are always together and stand for 2 ** 29 rules: the best rule
+    of each url, from the closed sets."""
     words = "/".join(chr(97 + k) * 3 for k in range(26))
     rows = ([(f"http://www.long.net/{words}", i % 10 != 0) for i in range(50)]
             + [(f"http://other.net/aaa/{i}", False) for i in range(40)] + [("http://long.net/bbb", True)] * 30)
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
-    got = mined_rules(labelled)
-    lengths = {len(k[0]) for k in got}
-    want = counted_rules(labelled, rows, max(lengths))
-    assert lengths == set(range(1, max(lengths) + 1)) and max(lengths) >= 3
-    assert got.keys() == want.keys() and all(abs(got[k][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
-
-
-def test_rules_by_length_equal_fp_growth(spark):
-    rows = [(f"http://a{i % 3}.net/b{'xyz'[i % 3]}/{'pq'[i % 2]}?r={'st'[i % 5 > 2]}", i % 7 < 2) for i in range(300)]
+    mined = url_rules.mine(labelled)
+    assert mined.count() < 100
+    unseen = [(u,) for u in ("http://x.net/ccc/ddd?zzz", "http://www.long.net/aaa", "http://long.net/aaa", "http://x.org/aaa/q",
+                             "http://net/bbb", "http://y/aaa/bbb")]
+    pages = labelled.select("url").union(spark.createDataFrame(unseen, "url string"))
+    tokens = {r[0]: frozenset(r[1]) for r in pages.select("url", url_rules.tokens("url")).collect()}
+    sets = [(tokens[u], b) for u, b in rows]
+    got = {r["url"]: (round(r["mined_confidence"], 9), r["mined_tokens"], r["mined_verdict"])
+           for r in url_rules.match(pages, mined).collect()}
+    for u, t in tokens.items():
+        # The largest combinations of this url that some set of rows has: all that those rows share.
+        shared, seen = {t & s for s, _ in sets}, set()
+        while shared - seen:
+            seen |= shared
+            shared = {x & y for x in seen for y in seen}
+        best = []
+        for c in seen - {frozenset()}:
+            fits = [b for s, b in sets if c <= s]
+            best += [(n / len(fits), n / len(rows), len(c), " ".join(sorted(c)), v)
+                     for v, n in (("block", sum(fits)), ("allow", len(fits) - sum(fits))) if n >= 20 and n / len(fits) >= 0.6]
+        want = max(best, default=None)
+        assert got.get(u) == ((round(want[0], 9), want[3], want[4]) if want else None), u
+
+
+def test_classes_equal_counting(spark):
+    """Tokens that stand together, chains of hosts, a host that stands with a word."""
+    rows = [(f"http://{'a.' * (i % 3)}h{'xy'[i % 2]}.net/{'xyz'[i % 3]}/{'pq'[i % 2]}?r={'st'[i % 5 > 2]}&k=v", i % 7 < 2)
+            for i in range(300)] + [(f"http://e.d.c.b/{'only'}/{i}", i % 3 == 0) for i in range(60)] + [("none", True)] * 25
     labelled = spark.createDataFrame(rows, "url string, blocked boolean")
-    whole = mined_rules(labelled)
-    by_length = {(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"])
-                 for r in url_rules.mine(labelled, max_tokens=1).collect()}
-    assert whole.keys() == by_length.keys() and len(whole) > 20
-    assert all(abs(whole[k][i] - by_length[k][i]) < 1e-9 for k in whole for i in (0, 1))
+    got, want = mined_rules(labelled), counted_rules(labelled, rows, 12)
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(abs(got[k][i] - want[k][i]) < 1e-9 for k in want for i in (0, 1))
+    assert url_rules.mine(labelled).count() < len(got) / 4
 
 
 def test_url_path_stays_in_the_jvm(spark):
