@@ -13,15 +13,18 @@ Texts are searched whole, in time proportional to their length.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii_examples
 from .common import column, sampled, with_arrow
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,6 +37,9 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 STATES = 1 + 2 * len(KINDS)  # outside, then begin and inside per kind
 NEVER = -1e4
+#: Tokens scored at a time; code points from which a text is decoded by itself; bytes
+#: of shapes that are kept.
+TOGETHER, LONG, CACHED_BYTES = 150_000, 1_000_000, 64 << 20
 #: What a found span may begin and end with.
 NUMBER = re.compile("[0-9]")
 COUNTRY = re.compile(r"\+[0-9]{1,3}[ .-]+")
@@ -99,16 +105,23 @@ class _Shape(dict):
 
 
 SHAPE = _Shape({i: "d" for i in range(ord("0"), ord("9") + 1)})
-LETTERS, DIGITS = re.compile(r"x+|X+"), re.compile(r"d{5,}")
+LETTERS, DIGITS, NUMBERS = re.compile(r"x+|X+"), re.compile(r"d{5,}"), re.compile(r"d+")
+
+
+def brief(shape: str) -> str:
+    """A short form as it is, a long one as a digest of the whole."""
+    return shape if len(shape) <= 20 else hashlib.blake2b(
+        shape.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def features(shape: str) -> list[str]:
     """What a token's shape says; nothing for an empty one."""
     if not shape:
         return []
-    short = DIGITS.sub("D", LETTERS.sub(lambda m: m[0][0], shape[:60]))[:20]
+    short = LETTERS.sub(lambda m: m[0][0], shape)
+    form = NUMBERS.sub("d", short).strip(".,;:!?()<>\"'")
     n = shape.count("d")
-    return ["any", "is " + short, "head " + short[0], "tail " + short[-1],
+    return ["any", "is " + brief(DIGITS.sub("D", short)), "form " + brief(form), "head " + short[0], "tail " + short[-1],
             f"digits {n if n < 5 else 5 if n < 10 else 10 if n < 14 else 14 if n < 20 else 20}",
             *("has " + c for c in "@.-()+:/" if c in shape)]
 
@@ -145,7 +158,8 @@ class Field:
     def __init__(self, names: dict[str, int], w: np.ndarray, pairs: np.ndarray):
         self.names, self.w, self.pairs = names, w, pairs
         self.known: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
+        self.held = 0
+        self.rows = np.zeros((1024, 3, STATES), np.float32)
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -158,21 +172,25 @@ class Field:
         return cls({str(n): i for i, n in enumerate(held["names"])}, held["w"], held["pairs"])
 
     def _row(self, shape: str) -> int:
+        """Scores of a shape as (before, own, after) x states, kept under a number."""
+        n = len(self.known)
+        if n == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         at = [self.names[f] for f in features(shape) if f in self.names]
-        self.known[shape] = len(self.rows)
-        self.rows.append(self.w[:, at].sum(axis=1))
-        return self.known[shape]
+        self.rows[n] = self.w[:, at].sum(axis=1)
+        self.known[shape] = n
+        self.held += 4 * len(shape) + 300
+        return n
 
     def emissions(self, shapes: list[str]) -> np.ndarray:
-        if len(self.known) > 200_000:
+        if self.held > CACHED_BYTES:
             self.known.clear()
-            self.rows.clear()
+            self.held = 0
         known = self.known
         at = np.array([known[s] if s in known else self._row(s) for s in shapes])
-        table = np.array(self.rows, np.float32)  # rows x (before, own, after) x states
-        out = table[at, 1]
-        out[1:] += table[at[:-1], 0]
-        out[:-1] += table[at[1:], 2]
+        out = self.rows[at, 1]
+        out[1:] += self.rows[at[:-1], 0]
+        out[:-1] += self.rows[at[1:], 2]
         return out
 
     def decode(self, documents: list[list[str]]) -> list[np.ndarray]:
@@ -182,7 +200,7 @@ class Field:
         order = sorted((i for i, d in enumerate(documents) if d), key=lambda i: len(documents[i]))
         while order:
             longest, group = len(documents[order[-1]]), []
-            while order and (not group or (len(group) + 1) * longest <= 150_000):
+            while order and (not group or (len(group) + 1) * longest <= TOGETHER):
                 group.append(order.pop())
             sizes = [len(documents[i]) for i in group]
             # An empty shape between documents: none sees a neighbour's token.
@@ -192,27 +210,49 @@ class Field:
             for j, n in enumerate(sizes):
                 e[:n, j] = flat[at:at + n]
                 at += n + 1
-            for j, tags in enumerate(self._viterbi(e, sizes)):
+            for j, tags in enumerate(self._viterbi([e], sizes)):
                 out[group[j]] = tags
         return out
 
-    def _viterbi(self, e: np.ndarray, sizes: list[int]) -> Iterable[np.ndarray]:
+    def decode_long(self, shapes: Callable[[], Iterable[str]], piece: int = TOGETHER) -> np.ndarray:
+        """Best states of one document of any length, whose shapes come in order. Scores
+        are made by pieces; what stays are nine bytes a token."""
+        size = sum(1 for _ in shapes())
+
+        def slabs():
+            rest, before = iter(shapes()), []
+            here = list(islice(rest, piece))
+            while here:
+                after = list(islice(rest, piece))
+                e = self.emissions([*before, *here, *after[:1]])
+                yield e[len(before):len(before) + len(here), None]
+                before, here = here[-1:], after
+
+        return next(iter(self._viterbi(slabs(), [size]))) if size else np.zeros(0, np.int8)
+
+    def _viterbi(self, slabs: Iterable[np.ndarray], sizes: list[int]) -> Iterable[np.ndarray]:
+        """Best paths; the slabs are the tokens' scores, tokens x documents x states."""
         moves = self.pairs + allowed()
-        score, back = e[0] + moves[0], np.zeros(e.shape, np.int8)
-        ends = np.zeros((e.shape[1], STATES), np.float32)
+        back = np.zeros((max(sizes), len(sizes), STATES), np.int8)
+        ends = np.zeros((len(sizes), STATES), np.float32)
         last = np.array(sizes) - 1
-        ends[last == 0] = score[last == 0]
         stops = set(last.tolist())
-        for t in range(1, len(e)):
-            ways = score[:, :, None] + moves
-            back[t] = ways.argmax(axis=1)
-            score = ways.max(axis=1) + e[t]
+        score = None
+        for t, e in enumerate(chain.from_iterable(slabs)):
+            if score is None:
+                score = e + moves[0]
+            else:
+                ways = score[:, :, None] + moves
+                back[t] = ways.argmax(axis=1)
+                score = ways.max(axis=1) + e
+                if len(back) > TOGETHER:  # sums of millions lose the differences
+                    score -= score.max(axis=1, keepdims=True)
             if t in stops:
                 ends[last == t] = score[last == t]
         state = ends.argmax(axis=1).astype(np.int8)
-        path = np.zeros(e.shape[:2], np.int8)
-        who = np.arange(e.shape[1])
-        for t in range(len(e) - 1, -1, -1):
+        path = np.zeros(back.shape[:2], np.int8)
+        who = np.arange(len(sizes))
+        for t in range(len(back) - 1, -1, -1):
             here = last >= t
             path[t, here] = state[here]
             state[here] = back[t, who[here], state[here]]
@@ -346,20 +386,27 @@ def fit(labelled: DataFrame, text: str = "text", spans: str = "spans",
     return Field.from_bytes(made[0]["field"]) if made else None
 
 
+def runs(text: str, tags: np.ndarray) -> Iterable[tuple[int, int, int]]:
+    """Each tagged stretch: its first state, start and end."""
+    held: tuple[int, int, int] | None = None
+    for k, m in zip(tags, re.finditer(r"\S+", text)):
+        if held and k == held[0] + 1:
+            held = held[0], held[1], m.end()
+            continue
+        if held:
+            yield held
+        held = (int(k), m.start(), m.end()) if k else None
+    if held:
+        yield held
+
+
 def added(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
     """Spans of a tag sequence that pass their check and touch no base span (these by
     start): one walk along both."""
-    where, out = [m.span() for m in re.finditer(r"\S+", text)], []
-    at = seen = reach = 0
-    while at < len(tags):
-        k = int(tags[at])
-        if k == 0:
-            at += 1
-            continue
-        end = at + 1
-        while end < len(tags) and tags[end] == k + 1:
-            end += 1
-        kind, a, b = KINDS[(k - 1) // 2], where[at][0], where[end - 1][1]
+    out = []
+    seen = reach = 0
+    for k, a, b in runs(text, tags):
+        kind = KINDS[(k - 1) // 2]
         first, last = EDGES[kind]
         while a < b and not first.match(text[a]):
             a += 1
@@ -370,7 +417,6 @@ def added(text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
             seen += 1
         if a < b and a >= reach and passes(kind, text[a:b]):
             out.append((a, b, kind))
-        at = end
     return out
 
 
@@ -406,7 +452,11 @@ def searching(docs: DataFrame, field: Field | None) -> Callable[[], Callable[[li
                 base = [base_spans(t) for t in part]
                 every = base
                 if model:
-                    tags = model.decode([t.translate(SHAPE).split() for t in part])
+                    tags = model.decode([[] if len(t) > LONG else t.translate(SHAPE).split() for t in part])
+                    for i, t in enumerate(part):
+                        if len(t) > LONG:
+                            shape = t.translate(SHAPE)
+                            tags[i] = model.decode_long(lambda: (m[0] for m in re.finditer(r"\S+", shape)))
                     every = [ordered(b + added(t, g, b)) if g.any() else b
                              for t, g, b in zip(part, tags, base)]
                 out += zip(base, every)
@@ -422,12 +472,19 @@ def labelled_by_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
         text, F.col("base").alias("spans"))
 
 
+def labelled_by_hand(spark: SparkSession, copies: int = 3) -> DataFrame:
+    """The committed table of examples, each several times over."""
+    return spark.createDataFrame(pii_examples.labelled() * copies, "text string, spans string")
+
+
 def learn(docs: DataFrame, text: str = "text", max_rows: int = 500) -> Field | None:
-    """A field from a stable sample of about ``max_rows`` texts that hold digits
-    or marks, labelled by the patterns."""
-    marked = docs.select(text).where(F.col(text).rlike("[0-9@]"))
+    """A field from the table labelled by hand, and from a stable sample of about
+    ``max_rows`` texts that hold digits or marks, labelled by the patterns: these say
+    what numbers of the corpus are no personal data."""
+    marked = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
     share = min(1.0, max_rows / max(1, marked.count()))
-    return fit(labelled_by_patterns(marked.where(sampled(text, share)), text), text, max_rows=2 * max_rows)
+    known = labelled_by_patterns(marked.where(sampled("text", share)))
+    return fit(known.union(labelled_by_hand(docs.sparkSession)), max_rows=4 * max_rows)
 
 
 def counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

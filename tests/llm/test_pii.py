@@ -6,8 +6,9 @@ import time
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from stratawork.llm import pii
+from stratawork.llm import pii, pii_examples
 from stratawork.llm.queries import op8_pii
 from tests.conftest import DATA
 from tests.llm.reference import base_spans
@@ -121,7 +122,58 @@ def test_edge_cases(spark):
     assert hidden[6].endswith("word <PHONE>")
     assert pii.redact(frame(spark), None).columns == frame(spark).columns
     assert pii.counts(frame(spark).limit(0)).count() == 0
-    assert pii.learn(frame(spark).where("doc_id < 2")) is None
+    assert pii.learn(frame(spark).where("doc_id < 0")) is not None  # the table labelled by hand
+    assert pii.fit(frame(spark).where("doc_id < 2").withColumn("spans", F.lit(""))) is None
+
+
+def scores(found, gold):
+    hits = sum(len(f & g) for f, g in zip(found, gold))
+    return 2 * hits / max(1, sum(map(len, found)) + sum(map(len, gold)))
+
+
+def test_hand_labelled_spans(spark):
+    """The marks of the table are whole and pass the checks. Each third is found by a
+    field of the other two thirds: F1 of spans, against the patterns alone."""
+    table = pii_examples.labelled()
+    gold = [set(filter(None, s.split(","))) for _, s in table]
+    for (text, _), spans in zip(table, gold):
+        for kind, a, b in (s.split(":") for s in spans):
+            assert pii.passes(kind, text[int(a):int(b)]), text
+        assert set(filter(None, base_spans(text).split(","))) <= spans, text
+    docs, found = spark.read.parquet(f"{DATA}/documents.parquet"), [set()] * len(table)
+    known = pii.labelled_by_patterns(docs.where("doc_id % 2 = 0").select("text"))
+    for third in range(3):
+        rest = [r for i, r in enumerate(table) if i % 3 != third]
+        field = pii.fit(known.union(spark.createDataFrame(rest * 3, "text string, spans string")), max_rows=2000)
+        part = [(i, t) for i, (t, _) in enumerate(table) if i % 3 == third]
+        for r in pii.find(spark.createDataFrame(part, "i int, text string"), field).collect():
+            found[r["i"]] = set(filter(None, r["spans"].split(",")))
+    patterns = [set(filter(None, base_spans(t).split(","))) for t, _ in table]
+    wrong = [(t, f, g) for (t, _), f, g in zip(table, found, gold) if f != g]
+    assert scores(patterns, gold) < 0.35 and scores(found, gold) > 0.8, (scores(patterns, gold), scores(found, gold), wrong)
+
+
+def test_long_documents_are_decoded_in_pieces():
+    field = pii.train(samples())
+    rng = np.random.default_rng(3)
+    words = ["call", "(743)", "555-3824", "x.y@mail.example.com", "10.0.1.7", "in", "1999", "+1", "a" * 70 + "7"]
+    shapes = " ".join(rng.choice(words, 500)).translate(pii.SHAPE).split()
+    want = field.decode([shapes])[0]
+    for piece in (1, 7, 499, 500, 1000):
+        assert (field.decode_long(lambda: iter(shapes), piece) == want).all()
+    assert len(field.decode_long(lambda: iter([]))) == 0
+
+
+def test_whole_shapes_count():
+    assert pii.features("." * 70 + "x") != pii.features("." * 70 + "-") and len(pii.features("ab-" * 10 ** 5)[1]) < 30
+
+
+def test_cache_of_shapes_is_bounded(monkeypatch):
+    field, plain = pii.train(samples()), pii.train(samples())
+    monkeypatch.setattr(pii, "CACHED_BYTES", 2000)
+    for n in range(1, 60):
+        shapes = ["d" * n, "x" * n, "(ddd)"]
+        assert (field.emissions(shapes) == plain.emissions(shapes)).all() and len(field.known) < 20
 
 
 def test_query_pii(spark):
