@@ -3,7 +3,8 @@ packing. Each stage works on all that the one before kept.
 
 The stages before the last return the columns of ``documents``; the last returns
 the packed pieces. Where a stage learns, it learns from the documents it is given
-and the labels in ``sf_dir``, from bounded, stable samples (see the operators).
+and the labels in ``sf_dir``: from all of them, but for the field of the personal data,
+whose examples of the corpus are a bounded, stable sample (see ``pii.learn``).
 """
 
 from __future__ import annotations

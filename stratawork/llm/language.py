@@ -5,9 +5,8 @@ words padded with a blank on both sides), most frequent first. A document goes t
 the language whose profile its own is closest to: the sum, over the document's
 sequences, of how far each is out of place, missing ones counting as farthest.
 
-Sequences are exact: three code points fit into one 64-bit number. Profiles are
-learned from a bounded, stable sample of rows per language (``max_rows``); every
-text is judged whole.
+Sequences are exact: three code points fit into one 64-bit number. Profiles and
+limits are learned from all labelled rows; every text is judged whole.
 """
 
 from __future__ import annotations
@@ -20,11 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, column, fold, sampled, with_arrow
+from .common import column, fold, with_arrow
 
 UNKNOWN = "und"
-#: Languages up to which their shares are broadcast.
-BROADCAST_LANGUAGES = 5_000
 POINT = np.uint64(21)  # bits of a code point
 #: Code points counted at a time; a longer text is counted in pieces.
 PIECE = 1_000_000
@@ -108,23 +105,15 @@ def top(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return grams[np.argsort(-counts, kind="stable")[:size]]
 
 
-def _learned_from(docs: DataFrame, text: str, lang: str, key: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` rows of each language, chosen by a hash of their key."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
-    share = rows.groupBy(lang).agg(
-        F.least(F.lit(1.0), max_rows / F.count("*")).alias("__share"))
-    if share.count() <= BROADCAST_LANGUAGES:  # else the join shuffles
-        share = F.broadcast(share)
-    return rows.join(share, lang).where(
-        sampled(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("__share")))
+def _labelled(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    return docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
 
 
-def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-             size: int = 300, max_rows: int = 4_000) -> dict[str, np.ndarray]:
-    """Profile per language. About ``max_rows`` rows of each language are used,
-    chosen by a hash of their key; rows without language or text are left out, and
-    a language without any letter has no profile."""
-    rows = _learned_from(docs, text, lang, key, max_rows)
+def profiles(docs: DataFrame, text: str = "text", lang: str = "lang",
+             size: int = 300) -> dict[str, np.ndarray]:
+    """Profile per language, from all rows of it; rows without language or text are
+    left out, and a language without any letter has no profile."""
+    rows = _labelled(docs, text, lang)
 
     def run(batches):
         for batch in batches:
@@ -140,7 +129,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
                         [pa.array([str(name)] * len(g)), pa.array(g.view(np.int64)), pa.array(n)],
                         names=["l", "g", "n"])
 
-    sums = rows.select(text, lang).mapInArrow(run, "l string, g bigint, n bigint").groupBy("l", "g").agg(
+    sums = rows.mapInArrow(run, "l string, g bigint, n bigint").groupBy("l", "g").agg(
         F.sum("n").alias("n"))
     # Numbers are unsigned; the order of ties is that of ``top``.
     tie = F.col("g").bitwiseXOR(F.lit(-(1 << 63)))
@@ -152,22 +141,23 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return {name: np.array(g, np.int64).view(np.uint64) for name, g in out.items()}
 
 
-def least_scores(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-                 max_rows: int = 4_000, min_rows: int = 8) -> dict[str, float]:
-    """Per language the score below which a text is not in it, from the rows that
+def least_scores(docs: DataFrame, text: str = "text", lang: str = "lang",
+                 min_rows: int = 8) -> dict[str, float]:
+    """Per language the score below which a text is not in it, from all rows that
     ``profiles`` learns from: each half is judged by profiles of the other. The limit
     lies three times as far below the median as the lowest tenth ends (3.8 standard
     deviations, were the scores normal), so one tenth of wrong labels does not reach
     it. A language of fewer than ``min_rows`` judged rows has no limit."""
-    work = Workspace(docs.sparkSession)
     # By the text: copies are in one half.
     half = F.pmod(F.xxhash64(text), F.lit(2))
-    rows = work.table(_learned_from(docs, text, lang, key, max_rows).withColumn("half", half))
-    judged = [identify(rows.where(F.col("half") == h), profiles(rows.where(F.col("half") != h), text, lang, key,
-                                                               max_rows=max_rows), text) for h in (0, 1)]
+    rows = _labelled(docs, text, lang)
+    judged = [identify(rows.where(half == h), profiles(rows.where(half != h), text, lang), text) for h in (0, 1)]
     own = judged[0].union(judged[1]).where((F.col("lang_pred") == F.col(lang)) & (F.col("score") > 0))
-    low, middle = F.percentile("score", F.lit(0.1)), F.percentile("score", F.lit(0.5))
-    limits = own.groupBy(lang).agg(F.count("*").alias("n"), (middle - 3 * (middle - low)).alias("least"))
+    # Exact percentiles of counted scores: a score is a fraction with at most 300 * 300
+    # parts, so however many rows there are, a language has a bounded number of them.
+    tallied = own.groupBy(lang, "score").agg(F.count("*").alias("n"))
+    low, middle = (F.percentile("score", F.lit(p), F.col("n")) for p in (0.1, 0.5))
+    limits = tallied.groupBy(lang).agg(F.sum("n").alias("n"), (middle - 3 * (middle - low)).alias("least"))
     return {r[lang]: r["least"] for r in limits.where(F.col("n") >= min_rows).collect()}
 
 
@@ -215,6 +205,6 @@ def predict(docs: DataFrame, text: str = "text", lang: str = "lang",
     """Language per row; learns only from rows outside the held-out fold (CRC-32
     of the key modulo 5 is 0)."""
     held = fold(key, 5) == 0
-    known = profiles(docs.where(~held), text, lang, key)
+    known = profiles(docs.where(~held), text, lang)
     return identify(docs.select(key, text), known, text).select(
         key, held.alias("held_out"), "lang_pred", "score")

@@ -6,9 +6,9 @@ into a fixed number of weights. A token that repeats the one before it, or the o
 before that, also counts as such, whatever the word. A document's value for a weight is its share of
 the n-grams times the root of their number, so long and short texts weigh alike.
 
-The model is fitted on a bounded, stable sample of labelled rows (``max_rows``),
-in a fixed number of shards whose weights are averaged. Scoring reads whole texts
-and moves nothing but one weight vector of fixed size.
+The model is fitted on all labelled rows, in shards of bounded size whose weights
+are averaged. Scoring reads whole texts and moves nothing but one weight vector of
+fixed size.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fold, sampled, with_arrow
+from .common import column, fold, with_arrow
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
@@ -31,6 +31,9 @@ CACHED_TOKENS = 400_000
 REPEATS = (0x1000000000000001, 0x2000000000000003)
 #: Tokens hashed at a time, so that a very long text stays small in memory.
 PIECE = 200_000
+#: Parts of one in which shards' weights are summed: whole numbers, so that the sum
+#: does not depend on the order of the shards.
+UNIT = 1 << 24
 
 
 class Features:
@@ -104,22 +107,20 @@ def sparse(indices: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
-        label: str = "quality", max_rows: int = 24_000, shards: int = 4, epochs: int = 3,
+        label: str = "quality", shards: int = 4, shard_rows: int = 6_000, epochs: int = 3,
         bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05,
         l2: float = 0.5) -> np.ndarray:
     """Weights learned from the rows of ``docs`` that ``labels`` names.
 
-    Of the labels (nulls left out) about ``max_rows`` are used, chosen by a hash of
-    their key; no others are looked at, so fitting costs the same for any corpus but
-    for one scan. Repeated labels count as often as they stand there. Without any
-    label all weights are 0 and every score is 0.5."""
+    All labels are used but nulls, in at least ``shards`` shards of about
+    ``shard_rows`` rows; a shard's weight is its number of rows. Repeated labels count
+    as often as they stand there. Without any label all weights are 0 and every score
+    is 0.5."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(
         key, F.col(label).cast("int").alias("__label"))
-    total = known.count()
-    # At most about max_rows narrow rows, whatever the number of labels.
-    chosen = F.broadcast(known.where(sampled(key, min(1.0, max_rows / max(1, total)))))
-    rows = (docs.select(key, text).join(chosen, key).select(F.xxhash64(key).alias("__at"), text, "__label")
-            .repartition(shards).sortWithinPartitions("__at"))
+    many = max(shards, -(-known.count() // shard_rows))
+    rows = (docs.select(key, text).join(known, key).select(F.xxhash64(key).alias("__at"), text, "__label")
+            .repartition(many).sortWithinPartitions("__at"))
 
     def run(batches: Iterable[pa.RecordBatch]):
         features, model, seen = Features(bits), Ftrl(bits, alpha, beta, l1, l2), []
@@ -131,14 +132,18 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             for at, x, y in seen:
                 model.learn(at, x, y)
         if seen:
-            yield pa.RecordBatch.from_pydict({
-                "n": [len(seen)], "w": [model.weights().astype("<f4").tobytes()]})
-
-    made = rows.mapInArrow(run, "n bigint, w binary").collect()  # one vector per shard
-    if not made:
-        return np.zeros((1 << bits) + 1, np.float32)
-    parts = np.array([np.frombuffer(r["w"], "<f4") for r in made])
-    return np.average(parts, axis=0, weights=[r["n"] for r in made]).astype(np.float32)
+            w = model.weights()
+            at = np.flatnonzero(w)
+            # The number of rows stands behind the last weight.
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.append(at, len(w))), pa.array(np.append(
+                    np.rint(w[at] * (len(seen) * UNIT)).astype(np.int64), len(seen)))], names=["at", "s"])
+
+    # One row per weight, however many shards.
+    made = rows.mapInArrow(run, "at bigint, s bigint").groupBy("at").agg(F.sum("s").alias("s")).toArrow()
+    sums = np.zeros((1 << bits) + 2)
+    sums[made["at"].to_numpy()] = made["s"].to_numpy()
+    return (sums[:-1] / (max(1.0, sums[-1]) * UNIT)).astype(np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text",

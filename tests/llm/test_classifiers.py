@@ -64,6 +64,17 @@ def test_labels_are_no_inputs(spark, name):
     assert (weights == quality.fit(d.drop(name), labels)).all()
 
 
+def test_quality_learns_from_every_label(spark):
+    """One label in 30,000 is the only one of its kind and word: left out by a sample of 24,000 in one of five cases,
+    here there are ten such words."""
+    rows = [(i, f"plain words {i % 7}", 1) for i in range(30_000)]
+    rows += [(30_000 + i, f"odd{i} odd{i} odd{i} odd{i}", 0) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").repartition(3)
+    weights = quality.fit(df, df, l1=0.0)
+    for i in range(10):
+        assert weights[quality.Features().of(f"odd{i}")].sum() < 0
+
+
 def test_query_quality(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     rows = op4_quality(spark, DATA).collect()
@@ -125,6 +136,30 @@ def test_language_edge_cases(spark):
     assert tie.first()["lang_pred"] == "a"
 
 
+def test_profiles_and_limits_count_every_row(spark, monkeypatch):
+    """More rows of a language than any bounded sample held (4,000)."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcde "), 9)) + "q" for _ in range(9_000)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert language.profiles(df)["en"].tolist() == profile_of_all(texts)
+    judged, plain = [], language.identify
+    monkeypatch.setattr(language, "identify", lambda *a, **k: judged.append(plain(*a, **k)) or judged[-1])
+    least = language.least_scores(df)["en"]
+    scores = sorted(r["score"] for part in judged for r in part.collect())
+    assert len(scores) == len(texts)
+    low, middle = np.quantile([s for s in scores if s > 0], [0.1, 0.5])
+    assert abs(least - (middle - 3 * (middle - low))) < 1e-9
+
+
+def profile_of_all(texts):
+    """The profile of all texts' sequences, each text counted by itself."""
+    total = Counter()
+    for t in texts:
+        grams, n = language.counted(t)
+        total.update(dict(zip(grams.tolist(), n.tolist())))
+    return sorted(total, key=lambda g: (-total[g], g))[:300]
+
+
 def test_query_language(spark):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = op9_language(spark, DATA).collect()
