@@ -96,6 +96,16 @@ class Workspace:
             remove(self.spark, df._workspace_path)
 
 
+#: Tasks that write a small table at least, and narrow rows that one of them holds at most.
+GATHERED_TASKS, GATHERED_ROWS = 32, 50_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most about ``rows`` narrow rows, in no more parts than these
+    need: a small table is not written as one tiny file per shuffle partition."""
+    return df.coalesce(max(GATHERED_TASKS, -(-rows // GATHERED_ROWS)))
+
+
 def fold(key: str | Column, parts: int) -> Column:
     """The fold of a row: CRC-32 of the key's text, modulo ``parts``; a missing
     key is in fold 0."""

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, blocks_of, column
+from .common import Workspace, blocks_of, column, gathered
 from .components import components
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -300,18 +300,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     work = Workspace(docs.sparkSession)
     steps = least_matches(size, batch, percent / 100, miss)
     signed = work.table(_signed(docs, text, key, words, size))
+    total = signed.count()  # no table of classes has more rows
 
     known = signed.where(F.col(key).isNotNull() & F.col("digest").isNotNull())
-    classes = work.table(known.groupBy("digest").agg(F.min(F.col(key).cast("bigint")).alias("id")))
+    classes = work.table(gathered(known.groupBy("digest").agg(F.min(F.col(key).cast("bigint")).alias("id")), total))
     firsts = known.select(F.col(key).cast("bigint").alias("id"), "n", "digest", "sig")
-    reps = work.table(firsts.join(classes, ["digest", "id"]).dropDuplicates(["digest", "id"])
-                      .select("id", "n", "sig"))
+    # A signature weighs as much as some ten narrow rows.
+    reps = work.table(gathered(firsts.join(classes, ["digest", "id"]).dropDuplicates(["digest", "id"])
+                               .select("id", "n", "sig"), 10 * total))
 
     banded = _banded(reps, bands, rows)
     shared = banded.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-    members = work.table(banded.join(shared, "bucket"))
+    members = work.table(gathered(banded.join(shared, "bucket"), bands * total))
     weight = members.groupBy("id").agg(F.sum("c").alias("w"))
-    members_w = work.table(members.join(weight, "id").select("bucket", "id", "n", "w"))
+    members_w = work.table(gathered(members.join(weight, "id").select("bucket", "id", "n", "w"), bands * total))
     work.drop(members)
     # The hub of a bucket: the class with most company over all its buckets.
     hubs = members_w.groupBy("bucket").agg(F.max(F.struct("w", (-F.col("id")).alias("h"), "n")).alias("hub"))
@@ -319,14 +321,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     with_hub = members_w.join(hubs, "bucket").where(near)
 
     # Written, so that its size is known: while it is small, the texts are not shuffled.
-    ids = work.table(members_w.select("id").distinct())
+    ids = work.table(gathered(members_w.select("id").distinct(), total))
     wanted = docs.join(ids, docs[key].cast("bigint") == ids["id"], "left_semi")
     sets = work.table(_sets(wanted, text, key, words))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs of a member and a hub, at most one per member and bucket, on their
         signatures and then on their sets."""
-        alive = work.table(_pruned(pairs, reps, steps))
+        alive = work.table(gathered(_pruned(pairs, reps, steps), bands * total))
         full = alive.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         return _alike(full.select("a", "b", "x", "y"), percent)
@@ -336,8 +338,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
 
     # First each class with its best hub only.
     best = with_hub.groupBy("id").agg(F.max("hub").alias("hub"))
-    tried = work.table(ordered(best.select(F.col("id").alias("a"), (-F.col("hub.h")).alias("b"))))
-    groups = work.table(components(work, work.table(confirmed(tried))))
+    tried = work.table(gathered(ordered(best.select(F.col("id").alias("a"), (-F.col("hub.h")).alias("b"))), total))
+    groups = work.table(gathered(components(work, work.table(confirmed(tried))), total))
 
     def placed() -> tuple[DataFrame, DataFrame]:
         """Members with components, and the hubs of buckets that hold several."""
@@ -362,22 +364,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
         alone = between.select("a").union(between.select("b")).distinct().select(
             F.col("a").alias("node"), F.col("a").alias("component")).join(
             groups.select("node"), "node", "left_anti")
-        return work.table(groups.union(alone).join(merged, "component", "left").select(
-            "node", F.coalesce("joined", "component").alias("component")))
+        return work.table(gathered(groups.union(alone).join(merged, "component", "left").select(
+            "node", F.coalesce("joined", "component").alias("component")), total))
 
     # Then, where a bucket still holds several components: its members with its hub.
     members, split = placed()
     apart = members.join(split, "bucket").where(F.col("comp") != F.col("hub_comp"))
     close = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
     pairs = ordered(apart.where(close).select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    groups = joined(groups, confirmed(work.table(pairs.join(tried, ["a", "b"], "left_anti"))))
+    groups = joined(groups, confirmed(work.table(gathered(pairs.join(tried, ["a", "b"], "left_anti"), bands * total))))
 
     # At last all that is outside the hub's component with all of the bucket, in blocks
     # of a bounded weight: sets and signatures. Each cell of a row of parts meets each of
     # a column of parts; a member stands once in a block, on one side or both.
     members, split = placed()
-    open_ = work.table(members.join(split, "bucket").select(
-        "bucket", "id", "n", "comp", (F.col("comp") != F.col("hub_comp")).alias("apart")))
+    open_ = work.table(gathered(members.join(split, "bucket").select(
+        "bucket", "id", "n", "comp", (F.col("comp") != F.col("hub_comp")).alias("apart")), bands * total))
     weight = F.col("n") + SIGNATURE
     parts = open_.groupBy("bucket").agg(
         F.ceil(F.sum(weight) / WEIGHT).alias("many"), F.ceil(F.sum(F.when(F.col("apart"), weight)) / WEIGHT).alias("few"))

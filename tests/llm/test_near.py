@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+import stratawork.llm.components as stars
 from stratawork.llm import minhash, near_vectors
 from stratawork.llm.common import Workspace
 from stratawork.llm.components import components
@@ -193,3 +194,41 @@ def test_query_vectors(spark):
     for r in got:  # no link below the threshold, nearly all above
         assert r["n_links"] <= n[r["vec_id"]] and r["component_id"] >= low[r["vec_id"]]
     assert sum(r["n_links"] for r in got) >= 0.99 * sum(n.values())
+
+
+def test_flat_trees_need_no_round(spark, monkeypatch):
+    """Repeated links of stars, then a chain: rounds are run only while a tree is deep, none to see the end of it."""
+    rounds, plain = [], stars._stars
+    monkeypatch.setattr(stars, "_stars", lambda links: rounds.append(1) or plain(links))
+    work = Workspace(spark)
+
+    def found(pairs):
+        rounds.clear()
+        got = components(work, spark.createDataFrame(pairs, "a bigint, b bigint"))
+        return sorted((r["node"], r["component"]) for r in got.collect())
+
+    assert found([(1, 2), (3, 1), (2, 1), (1, 3), (7, 9), (4, 4), (None, 1)]) == [
+        (1, 1), (2, 1), (3, 1), (7, 7), (9, 7)]
+    assert not rounds
+    assert found([(i, i + 1) for i in range(30)]) == [(i, 0) for i in range(31)]
+    assert rounds
+    assert found([(5, 5)]) == []
+
+
+def test_small_tables_are_not_written_per_shuffle_partition(spark, monkeypatch):
+    files, plain = [], Workspace.table
+    monkeypatch.setattr(Workspace, "table", lambda *a, **k: files.append(plain(*a, **k)) or files[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "67")
+    monkeypatch.setattr(Workspace, "drop", lambda self, df: None)
+    try:
+        words = [f"w{i}" for i in range(400)]
+        docs = [(i, " ".join(words[7 * (i % 9):][:40]) + f" {i % 3}") for i in range(90)]
+        got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), words=2).collect()
+        assert len(got) == 90
+        classes = next(f for f in files if "digest" in f.columns and "sig" not in f.columns)
+        assert len(classes.inputFiles()) <= 33  # one is the empty first part
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
