@@ -8,7 +8,9 @@ The usual pre-tokenizing pattern lets no token hold white space after another
 character, so a token border lies before every run of white space, and a chunk
 (white space and what follows up to the next white space) has the same ids in
 every text. Texts are cut into chunks, chunks seen before come from a bounded
-cache, and only new ones go through the library.
+cache, and only new ones go through the library. Letters after a blank are one match
+of the pattern, as are the marks behind them and a line end before them, so such
+chunks are put together from these.
 
 Null texts count as empty and give no ids. Ids are binary columns of
 little-endian unsigned 32-bit numbers.
@@ -19,6 +21,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,10 +33,11 @@ from .common import column, with_arrow
 #: White space as regular expressions of Unicode define it: Python's class less
 #: the four separators U+001C to U+001F.
 CHUNK = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-ENDINGS = ".,;:!?"
+#: Marks of ASCII, without the apostrophe, which may begin a match with letters.
+ENDINGS = ".,;:!?$%&*+-/<=>@#^|~()[]{}\\\""
 #: Below it the classes of characters are the same in all versions of Unicode.
 SETTLED = "\u0250"
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 800_000
 
 
 def byte_alphabet() -> list[str]:
@@ -48,6 +52,7 @@ def byte_alphabet() -> list[str]:
 
 #: Bytes read as Latin-1 to the alphabet.
 TO_ALPHABET = {b: c for b, c in enumerate(byte_alphabet())}
+SPACE = TO_ALPHABET[0x20]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,44 +99,50 @@ def from_file(path: str) -> Tokenizer:
     return made
 
 
+class Chunks(dict):
+    """Ids of chunks, made when they are first asked for."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        made = self[chunk] = self.make(chunk)
+        return made
+
+
 class Encoder:
     """Texts to ids, with a cache of chunks."""
 
     def __init__(self, tokenizer: Tokenizer, limit: int = CACHED_CHUNKS):
         self.tokenizer, self.model, self.limit = tokenizer, tokenizer.model, limit
-        self.known: dict[str, bytes] = {}
+        self.known = Chunks(self._new)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        chunks = CHUNK.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            if len(self.known) + len(chunks) > self.limit:
-                self.known.clear()
-            known, new = self.known, self._new
-            return b"".join([known.get(c) or new(c) for c in chunks])
+        chunks, known = CHUNK.findall(text), self.known
+        if len(known) + len(chunks) > self.limit and not all(map(known.__contains__, chunks)):
+            known.clear()
+        return b"".join(map(known.__getitem__, chunks))
 
     def _new(self, chunk: str) -> bytes:
-        if chunk[0] == " " and len(chunk) < 100 and max(chunk) < SETTLED:
-            if chunk[1:].isalpha():
-                made = self._word(chunk)
-            elif chunk[-1] in ENDINGS and chunk[1:-1].isalpha():
-                stem, end = chunk[:-1], chunk[-1]
-                made = ((self.known.get(stem) or self._new(stem))
-                        + (self.known.get(end) or self._new(end)))
+        if chunk[0] in " \n" and len(chunk) < 100 and (chunk.isascii() or max(chunk) < SETTLED):
+            if not chunk[1:].isalpha():
+                stem = chunk.rstrip(ENDINGS)
+                if chunk[1:len(stem)].isalpha() and len(stem) < len(chunk):
+                    return self.known[stem] + self.known[chunk[len(stem):]]
+            elif chunk[0] == " ":
+                return self._word(chunk)
             else:
-                made = self._any(chunk)
-        else:
-            made = self._any(chunk)
-        self.known[chunk] = made
-        return made
+                return self.known["\n"] + self._word(chunk[1:])
+        return self._any(chunk)
 
     def _word(self, word: str) -> bytes:
-        """A space and letters: one match of the pattern, straight to the model."""
-        shown = word.encode().decode("latin-1").translate(TO_ALPHABET)
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        """Letters, a space before them or not: one match of the pattern, straight to
+        the model."""
+        shown = word.replace(" ", SPACE) if word.isascii() else word.encode().decode("latin-1").translate(TO_ALPHABET)
+        found = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(found)}I", *found)
 
     def _any(self, chunk: str) -> bytes:
         found = self.tokenizer.encode(chunk, add_special_tokens=False).ids

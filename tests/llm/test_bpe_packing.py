@@ -179,3 +179,22 @@ def test_query_packing(spark, oracle):
     rows = op1_packing(spark, DATA).collect()
     ids_of = {d["doc_id"]: [[*oracle.encode_ordinary(d["text"] or ""), 0]] for d in docs}
     assert check_packed(rows, ids_of, 1024) < 1024
+
+
+@pytest.mark.parametrize("made", [lambda: byte_bpe.from_file(public_tokenizers.path("byte_bpe_50k.json")),
+                                  lambda: byte_bpe.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                                              public_tokenizers.PATTERN)])
+def test_chunks_of_known_parts_skip_the_library(monkeypatch, made):
+    """Letters, marks behind them and a line end before them are encoded once each."""
+    tokenizer, whole, plain = made(), [], byte_bpe.Encoder._any
+    monkeypatch.setattr(byte_bpe.Encoder, "_any", lambda self, c: whole.append(c) or plain(self, c))
+    enc = byte_bpe.Encoder(tokenizer)
+    rng = random.Random(4)
+    parts = [" strange", " Wörter", "\nline", "$$$", "%%%", "...", "'s", "'ll!", "_", "-", " ", "\n", "\t", "12", "ß", "你", "a"]
+    for _ in range(3_000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 7)))
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert enc.ids(text) == want, text
+    enc, whole[:] = byte_bpe.Encoder(tokenizer), []
+    enc.ids(" strange$$$ strange, Wörter$$$ strange%%%\nline\nstrange\nWörter,")
+    assert sorted(whole) == sorted(["$$$", ",", "%%%", "\n"])
