@@ -33,7 +33,7 @@ REPEATS = (0x1000000000000001, 0x2000000000000003)
 PIECE = 200_000
 #: Parts of one in which shards' weights are summed: whole numbers, so that the sum
 #: does not depend on the order of the shards.
-UNIT = 1 << 24
+UNIT = 1 << 28
 
 
 class Features:
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             for at, x, y in seen:
                 model.learn(at, x, y)
         if seen:
-            w = model.weights()
+            w = model.weights().astype(np.float32).astype(np.float64)
             at = np.flatnonzero(w)
             # The number of rows stands behind the last weight.
             yield pa.RecordBatch.from_arrays([
