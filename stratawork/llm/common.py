@@ -118,3 +118,22 @@ def sampled(key: str | Column, fraction: Column | float) -> Column:
     c = F.col(key) if isinstance(key, str) else key
     share = F.lit(fraction) if isinstance(fraction, (int, float)) else fraction
     return F.pmod(F.xxhash64(c), F.lit(1 << 30)) < share * float(1 << 30)
+
+
+#: Bits that tell which keys another table may have: 4 MB, whatever the table's size.
+KEY_BITS = 1 << 25
+
+
+def likely(df: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``others``: all whose key is, and some
+    more where hashes meet. A join that follows shuffles fewer rows; its result stays.
+    Keys of different types, which need not hash alike, leave ``df`` as it is."""
+    if df.schema[key].dataType != others.schema[key].dataType:
+        return df
+    spot = F.pmod(F.xxhash64(key), F.lit(KEY_BITS)) + 1
+    maps = others.select(spot.alias("__spot")).groupBy(F.bitmap_bucket_number("__spot").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("__spot")).alias("__map"))
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring("__map", (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    return df.withColumn("__bucket", F.bitmap_bucket_number(spot)).join(F.broadcast(maps), "__bucket").where(
+        F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)

@@ -7,8 +7,9 @@ before that, also counts as such, whatever the word. A document's value for a we
 the n-grams times the root of their number, so long and short texts weigh alike.
 
 The model is fitted on all labelled rows, in shards of bounded size whose weights
-are averaged. Scoring reads whole texts and moves nothing but one weight vector of
-fixed size.
+are averaged: labelled texts are shuffled twice, to their labels and to a shard; others
+stay where they are. Scoring reads whole texts and moves nothing but one weight vector
+of fixed size.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fold, with_arrow
+from .common import column, fold, likely, with_arrow
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 BITS = 18
@@ -106,6 +107,12 @@ def sparse(indices: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, 1 << bits), np.append(x, 1.0)
 
 
+def labelled(docs: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``docs`` joined with ``known``, which grows as they do and so is never
+    broadcast: at any size both are shuffled, of the documents few but the labelled."""
+    return likely(docs, known, key).join(known.hint("merge"), key)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
         label: str = "quality", shards: int = 4, shard_rows: int = 6_000, epochs: int = 3,
         bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05,
@@ -119,8 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(
         key, F.col(label).cast("int").alias("__label"))
     many = max(shards, -(-known.count() // shard_rows))
-    rows = (docs.select(key, text).join(known, key).select(F.xxhash64(key).alias("__at"), text, "__label")
-            .repartition(many).sortWithinPartitions("__at"))
+    rows = labelled(docs.select(key, text), known, key).select(
+        F.xxhash64(key).alias("__at"), text, "__label").repartition(many).sortWithinPartitions("__at")
 
     def run(batches: Iterable[pa.RecordBatch]):
         features, model, seen = Features(bits), Ftrl(bits, alpha, beta, l1, l2), []

@@ -6,8 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from stratawork.llm import language, quality
+from stratawork.llm import common, language, quality
 from stratawork.llm.common import fold
 from stratawork.llm.queries import op4_quality, op9_language
 from tests.conftest import DATA
@@ -75,6 +76,23 @@ def test_quality_learns_from_every_label(spark):
         assert weights[quality.Features().of(f"odd{i}")].sum() < 0
 
 
+def test_only_labelled_texts_are_shuffled(spark):
+    """The labels are never broadcast, and texts without label stay where they are."""
+    rows = spark.range(5000).selectExpr("if(id = 7, null, id % 4000) as doc_id", "concat('text ', id) as text")
+    known = spark.createDataFrame([(3, 1), (3, 0), (3999, 1), (9000, 1), (-5, 1), (-(2 ** 60), 0)],
+                                  "doc_id bigint, __label int")
+    some = common.likely(rows, known, "doc_id")
+    assert some.columns == rows.columns
+    assert {3, 3999} <= {r["doc_id"] for r in some.collect()} and some.count() < 20
+    assert common.likely(rows, known.select(F.col("doc_id").cast("string")), "doc_id") is rows
+    assert common.likely(rows, known.limit(0), "doc_id").count() == 0
+    both = quality.labelled(rows, known, "doc_id")
+    assert "SortMergeJoin" in both._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, rows.join(known, "doc_id").collect()))
+    every = rows.where("doc_id is not null")
+    assert common.likely(every, every, "doc_id").count() == every.count()
+
+
 def test_query_quality(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     rows = op4_quality(spark, DATA).collect()
