@@ -1,19 +1,25 @@
 """Exact top-k search by BM25 with block-max pruning.
 
-Every task indexes the documents it scans, in shards of bounded size. A shard holds
-its documents in blocks of like content, per term the largest impact in each block,
-and per document its terms with their impacts. For a query, the sum of its terms'
-largest impacts bounds a block; blocks are opened from the highest bound down, and
-what is below the k-th best score so far is never scored. This is not WAND: there are
-no posting lists, cursors or pivots, and all documents of an opened block are scored
-from their own terms. Impacts leave out the
-inverse document frequency: queries carry it from statistics of all documents, so
-scores of all shards compare, and merging the k best of each shard is exact.
-
-Queries are a table in the shared folder that every shard reads in batches: neither
-documents nor queries are shuffled or broadcast. The work is that of all queries
-against all documents: if queries grow with the documents, with their product, less
-what the bounds save.
+Every task indexes the documents it scans, in shards of bounded size: per term a list
+of the documents that hold it, with their impacts, cut into blocks of like documents,
+and the largest impact in each block. For a query, the sum of its terms' largest
+impacts bounds a block; blocks are opened from the highest bound down, and what is
+below the k-th best score so far is never scored. In opened blocks the lists of the
+query's terms are added up. This is not WAND: whole blocks are opened, no pivot moves
+along the lists. Impacts leave out the inverse document frequency: queries carry it
+from statistics of all documents, so scores of all shards compare, and merging the k
+best of each shard is exact.
+
+Documents are searched in rounds, each of some times as many as before it; none is
+searched twice. After a round, a query's k-th best score so far is the least that
+later rounds look for: it raises no result out, and all shards of a round together
+find a few times k documents for a query, however many they are. Only the first
+round, of as many documents as fit in a shard, has no such limit.
+
+Queries are a table in the shared folder that every shard reads in batches: queries
+are neither shuffled nor broadcast, and of the documents only those of the rounds
+before the last are. The work is that of all queries against all documents: if queries
+grow with the documents, with their product, less what the bounds save.
 """
 
 from __future__ import annotations
@@ -21,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,100 +41,125 @@ from .warc import opened
 
 WORD = re.compile(r"\w+")
 BLOCK, SHARD_DOCS, SHARD_POSTINGS = 64, 20_000, 8_000_000
+#: Times that the documents searched grow from one round to the next.
+GROWTH = 4
 #: Share by which bounds are raised against rounding.
 SLACK = 1e-9
 
 
+@lru_cache(1 << 17)
+def term(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the distinct words of a text, and their counts."""
     words = Counter(WORD.findall((text or "").lower()))
-    terms = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words),
-                        np.uint64, len(words)).view(np.int64)
+    terms = np.fromiter(map(term, words), np.uint64, len(words)).view(np.int64)
     counts = np.fromiter(words.values(), np.int64, len(words))
     order = np.argsort(terms)
     return terms[order], counts[order]
 
 
 class Shard:
-    """An index of documents with their block bounds."""
+    """Posting lists of documents, in runs of one term and block with their largest impact."""
 
     def __init__(self, ids: list[int | None], docs: list[tuple[np.ndarray, np.ndarray]],
                  average: float, k1: float, b: float):
+        self.n = len(docs)
         lengths = np.array([len(t) for t, _ in docs])
-        vocabulary, local = np.unique(np.concatenate([t for t, _ in docs]), return_inverse=True)
-        often = np.bincount(local, minlength=len(vocabulary))
+        self.vocabulary, terms = np.unique(np.concatenate([t for t, _ in docs]), return_inverse=True)
         ends = np.cumsum(lengths)
         # Like documents share a block: by their two commonest words here, then size.
-        leading = np.full((len(docs), 2), -1)
+        leading = np.full((self.n, 2), -1)
         for i, (n, end) in enumerate(zip(lengths, ends)):
-            mine = local[end - n:end]
+            mine = terms[end - n:end]
             top = mine[np.argsort(-docs[i][1], kind="stable")[:2]]
             leading[i, :len(top)] = top
         order = np.lexsort((lengths, leading[:, 1], leading[:, 0]))
         self.ids = [ids[i] for i in order]
-        self.vocabulary, self.n = vocabulary, len(docs)
-        starts = ends - lengths
-        at = np.concatenate([np.arange(starts[i], ends[i]) for i in order])
-        self.terms = local[at]
-        counts = np.concatenate([docs[i][1] for i in order]).astype(float)
-        lengths = lengths[order]
-        owner = np.repeat(np.arange(self.n), lengths)
-        words = np.array([docs[i][1].sum() for i in order], float)
-        norm = k1 * (1 - b + b * words / average)
-        self.impact = counts * (k1 + 1) / (counts + norm[owner])
-        self.start = np.concatenate([[0], np.cumsum(lengths)])
-        self.lengths = lengths
-        # Largest impact per term and block.
+        # Place of an id among all, nulls last: equal scores go by it.
+        self.place = np.empty(self.n, np.int64)
+        self.place[sorted(range(self.n), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))] = np.arange(self.n)
+        place = np.empty(self.n, np.int64)
+        place[order] = np.arange(self.n)
+        owner = np.repeat(place, lengths)
+        counts = np.concatenate([c for _, c in docs]).astype(float)
+        words = np.array([c.sum() for _, c in docs], float)
+        norm = np.repeat(k1 * (1 - b + b * words / average), lengths)
+        by = np.argsort(terms * self.n + owner)
+        self.doc = owner[by].astype(np.int32)
+        self.impact = (counts * (k1 + 1) / (counts + norm))[by]
         self.blocks = -(-self.n // BLOCK)
-        key = self.terms * self.blocks + owner // BLOCK
-        by = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[by], prepend=-1))
-        self.bound = np.maximum.reduceat(self.impact[by], first)
-        self.bound_block = key[by][first] % self.blocks
-        self.bound_start = np.searchsorted(key[by][first] // self.blocks, np.arange(len(vocabulary) + 1))
-        self.weight = np.zeros(len(vocabulary))
-        assert often.sum() == len(self.terms)
+        run = terms[by] * self.blocks + self.doc // BLOCK
+        self.start = np.flatnonzero(np.diff(run, prepend=-1))
+        self.length = np.diff(self.start, append=len(run))
+        self.bound = np.maximum.reduceat(self.impact, self.start)
+        run = run[self.start]
+        self.block = (run % self.blocks).astype(np.int32)
+        self.runs = np.searchsorted(run // self.blocks, np.arange(len(self.vocabulary) + 1))
+        self.asked = (np.zeros(0, np.int64), np.zeros(0))
 
     def _scores(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        docs, scores = [], []
-        for block in blocks:
-            low, high = block * BLOCK, min(self.n, (block + 1) * BLOCK)
-            x, y = self.start[low], self.start[high]
-            sums = np.add.reduceat(self.impact[x:y] * self.weight[self.terms[x:y]], self.start[low:high] - x)
-            docs.append(np.arange(low, high))
-            scores.append(sums)
-        return np.concatenate(docs), np.concatenate(scores)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int | None, float]]:
-        """The k best documents and their ties with the k-th; only scores above 0."""
+        """All documents of these blocks with their scores for the runs and weights
+        that are asked. Impacts are added in the order of terms, whatever the shard."""
+        runs, weights = self.asked
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        kept = np.flatnonzero(wanted[self.block[runs]])
+        runs = runs[kept]
+        length = self.length[runs]
+        at = spread(self.start[runs], length)
+        sums = np.bincount(self.doc[at], self.impact[at] * np.repeat(weights[kept], length), self.n)
+        docs = (np.flatnonzero(wanted)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        docs = docs[docs < self.n]
+        return docs, sums[docs]
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int,
+               least: float = 0.0) -> list[tuple[int | None, float]]:
+        """The k best documents with a score above 0 and of at least ``least``; equal
+        scores go by the smaller id, nulls last."""
         at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
         here = self.vocabulary[at] == terms
         at, weights = at[here], weights[here]
         if not len(at):
             return []
-        spans = [slice(self.bound_start[t], self.bound_start[t + 1]) for t in at]
-        sizes = np.array([s.stop - s.start for s in spans])
-        upper = np.bincount(np.concatenate([self.bound_block[s] for s in spans]),
-                            np.concatenate([self.bound[s] for s in spans]) * np.repeat(weights, sizes),
-                            self.blocks) * (1 + SLACK)
-        self.weight[at] = weights
+        many = self.runs[at + 1] - self.runs[at]
+        runs, weights = spread(self.runs[at], many), np.repeat(weights, many)
+        upper = np.bincount(self.block[runs], self.bound[runs] * weights, self.blocks) * (1 + SLACK)
+        self.asked = (runs, weights)
         order = np.argsort(-upper, kind="stable")
-        docs, scores, least, opened_, step = np.zeros(0, int), np.zeros(0), 0.0, 0, 2
-        while opened_ < len(order) and upper[order[opened_]] >= least and upper[order[opened_]] > 0:
-            following = order[opened_:opened_ + step]
-            following = following[upper[following] >= least]
-            more, new = self._scores(following)
+        order = order[(upper[order] >= least) & (upper[order] > 0)]
+        docs, scores, step = np.zeros(0, np.int64), np.zeros(0), 2
+        if least > 0:  # a search elsewhere has set the limit
+            step = max(step, len(order))
+        while len(order):
+            more, new = self._scores(order[:step])
             keep = (new >= least) & (new > 0)
             docs, scores = np.concatenate([docs, more[keep]]), np.concatenate([scores, new[keep]])
             if len(scores) > k:
-                least = np.partition(scores, len(scores) - k)[len(scores) - k]
-                docs, scores = docs[scores >= least], scores[scores >= least]
-            opened_ += step
-            step = min(16, 2 * step)
-        self.weight[at] = 0
+                best = np.lexsort((self.place[docs], -scores))[:k]
+                docs, scores = docs[best], scores[best]
+                least = scores[-1]
+            order = order[step:]
+            order = order[upper[order] >= least]
+            step *= 2
         return [(self.ids[d], float(s)) for d, s in zip(docs, scores)]
 
 
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+def shares(docs: int) -> list[float]:
+    """Growing shares of the documents, of which the first fits in a shard."""
+    out = [1.0]
+    while docs * out[0] > SHARD_DOCS:
+        out.insert(0, out[0] / GROWTH)
+    return out
+
+
 def statistics(docs: DataFrame, text: str) -> DataFrame:
     """Per term its number of documents; the row without term has the number of
     documents and of words."""
@@ -173,10 +205,34 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = asked.groupBy("query_id", "term").agg(F.sum("tf").alias("tf")).join(
         stats.where("term is not null"), "term").select("query_id", "term", (F.col("tf") * idf).alias("w"))
-    table = work.table(weighted.groupBy("query_id").agg(
+    bags = work.table(weighted.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("term", "w"))).alias("bag")).select(
-        "query_id", F.col("bag.term").alias("terms"), F.col("bag.w").alias("weights")))
-    where, average = table._workspace_path, max(1.0, words / max(1, n))
+        "query_id", F.col("bag.term").alias("terms"), F.col("bag.w").alias("weights"), F.lit(0.0).alias("least")))
+    average, parts = max(1.0, words / max(1, n)), shares(n)
+    rows, before, found = docs.select(F.col(key).cast("bigint").alias("d"), F.col(text).alias("t")), 0.0, None
+    spot = F.pmod(F.xxhash64("d"), F.lit(1 << 30)) / float(1 << 30)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(
+        F.desc("score"), F.col("doc").asc_nulls_last()))
+    for share in parts:
+        some = rows if len(parts) == 1 else rows.where((spot >= before) & (spot < share))
+        if share < 1:  # in shards of a quarter of the largest, so that tasks share the round
+            some = some.repartition(-(-int(4 * n * (share - before)) // SHARD_DOCS) or 1)
+        hits = _hits(some, bags, k, average, k1, b)
+        best = (hits if found is None else found.unionByName(hits)).withColumn("rank", place).where(F.col("rank") <= k)
+        if share < 1:
+            before, found = share, work.table(best.drop("rank"))
+            limits = found.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("limit"))
+            limits = limits.where(F.col("c") == k).select("query_id", "limit")
+            limited = work.table(bags.drop("least").join(limits, "query_id", "left").select(
+                "query_id", "terms", "weights", F.coalesce("limit", F.lit(0.0)).alias("least")))
+            work.drop(bags)
+            bags = limited
+    return best.select("query_id", F.col("doc").alias(key), "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _hits(docs: DataFrame, bags: DataFrame, k: int, average: float, k1: float, b: float) -> DataFrame:
+    """The k best documents (d, t) of each shard for every query, that reach its ``least``."""
+    where = bags._workspace_path
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answers(ids: list, vectors: list) -> Iterator[pa.RecordBatch]:
@@ -185,9 +241,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
             for batch in pads.dataset(folder, filesystem=system, format="parquet").to_batches(batch_size=256):
                 rows = []
                 terms, weights = batch.column("terms"), batch.column("weights")
-                for i, q in enumerate(batch.column("query_id").to_pylist()):
-                    found = shard.search(terms[i].values.to_numpy(), weights[i].values.to_numpy(), k)
-                    rows += [(q, d, s) for d, s in found]
+                for i, (q, least) in enumerate(zip(batch.column("query_id").to_pylist(),
+                                                   batch.column("least").to_pylist())):
+                    best = shard.search(terms[i].values.to_numpy(), weights[i].values.to_numpy(), k, least)
+                    rows += [(q, d, s) for d, s in best]
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))],
@@ -208,9 +265,4 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
         if ids:
             yield from answers(ids, vectors)
 
-    hits = docs.select(F.col(key).cast("bigint").alias("d"), F.col(text).alias("t")).mapInArrow(
-        run, "query_id bigint, doc bigint, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(
-        F.desc("score"), F.col("doc").asc_nulls_last()))
-    return hits.withColumn("rank", place).where(F.col("rank") <= k).select(
-        "query_id", F.col("doc").alias(key), "score", F.col("rank").cast("bigint").alias("rank"))
+    return docs.mapInArrow(run, "query_id bigint, doc bigint, score double")

@@ -68,3 +68,23 @@ def test_bounds_skip_blocks():
 def test_query_topk(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     check(op2_topk(spark, DATA).collect(), docs, [(d, t) for d, t in docs if d % 50 == 0], 10)
+
+
+def test_rounds_limit_later_ones(spark, monkeypatch):
+    """Shards of later rounds give only what may be among the k best, and ties at the
+    limit go by the smaller key, wherever they stand."""
+    monkeypatch.setattr(topk, "SHARD_DOCS", 40)
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(30))) for i in range(1200)]
+    docs += [(5000 - i, "same words here") for i in range(300)]
+    queries = [(1, "same words"), (2, docs[7][1]), (3, docs[700][1])]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(12)
+    q = spark.createDataFrame(queries, "doc_id bigint, text string")
+    made, plain = [], topk._hits
+    monkeypatch.setattr(topk, "_hits", lambda *a: made.append(plain(*a)) or made[-1])
+    rows = topk.search(d, q, k=3).collect()
+    check(rows, docs, queries, 3)
+    assert [r["doc_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == 1] == [4701, 4702, 4703]
+    assert topk.shares(1500) == [1 / 64, 1 / 16, 1 / 4, 1]
+    # 1,500 documents in shards of 40 or less: 3 of each shard for each of 3 queries would be above 330.
+    assert made[-1].where("query_id > 1").count() < 100
