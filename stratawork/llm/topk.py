@@ -1,14 +1,17 @@
 """Exact top-k search by BM25 with block-max pruning.
 
-Every task indexes the documents it scans, in shards of bounded size: per term a list
-of the documents that hold it, with their impacts, cut into blocks of like documents,
-and the largest impact in each block. For a query, the sum of its terms' largest
-impacts bounds a block; blocks are opened from the highest bound down, and what is
-below the k-th best score so far is never scored. In opened blocks the lists of the
-query's terms are added up. This is not WAND: whole blocks are opened, no pivot moves
-along the lists. Impacts leave out the inverse document frequency: queries carry it
-from statistics of all documents, so scores of all shards compare, and merging the k
-best of each shard is exact.
+Every task indexes the documents it scans, in shards of bounded size, cut into blocks of
+like documents. Most of what a text shares with others are common words: the impacts of
+the commonest terms stand in a matrix per block, with the largest of each term and block
+beside it; all other terms have lists of the documents that hold them. Queries are
+searched many at a time. Their lists are added up first, then the sum of the largest
+impacts bounds what the matrix can add in a block. Only blocks that may reach a query's
+limit are opened for it: a product of matrices adds the common terms for all queries that
+ask for the block. This is not WAND: whole blocks are opened, no pivot moves along the
+lists. These sums are in single precision and only choose documents; whatever comes near
+the limit is scored in double precision from all its terms. Impacts leave out the inverse
+document frequency: queries carry it from statistics of all documents, so scores of all
+shards compare, and merging the k best of each shard is exact.
 
 Documents are searched in rounds, each of some times as many as before it; none is
 searched twice. After a round, a query's k-th best score so far is the least that
@@ -25,7 +28,6 @@ grow with the documents, with their product, less what the bounds save.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -43,108 +45,215 @@ WORD = re.compile(r"\w+")
 BLOCK, SHARD_DOCS, SHARD_POSTINGS = 64, 20_000, 8_000_000
 #: Times that the documents searched grow from one round to the next.
 GROWTH = 4
-#: Share by which bounds are raised against rounding.
-SLACK = 1e-9
-
-
-@lru_cache(1 << 17)
-def term(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+#: Terms of more than this share of a shard's documents stand in a matrix, the commonest
+#: if they are more than so many; all others have lists.
+COMMON_SHARE, COMMON_TERMS = 1 / 32, 1024
+#: Share by which bounds are raised, and limits lowered, against rounding: sums of
+#: COMMON_TERMS products of single precision, none below 0, are off by 7e-5 at most.
+SLACK = 1e-4
+#: Pairs of a query and a document, postings and letters that are worked on at a time.
+CELLS, STEP, LETTERS = 1 << 21, 1 << 16, 1 << 22
+
+
+@lru_cache(1)
+def letters() -> tuple[np.ndarray, np.ndarray]:
+    """Per code point whether it stands in words, and its bytes in UTF-8."""
+    points = np.arange(0x110000)
+    inside = np.zeros(len(points), bool)
+    inside[[ord(c) for c in map(chr, points) if WORD.match(c)]] = True
+    return inside, (1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)).astype(np.int8)
+
+
+def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts the sorted hashes of each one's distinct words, their counts, and
+    where each text's end."""
+    parts, at, many = [], 0, 0
+    for i, t in enumerate(texts, 1):
+        many += len(t or "")
+        if many >= LETTERS or i == len(texts):
+            parts.append(_vectors(texts[at:i]))
+            at, many = i, 0
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    terms, counts, lengths = map(np.concatenate, zip(*parts))
+    return terms, counts, np.cumsum(lengths)
+
+
+def _vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lower = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n" + b"\n".join(lower) + b"\n"
+    points = np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+    is_letter, size = letters()
+    inside = is_letter[points]
+    if len(points) < len(raw):
+        inside = np.repeat(inside, size[points])
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    offsets = np.zeros(len(edges) // 2 + 1, np.int64)
+    np.cumsum(edges[1::2] - edges[::2], out=offsets[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [
+        None, pa.py_buffer(offsets), pa.py_buffer(np.frombuffer(raw, np.uint8)[inside])]).dictionary_encode()
+    distinct = words.dictionary.to_numpy(zero_copy_only=False)
+    terms = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct)).view(np.int64)
+    order = np.argsort(terms)
+    code = np.empty(len(terms), np.int64)
+    code[order] = np.arange(len(terms))
+    owner = np.searchsorted(np.cumsum([len(t) + 1 for t in lower]), edges[::2], "left")
+    key = np.sort(owner * len(terms) + code[words.indices.to_numpy()])
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    owner, code = np.divmod(key[first], max(1, len(terms)))
+    return terms[order[code]], np.diff(first, append=len(key)), np.bincount(owner, minlength=len(texts))
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of the distinct words of a text, and their counts."""
-    words = Counter(WORD.findall((text or "").lower()))
-    terms = np.fromiter(map(term, words), np.uint64, len(words)).view(np.int64)
-    counts = np.fromiter(words.values(), np.int64, len(words))
-    order = np.argsort(terms)
-    return terms[order], counts[order]
+    return vectors([text])[:2]
 
 
 class Shard:
-    """Posting lists of documents, in runs of one term and block with their largest impact."""
+    """Documents by term: the commonest terms' impacts in a matrix per block of like
+    documents, all others' in lists; and by document, for its exact score."""
 
     def __init__(self, ids: list[int | None], docs: list[tuple[np.ndarray, np.ndarray]],
                  average: float, k1: float, b: float):
         self.n = len(docs)
         lengths = np.array([len(t) for t, _ in docs])
-        self.vocabulary, terms = np.unique(np.concatenate([t for t, _ in docs]), return_inverse=True)
-        ends = np.cumsum(lengths)
-        # Like documents share a block: by their two commonest words here, then size.
-        leading = np.full((self.n, 2), -1)
-        for i, (n, end) in enumerate(zip(lengths, ends)):
-            mine = terms[end - n:end]
-            top = mine[np.argsort(-docs[i][1], kind="stable")[:2]]
-            leading[i, :len(top)] = top
-        order = np.lexsort((lengths, leading[:, 1], leading[:, 0]))
+        # Like documents share a block: by their two commonest words, then size.
+        terms, counts = (np.concatenate(c) for c in zip(*docs))
+        rank, leading = (counts << 32) - np.arange(len(counts)), []
+        for _ in range(2):
+            top = np.maximum.reduceat(rank, np.cumsum(lengths) - lengths)
+            at = np.where(top > 0, -top & 0xFFFFFFFF, 0)
+            leading.append(np.where(top > 0, terms[at], -1))
+            rank[at] = -1
+        order = np.lexsort((lengths, leading[1], leading[0]))
+        del rank
         self.ids = [ids[i] for i in order]
         # Place of an id among all, nulls last: equal scores go by it.
         self.place = np.empty(self.n, np.int64)
         self.place[sorted(range(self.n), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))] = np.arange(self.n)
-        place = np.empty(self.n, np.int64)
-        place[order] = np.arange(self.n)
-        owner = np.repeat(place, lengths)
-        counts = np.concatenate([c for _, c in docs]).astype(float)
-        words = np.array([c.sum() for _, c in docs], float)
-        norm = np.repeat(k1 * (1 - b + b * words / average), lengths)
-        by = np.argsort(terms * self.n + owner)
-        self.doc = owner[by].astype(np.int32)
-        self.impact = (counts * (k1 + 1) / (counts + norm))[by]
+        lengths = lengths[order]
+        terms = np.concatenate([docs[i][0] for i in order])
+        counts = np.concatenate([docs[i][1] for i in order]).astype(float)
+        self.words, self.ends = lengths, np.cumsum(lengths)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
+        norm = k1 * (1 - b + b * np.add.reduceat(counts, self.ends - lengths) / average)
+        self.impact = counts * (k1 + 1) / (counts + np.repeat(norm, lengths))
+        by = np.argsort(terms)
+        first = np.flatnonzero(np.diff(terms[by], prepend=terms[by[0]] - 1))
+        self.vocabulary, df = terms[by[first]], np.diff(first, append=len(by))
+        self.wanted = np.zeros(len(df))
+        self.term = np.empty(len(terms), np.int32)
+        self.term[by] = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        # Terms by matrix: their column, else -1.
+        common = np.flatnonzero(df > self.n * COMMON_SHARE)
+        common = common[np.argsort(-df[common], kind="stable")[:COMMON_TERMS]]
+        self.column = np.full(len(df), -1, np.int32)
+        self.column[common] = np.arange(len(common))
         self.blocks = -(-self.n // BLOCK)
-        run = terms[by] * self.blocks + self.doc // BLOCK
-        self.start = np.flatnonzero(np.diff(run, prepend=-1))
-        self.length = np.diff(self.start, append=len(run))
-        self.bound = np.maximum.reduceat(self.impact, self.start)
-        run = run[self.start]
-        self.block = (run % self.blocks).astype(np.int32)
-        self.runs = np.searchsorted(run // self.blocks, np.arange(len(self.vocabulary) + 1))
-        self.asked = (np.zeros(0, np.int64), np.zeros(0))
-
-    def _scores(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All documents of these blocks with their scores for the runs and weights
-        that are asked. Impacts are added in the order of terms, whatever the shard."""
-        runs, weights = self.asked
-        wanted = np.zeros(self.blocks, bool)
-        wanted[blocks] = True
-        kept = np.flatnonzero(wanted[self.block[runs]])
-        runs = runs[kept]
-        length = self.length[runs]
-        at = spread(self.start[runs], length)
-        sums = np.bincount(self.doc[at], self.impact[at] * np.repeat(weights[kept], length), self.n)
-        docs = (np.flatnonzero(wanted)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        docs = docs[docs < self.n]
-        return docs, sums[docs]
+        here = self.column[self.term] >= 0
+        self.matrix = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.matrix[owner[here] // BLOCK, self.column[self.term[here]], owner[here] % BLOCK] = self.impact[here]
+        self.bound = self.matrix.max(axis=2).T.copy()
+        by = by[~here[by]]
+        self.doc, self.weight = owner[by], self.impact[by].astype(np.float32)
+        self.length = np.where(self.column < 0, df, 0)
+        self.start = np.cumsum(self.length) - self.length
+
+    def _scores(self, blocks: np.ndarray) -> None:
+        """Opens blocks: what the matrix adds to the scores of their documents, for
+        the queries that ask for them."""
+        for block in blocks:
+            asking = np.flatnonzero(self.asked[:, block])
+            whole = len(asking) == len(self.queries)
+            more = (self.queries if whole else self.queries[asking]) @ self.matrix[block]
+            self.sums[asking, block] += more
+            self.opened[asking, block] = True
+
+    def _open(self, asked: np.ndarray) -> None:
+        self.asked = asked & ~self.opened
+        self._scores(np.flatnonzero(self.asked.any(axis=0)))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int,
                least: float = 0.0) -> list[tuple[int | None, float]]:
         """The k best documents with a score above 0 and of at least ``least``; equal
         scores go by the smaller id, nulls last."""
+        _, docs, scores = self.search_all(terms, weights, np.array([len(terms)]), k, np.array([least]))
+        return list(zip(docs, scores))
+
+    def search_all(self, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray, k: int,
+                   least: np.ndarray) -> tuple[list[int], list[int | None], list[float]]:
+        """``search`` for many queries, whose terms end at ``ends``: numbers of queries,
+        ids, scores."""
+        asker = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
         at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
         here = self.vocabulary[at] == terms
-        at, weights = at[here], weights[here]
-        if not len(at):
-            return []
-        many = self.runs[at + 1] - self.runs[at]
-        runs, weights = spread(self.runs[at], many), np.repeat(weights, many)
-        upper = np.bincount(self.block[runs], self.bound[runs] * weights, self.blocks) * (1 + SLACK)
-        self.asked = (runs, weights)
-        order = np.argsort(-upper, kind="stable")
-        order = order[(upper[order] >= least) & (upper[order] > 0)]
-        docs, scores, step = np.zeros(0, np.int64), np.zeros(0), 2
-        if least > 0:  # a search elsewhere has set the limit
-            step = max(step, len(order))
-        while len(order):
-            more, new = self._scores(order[:step])
-            keep = (new >= least) & (new > 0)
-            docs, scores = np.concatenate([docs, more[keep]]), np.concatenate([scores, new[keep]])
-            if len(scores) > k:
-                best = np.lexsort((self.place[docs], -scores))[:k]
-                docs, scores = docs[best], scores[best]
-                least = scores[-1]
-            order = order[step:]
-            order = order[upper[order] >= least]
-            step *= 2
-        return [(self.ids[d], float(s)) for d, s in zip(docs, scores)]
+        at, weights, asker = at[here], weights[here], asker[here]
+        out, size = ([], [], []), max(1, CELLS // (self.blocks * BLOCK))
+        for i in range(0, len(ends), size):
+            x, y = np.searchsorted(asker, [i, i + size])
+            found = self._batch(at[x:y], weights[x:y], asker[x:y] - i, k, least[i:i + size])
+            for q, docs, scores in found:
+                out[0].extend([q + i] * len(docs))
+                out[1].extend(self.ids[d] for d in docs)
+                out[2].extend(scores.tolist())
+        return out
+
+    def _batch(self, at: np.ndarray, weights: np.ndarray, asker: np.ndarray, k: int,
+               least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        many, width = len(least), self.blocks * BLOCK
+        # Lists first: with what the matrix can add at most, they bound blocks.
+        sums = np.zeros(many * width)
+        listed = np.flatnonzero(self.length[at])
+        steps = np.cumsum(self.length[at[listed]]) // STEP
+        for part in np.split(listed, np.flatnonzero(np.diff(steps)) + 1):
+            if not len(part):
+                continue
+            length, base = self.length[at[part]], asker[part[0]] * width
+            where = spread(self.start[at[part]], length)
+            to = self.doc[where] + np.repeat(asker[part] * width - base, length)
+            new = np.bincount(to, self.weight[where] * np.repeat(weights[part], length))
+            sums[base:base + len(new)] += new
+        self.sums = sums.reshape(many, self.blocks, BLOCK)
+        self.queries = np.zeros((many, self.matrix.shape[1]), np.float32)
+        common = self.column[at] >= 0
+        self.queries[asker[common], self.column[at[common]]] = weights[common]
+        upper = (self.sums.max(axis=2) + self.queries @ self.bound) * (1 + SLACK)
+        self.opened = np.zeros(upper.shape, bool)
+        flat = self.sums.reshape(many, width)
+        # Where no search elsewhere has set a limit, the likeliest blocks set one.
+        least, free = np.array(least, float), np.flatnonzero(least <= 0)
+        if len(free) and width > k:
+            best = np.argpartition(-upper[free], min(2, self.blocks) - 1, axis=1)[:, :2]
+            likely, limit = np.zeros(upper.shape, bool), least.copy()
+            likely[free[:, None], best] = True
+            self._open(likely)
+            limit[free] = np.partition(flat[free], width - k, axis=1)[:, width - k] * (1 - SLACK)
+        else:
+            limit = least
+        self._open((upper >= limit[:, None]) & (upper > 0))
+        found = (flat >= limit[:, None] * (1 - SLACK)) & (flat > 0)
+        for q in np.flatnonzero(found.any(axis=1)):
+            docs = np.flatnonzero(found[q])
+            if len(docs) > k:
+                near = np.partition(flat[q, docs], len(docs) - k)[len(docs) - k] * (1 - 3 * SLACK)
+                docs = docs[flat[q, docs] >= near]
+            x, y = np.searchsorted(asker, [q, q + 1])
+            scores = self._exact(docs, at[x:y], weights[x:y])
+            keep = (scores >= least[q]) & (scores > 0)
+            docs, scores = docs[keep], scores[keep]
+            best = np.lexsort((self.place[docs], -scores))[:k]
+            if len(best):
+                yield q, docs[best], scores[best]
+
+    def _exact(self, docs: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores in double precision. Impacts are added in the order of terms, whatever
+        the shard."""
+        self.wanted[at] = weights
+        out = np.zeros(len(docs))
+        for i, (start, end) in enumerate(zip(self.ends[docs] - self.words[docs], self.ends[docs])):
+            out[i] = np.cumsum(self.wanted[self.term[start:end]] * self.impact[start:end])[-1]
+        self.wanted[at] = 0
+        return out
 
 
 def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -165,12 +274,9 @@ def statistics(docs: DataFrame, text: str) -> DataFrame:
     documents and of words."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, words = [np.zeros(0, np.int64)], 0
-            for t in column(batch, text).to_pylist():
-                terms, counts = term_counts(t)
-                found.append(terms)
-                words += int(counts.sum())
-            terms, df = np.unique(np.concatenate(found), return_counts=True)
+            terms, counts, _ = vectors(column(batch, text).to_pylist())
+            words = int(counts.sum())
+            terms, df = np.unique(terms, return_counts=True)
             yield pa.RecordBatch.from_arrays([
                 pa.array([None, *terms.tolist()], pa.int64()), pa.array([batch.num_rows, *df.tolist()], pa.int64()),
                 pa.array([words] + [0] * len(terms), pa.int64())], names=["term", "df", "words"])
@@ -194,10 +300,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, text: str = "text",
 
     def bag(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, t in zip(column(batch, "q").to_pylist(), column(batch, "t").to_pylist()):
-                terms, counts = term_counts(t)
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(terms), pa.int64()), pa.array(terms),
-                                                  pa.array(counts)], names=["query_id", "term", "tf"])
+            terms, counts, ends = vectors(column(batch, "t").to_pylist())
+            ids = np.repeat(column(batch, "q").to_numpy(), np.diff(ends, prepend=0))
+            rows = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(terms), pa.array(counts)],
+                                              names=["query_id", "term", "tf"])
+            yield from (rows.slice(i, STEP) for i in range(0, rows.num_rows, STEP))
 
     asked = queries.where(F.col(query_key).isNotNull()).select(
         F.col(query_key).cast("bigint").alias("q"), F.col(query_text).alias("t")).mapInArrow(
@@ -235,34 +342,36 @@ def _hits(docs: DataFrame, bags: DataFrame, k: int, average: float, k1: float, b
     where = bags._workspace_path
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answers(ids: list, vectors: list) -> Iterator[pa.RecordBatch]:
-            shard = Shard(ids, vectors, average, k1, b)
+        def answers(ids: list, docs: list) -> Iterator[pa.RecordBatch]:
+            shard = Shard(ids, docs, average, k1, b)
             system, folder = opened(where)
             for batch in pads.dataset(folder, filesystem=system, format="parquet").to_batches(batch_size=256):
-                rows = []
-                terms, weights = batch.column("terms"), batch.column("weights")
-                for i, (q, least) in enumerate(zip(batch.column("query_id").to_pylist(),
-                                                   batch.column("least").to_pylist())):
-                    best = shard.search(terms[i].values.to_numpy(), weights[i].values.to_numpy(), k, least)
-                    rows += [(q, d, s) for d, s in best]
-                if rows:
+                if not batch.num_rows:
+                    continue
+                terms, weights = column(batch, "terms"), column(batch, "weights")
+                ends = terms.offsets.to_numpy()[1:] - terms.offsets[0].as_py()
+                queries, docs, scores = shard.search_all(terms.flatten().to_numpy(), weights.flatten().to_numpy(),
+                                                         ends, k, column(batch, "least").to_numpy())
+                if queries:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))],
-                        names=["query_id", "doc", "score"])
+                        [column(batch, "query_id").take(pa.array(queries)), pa.array(docs, pa.int64()),
+                         pa.array(scores, pa.float64())], names=["query_id", "doc", "score"])
 
-        ids, vectors, held = [], [], 0
+        ids, docs, held = [], [], 0
         for batch in batches:
-            for d, t in zip(column(batch, "d").to_pylist(), column(batch, "t").to_pylist()):
-                vector = term_counts(t)
-                if not len(vector[0]):
+            terms, counts, ends = vectors(column(batch, "t").to_pylist())
+            start = 0
+            for d, end in zip(column(batch, "d").to_pylist(), ends.tolist()):
+                if end == start:
                     continue
                 ids.append(d)
-                vectors.append(vector)
-                held += len(vector[0])
+                docs.append((terms[start:end], counts[start:end]))
+                held += end - start
+                start = end
                 if held >= SHARD_POSTINGS or len(ids) >= SHARD_DOCS:
-                    yield from answers(ids, vectors)
-                    ids, vectors, held = [], [], 0
+                    yield from answers(ids, docs)
+                    ids, docs, held = [], [], 0
         if ids:
-            yield from answers(ids, vectors)
+            yield from answers(ids, docs)
 
     return docs.mapInArrow(run, "query_id bigint, doc bigint, score double")

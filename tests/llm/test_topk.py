@@ -1,8 +1,12 @@
 """Exact top-k search."""
 
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 
 from stratawork.llm import topk
 from stratawork.llm.queries import op2_topk
@@ -88,3 +92,49 @@ def test_rounds_limit_later_ones(spark, monkeypatch):
     assert topk.shares(1500) == [1 / 64, 1 / 16, 1 / 4, 1]
     # 1,500 documents in shards of 40 or less: 3 of each shard for each of 3 queries would be above 330.
     assert made[-1].where("query_id > 1").count() < 100
+
+
+@pytest.mark.parametrize("size", [1, 40, 1 << 22])
+def test_words_of_many_texts(monkeypatch, size):
+    monkeypatch.setattr(topk, "LETTERS", size)
+    texts = ["Ab ab, c_1!", None, "", "?!", "ΟΔΟΣ Σ ΑΣ", "İx\u0307y ²½ 你好，世界 𝒜b😀b", "é e\u0301\x00é\ud800é", "a" * 99, "einzig"]
+    terms, counts, ends = topk.vectors(texts)
+    assert len(ends) == len(texts) and ends[-1] == len(terms) == len(counts)
+    for text, start, end in zip(texts, [0, *ends], ends):
+        want = Counter(xxhash.xxh3_64_intdigest(w.encode()) for w in re.findall(r"\w+", (text or "").lower()))
+        assert dict(zip(terms[start:end].view(np.uint64).tolist(), counts[start:end].tolist())) == want
+        assert (terms[start:end][1:] > terms[start:end][:-1]).all()
+    assert [len(a) for a in topk.vectors([])] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("common, cells, step", [(1024, 1 << 21, 1 << 16), (5, 1300, 7), (0, 1, 1)])
+def test_queries_are_searched_together(monkeypatch, common, cells, step):
+    """A block is opened for many queries at once, not for each; limits and ties hold."""
+    for name, value in (("COMMON_TERMS", common), ("CELLS", cells), ("STEP", step)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randint(1, 50))) for _ in range(600)]
+    texts += ["same words here"] * 30 + ["einzig"]
+    docs, ids = [topk.term_counts(t) for t in texts], [None, *range(len(texts) - 1)]
+    shard = topk.Shard(ids, docs, 25.0, 1.2, 0.75)
+    queries = [docs[i] for i in range(0, 600, 3)] + [topk.term_counts(t) for t in ("same", "einzig w1", "absent", "")]
+    calls, plain = [], shard._scores
+    shard._scores = lambda blocks: calls.append(len(blocks)) or plain(blocks)
+    least = np.array([0.0, 5.0, 1e-9, 1e9] * (len(queries) // 4))
+    n, found, scores = shard.search_all(np.concatenate([t for t, _ in queries]),
+                                        np.concatenate([c.astype(float) for _, c in queries]),
+                                        np.cumsum([len(t) for t, _ in queries]), 4, least)
+    if cells > 1 << 20:
+        assert len(calls) <= 2 < len(queries)
+    for q, (terms, weights) in enumerate(queries):
+        want = []
+        for i, (t, c) in zip(ids, docs):
+            impact = c * 2.2 / (c + 1.2 * (0.25 + 0.75 * c.sum() / 25.0))
+            s = sum(w * impact[t == x].sum() for x, w in zip(terms, weights))
+            if s > 0 and s >= least[q]:
+                want.append((-round(s, 9), i is None, i))
+        got = [(-round(s, 9), i is None, i) for m, i, s in zip(n, found, scores) if m == q]
+        assert got == sorted(want)[:4]
+    lone = topk.Shard([7], [topk.term_counts("a")], 1.0, 1.2, 0.75)
+    assert [d for d, _ in lone.search(*topk.term_counts("a"), 3)] == [7]
+    assert lone.search(*topk.term_counts(""), 3) == []
